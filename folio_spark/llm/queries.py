@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm import mixing, sharding
+from folio_spark.llm import media, mixing, sharding, simhash
 from folio_spark.llm.common import table
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored NPY tile of a grey image, with facts of what is read back from it."""
+    return media.text_media_facts(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of three-word shingles of every document, and the component of fingerprints at most 2 bits apart."""
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents, as long as they are together, takes of each document."""
     mixed = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
@@ -31,7 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op3_media, op8_simhash, op9_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
