@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm import media, mixing, sharding, simhash
-from folio_spark.llm.common import table
+from folio_spark.llm import langid, media, mixing, packing, sharding, simhash
+from folio_spark.llm.common import fold, table
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token pieces in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +21,14 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_facts(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by models learned from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    model = langid.fit(docs.where("not held_out"))
+    found = langid.predict(docs, model, ["held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy", "n_signs")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of three-word shingles of every document, and the component of fingerprints at most 2 bits apart."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
@@ -42,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media, op8_simhash, op9_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op2_packing, op3_media, op7_langid, op8_simhash, op9_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
