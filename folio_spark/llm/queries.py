@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm import langid, media, mixing, packing, sharding, simhash
+from folio_spark.llm import langid, media, mixing, packing, sharding, simhash, toxicity
 from folio_spark.llm.common import fold, table
 
 
@@ -21,6 +21,14 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_facts(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by labels of the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id"), 5) != 0)
+    scorer = toxicity.fit(docs, labels)
+    return toxicity.score(docs, scorer, ["held_out"]).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by models learned from the folds that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
@@ -55,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_media, op7_langid, op8_simhash, op9_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op2_packing, op3_media, op4_toxicity, op7_langid, op8_simhash, op9_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
