@@ -121,10 +121,9 @@ def numbered_targets(docs: DataFrame, max_repeats: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = 128, max_repeats: int = 3, seed: int = 11) -> DataFrame:
-    """What the mix takes of each document of docs (doc_id, source, size).
+    """What the mix takes of each document of docs (doc_id, source, size, any others).
 
-    Returns doc_id, source, size, source_size, target, start (in the source's stream), taken: words taken, repeats
-    counted. A source with k slots gives the first k * block_words words of its endless stream (never more than
+    Returns docs' columns with source_size, target, start (in the source's stream), taken: words taken, repeats counted. A source with k slots gives the first k * block_words words of its endless stream (never more than
     max_repeats rounds of it); a document gives what of that lies in its own stretch, in every round.
     """
     targets = numbered_targets(docs, max_repeats)
@@ -142,7 +141,7 @@ def mix(docs: DataFrame, block_words: int = 128, max_repeats: int = 3, seed: int
     rest = F.col("words") - rounds * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     return streams(dealt, seed).select(
-        "doc_id", "source", "size", "source_size", "target", "start", (rounds * F.col("size") + part).cast("long").alias("taken")
+        *docs.columns, "source_size", "target", "start", (rounds * F.col("size") + part).cast("long").alias("taken")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm import ann, langid, media, mixing, packing, sharding, simhash, toxicity
+from folio_spark.llm import ann, html_main, langid, line_dedup, media, mixing, packing, sharding, simhash, toxicity
 from folio_spark.llm.common import fold, table
 
 
@@ -35,6 +35,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, ["held_out"]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by block marginals of a model trained on labelled pages of common layouts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_main.extract(pages, html_main.fit(html_main.LABELLED))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents, but for its first document."""
+    return line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by models learned from the folds that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
@@ -69,7 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_packing, op3_media, op4_toxicity, op7_langid, op8_simhash, op9_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_ann, op2_packing, op3_media, op4_toxicity, op5_html, op6_line_dedup, op7_langid, op8_simhash, op9_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
