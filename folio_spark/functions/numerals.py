@@ -40,7 +40,7 @@ def folded_value(s: Column) -> Column:
     """The value of any string of numerals: place by place where there is no unit, else by sections. Null for zero."""
     index = lambda c: F.instr(F.lit(DIGITS), F.translate(c, "〇两", "零二")) - 1
     unit = lambda c: F.coalesce(*[F.when(c == u, v) for u, v in UNITS.items()], F.lit(0))
-    chars = F.split(s, "(?!^)")
+    chars = F.filter(F.split(s, "(?!^)"), lambda c: c != "")
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("digit"))
 
     def step(acc: Column, c: Column) -> Column:
