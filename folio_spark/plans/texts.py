@@ -1 +1,169 @@
-"""Queries."""
+"""Queries on texts and pages. Documents' lines and pages stand in for statutes; Chinese marks are put around them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio_spark.operators import pages as P
+from folio_spark.operators import texts as X
+from folio_spark.plans import bindings as B
+from folio_spark.plans.registry import query
+from folio_spark.session import table
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+
+
+_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL)"
+_TRIM = "trim(regexp_replace(line, '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, {_TRIM} AS line FROM l WHERE {_TRIM} <> ''")
+def p17_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line gets an invisible character, and contents lines are put between, which must go again."""
+    docs = _docs(spark, sf_dir)
+    lines = X.lines_of(docs).withColumn("line", F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("​"), "line")).otherwise(F.col("line")))
+    toc = docs.select("doc_id", F.lit(-1).alias("line_no"), F.concat(F.lit("第一章 总则 ...... "), F.col("doc_id") % 100).alias("line"))
+    return X.clean_lines(lines.unionByName(toc))
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, {_TRIM} AS line FROM l)
+ SELECT doc_id, line_no + 1 AS position, CAST(line_no + 1 AS VARCHAR) AS number, line AS text, '第' || (floor(line_no / 10) + 1)::INT || '章 总则' AS part FROM s WHERE line <> '' AND line_no < 9000""")
+def w9_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statutes made of the documents: an article per line, a chapter per ten lines, numbers in Chinese numerals."""
+    from folio_spark.functions.numerals import numeral_dim
+
+    lines = X.lines_of(_docs(spark, sf_dir)).withColumn("line", X.clean(F.col("line"))).where("line <> '' and line_no < 9000")
+    numbered = lines.join(F.broadcast(numeral_dim(spark)), F.col("line_no") + 1 == F.col("value"))
+    chapter = F.when((F.col("line_no") % 10 == 0) | (F.lag("line_no").over(X.Window.partitionBy("doc_id").orderBy("line_no")) < F.col("line_no") - F.col("line_no") % 10), F.concat(F.lit("第"), (F.floor(F.col("line_no") / 10) + 1), F.lit("章 总则\n")))
+    made = numbered.withColumn("x", F.concat(F.coalesce(chapter, F.lit("")), F.lit("第"), "numeral", F.lit("条 "), "line"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "x"))), lambda r: r["x"]), "\n")
+    found = X.segment(made.groupBy("doc_id").agg(text.alias("text")))
+    return found.select("doc_id", F.col("number").try_cast("long").alias("position"), "number", "text", "part")
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1")
+def w9_titled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = X.lines_of(_docs(spark, sf_dir)).where("trim(line) <> ''").withColumn("n", F.row_number().over(X.Window.partitionBy("doc_id").orderBy("line_no")))
+    made = lines.where("n < 1000").withColumn("x", F.concat("n", F.lit(".【T"), "n", F.lit("】"), F.trim("line")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "x"))), lambda r: r["x"]), "\n")
+    found = X.titled_items(made.groupBy("doc_id").agg(text.alias("text"))).where("issue is null and number <> '序言'")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, string_agg({_TRIM}, '' ORDER BY line_no) AS text FROM l WHERE {_TRIM} <> '' AND NOT regexp_matches({_TRIM}, '^\\d{{1,4}}$') GROUP BY 1")
+def p23_rejoin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end in no Chinese stop and start no structure are one line again."""
+    lines = X.lines_of(_docs(spark, sf_dir)).withColumn("line", F.regexp_replace("line", r"[。；：！？，、:]\s*$", ""))
+    joined = X.rejoin_lines(lines)
+    return joined.select("doc_id", "text")
+
+
+@query("""WITH a AS (SELECT conv_id AS law_id, turn AS position, text FROM conversations WHERE text IS NOT NULL)
+ SELECT law_id, position, text, lag(CASE WHEN position % 3 = 0 THEN '第' || (position + 1) || '章 总则' END IGNORE NULLS) OVER (PARTITION BY law_id ORDER BY position) AS part FROM a""")
+def p18_trailing_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    turn = F.col("turn")
+    text = F.when(turn % 3 == 0, F.concat("text", F.lit("\n第"), turn + 1, F.lit("章 总则"))).otherwise(F.col("text"))
+    articles = c.select(F.col("conv_id").alias("law_id"), turn.alias("position"), text.alias("text"), F.lit(None).cast("string").alias("part"))
+    return X.fix_trailing_headings(articles)
+
+
+@query("""WITH i AS (SELECT l_orderkey AS law_id, l_linenumber AS n, l_partkey * 10 + l_linenumber AS position FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)),
+ r AS (SELECT law_id, n, CASE WHEN row_number() OVER (PARTITION BY law_id, n ORDER BY position) > 1 THEN 'duplicate' WHEN n < max(n) OVER (PARTITION BY law_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'restart' END AS issue FROM i),
+ s AS (SELECT law_id, unnest(range(min(n), max(n) + 1)) AS n FROM i GROUP BY 1)
+ SELECT law_id, n, issue FROM r WHERE issue IS NOT NULL UNION ALL SELECT s.law_id, s.n, 'gap' FROM s LEFT JOIN (SELECT DISTINCT law_id, n FROM i) q ON s.law_id = q.law_id AND s.n = q.n WHERE q.n IS NULL""")
+def w10_ordinal_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("law_id"), F.col("l_linenumber").alias("n"), "l_partkey").distinct()
+    return X.ordinal_issues(items.withColumn("position", F.col("l_partkey") * 10 + F.col("n")).drop("l_partkey"))
+
+
+@query("""SELECT conv_id AS law_id, CAST(turn AS VARCHAR) AS number, unnest(['1', '2']) AS item, unnest([trim(substr(t, 1, 40)), trim(substr(t, 41, 40))]) AS body
+ FROM (SELECT conv_id, turn, regexp_replace(text, '[()\\d（）\\n]', '', 'g') AS t FROM conversations) WHERE length(t) > 60 AND trim(substr(t, 1, 40)) <> '' AND trim(substr(t, 41, 40)) <> ''""")
+def p16_explode_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.regexp_replace("text", r"[()\d（）\n]", "")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("law_id"), F.col("turn").cast("string").alias("number"), t.alias("t"))
+    c = c.where("length(t) > 60 and trim(substr(t, 1, 40)) <> '' and trim(substr(t, 41, 40)) <> ''")
+    text = F.concat(F.lit("下列：\n（一）"), F.substring("t", 1, 40), F.lit("\n（二） "), F.substring("t", 41, 40))
+    return X.explode_items(c.select("law_id", "number", text.alias("text")))
+
+
+@query("""WITH c AS (SELECT doc_id, count(*) AS n, 0 AS numbered FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1), j AS (SELECT d.doc_id, length(text) AS size, n FROM documents d JOIN c USING (doc_id))
+ SELECT doc_id, 'single_clause_from_large_text' AS warning FROM j WHERE n = 1 AND size > 300 UNION ALL SELECT doc_id, 'no_numbered_clauses' FROM j""")
+def a13_split_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return X.split_quality(docs, X.lines_of(docs).withColumn("number", F.lit("正文")), large=300)
+
+
+@query("""WITH q AS (SELECT doc_id, text, instr(lower(text), 'the the') - 1 AS start FROM documents WHERE instr(lower(text), 'the the') > 0)
+ SELECT doc_id, CASE WHEN start > 30 THEN '…' ELSE '' END || trim(replace(substr(text, greatest(start - 30, 0) + 1, least(start + 37, length(text)) - greatest(start - 30, 0)), chr(10), ' ')) || CASE WHEN least(start + 37, length(text)) < length(text) THEN '…' ELSE '' END AS snippet FROM q""")
+def p14_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _docs(spark, sf_dir).withColumn("start", F.instr(F.lower("text"), "the the") - 1).where("start >= 0").withColumn("end", F.col("start") + 7)
+    return X.with_snippet(hits, 30).select("doc_id", "snippet")
+
+
+@query("""WITH h AS (SELECT doc_id, text, length(text) AS n, instr(lower(text), 'ention') - 1 AS p FROM documents WHERE text IS NOT NULL), s AS (SELECT *, least(greatest(CASE WHEN p >= 0 THEN p ELSE 0 END - 60, 0), greatest(n - 240, 0)) AS start_char FROM h)
+ SELECT doc_id, start_char, least(start_char + 240, n) AS end_char, substr(text, start_char + 1, least(start_char + 240, n) - start_char) AS excerpt, start_char <> 0 OR least(start_char + 240, n) <> n AS truncated, sha256(text) AS text_sha256 FROM s""")
+def p12_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _docs(spark, sf_dir).withColumn("query", F.lit("ention"))
+    return X.with_excerpt(hits).select("doc_id", "start_char", "end_char", "excerpt", "truncated", "text_sha256")
+
+
+@query(f"WITH {B.ARTICLES_SQL} SELECT law_id, position, number, level AS part, substr(text, 1, 60) AS preview, length(text) > 60 AS truncated FROM articles WHERE contains(level, 'e')")
+def p11_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.outline(B.articles(spark, sf_dir).withColumnRenamed("level", "part"), part="e")
+
+
+@query("SELECT c_custkey AS doc_id, '法释〔2020〕' || c_custkey || '号' AS docnum FROM customer WHERE c_custkey % 3 > 0")
+def p6_own_docnum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    own = F.when(k % 3 > 0, F.concat(F.lit("法释〔2020〕 "), k, F.lit("号\n")))
+    text = F.concat(F.lit("《旧规定》（法释〔2001〕9号）的说明\n"), F.coalesce(own, F.lit("")), F.lit("根据法发〔2010〕3号，制定本规定。\n第一条 依照法释〔1999〕8号办理。"))
+    return X.own_docnum(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
+
+
+@query("""SELECT c_custkey AS doc_id, c_custkey % 2 = 0 AS is_decision, CASE WHEN c_custkey % 2 = 0 THEN '法释〔2020〕' || c_custkey || '号' END AS amended_number, CASE WHEN c_custkey % 2 = 0 THEN '第一条 ' || c_name END AS reissued_text, c_custkey % 6 = 0 AS is_batch FROM customer""")
+def p19_split_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    title = F.when(k % 6 == 0, "关于修改《甲规定》等七件规定的决定").when(k % 2 == 0, "关于修改《甲规定》的决定").otherwise("甲规定")
+    text = F.concat(F.lit("现决定：法释〔2020〕 "), k, F.lit("号作如下修改。\n附：\n第一条 "), "c_name")
+    found = X.split_amendments(table(spark, sf_dir, "customer").select(k.alias("doc_id"), title.alias("title"), text.alias("text")))
+    return found.select("doc_id", "is_decision", "amended_number", "reissued_text", "is_batch")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '最高人民法院' ELSE '国务院' END AS issuer, CASE WHEN o_orderkey % 2 = 0 THEN 'judicial_interpretation' ELSE 'admin_regulation' END AS level,
+ '法释〔2021〕' || o_orderkey || '号' AS docnum, CAST(o_orderdate AS DATE) AS released_at, CAST(o_orderdate AS DATE) + 30 AS effective_at FROM orders""")
+def p22_infer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda c: F.concat(F.year(c), F.lit("年"), F.month(c), F.lit("月"), F.day(c), F.lit("日"))
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    title = F.when(k % 2 == 0, "最高人民法院关于甲法的解释（一）").otherwise("国务院公路条例")
+    text = F.concat(F.lit("（"), day(d), F.lit("审判委员会会议通过，法释〔2021〕"), k, F.lit("号）\n自"), day(F.date_add(d, 30)), F.lit("起施行。"))
+    return X.infer_metadata(table(spark, sf_dir, "orders").select(k.alias("doc_id"), title.alias("title"), text.alias("text")))
+
+
+@query("""WITH l AS (SELECT s_suppkey AS law_id, '法释〔2020〕' || (s_suppkey % 30) || '号' AS docnum, CASE WHEN s_suppkey % 2 = 0 THEN 'gov_xzfgk' ELSE 'nfra_gov_cn' END AS source, CAST(s_suppkey AS VARCHAR) AS source_id FROM supplier WHERE s_suppkey % 7 > 0)
+ SELECT docnum, source, arg_max(source_id, law_id) AS source_id, max(law_id) AS law_id FROM l GROUP BY 1, 2""")
+def p24_docnum_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    url = F.when(k % 2 == 0, F.concat(F.lit("http://xzfg.moj.gov.cn/law/detail?LawID="), k)).otherwise(F.concat(F.lit("https://www.nfra.gov.cn/cn/view?docId="), k))
+    laws = table(spark, sf_dir, "supplier").select(k.alias("law_id"), F.concat(F.lit("法释〔2020〕 "), k % 30, F.lit("号")).alias("document_number"), url.alias("source_url"), (k % 7 == 0).alias("is_reissue"), k.alias("ingest_seq"))
+    return X.build_docnum_index(laws)
+
+
+@query()
+def s10_pages_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and title of every page; entities and nested tags are beyond plain SQL, tests compare small pages."""
+    return P.pages_to_text(table(spark, sf_dir, "pages"))
+
+
+@query(r"""WITH x AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>', 2)) AS a, generate_subscripts(regexp_extract_all(html, '<a href="([^"]+)">', 1), 1) - 1 AS p FROM pages),
+ t AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || h AS target, a, p FROM x) SELECT page_id, target, arg_min(a, p) AS anchor, min(p) AS place FROM t GROUP BY 1, 2""")
+def p4_explode_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.explode_links(table(spark, sf_dir, "pages")).select("page_id", "target", "anchor", "place")
+
+
+@query()
+def p13_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.main_content(table(spark, sf_dir, "pages"))
