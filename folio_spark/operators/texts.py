@@ -56,27 +56,25 @@ def _running(c: Column, doc: str) -> Column:
 
 
 def _shaped(lines: DataFrame, number: Column, body: Column, doc: str) -> DataFrame:
-    """Articles of lines in which `number` is not null where one starts: doc, position, number, number_display, text, part."""
+    """Articles of lines (…, shape) in which `number` is not null where one starts: doc, position, shape, number, number_display, text, part."""
     level = F.when(F.col("line") == "附则", 0).when(F.col("line").rlike(f"^第{N}+编"), 1).when(F.col("line").rlike(f"^第{N}+分编"), 2).when(F.col("line").rlike(f"^第{N}+章"), 3).when(F.col("line").rlike(f"^第{N}+节"), 4)
-    level = F.when(F.col("line").rlike(STRUCTURE), level)
+    level = F.when(F.col("line").rlike(STRUCTURE) & (F.col("shape") != "body"), level)
     rows = lines.withColumn("__n", number).withColumn("__b", body).withColumn("__level", F.when(F.col("__n").isNull(), level))
     rows = rows.withColumn("g", _running(F.sum(F.col("__n").isNotNull().cast("int")), doc))
     # a heading is a part's name only if another article follows, else its line is text
     after = Window.partitionBy(doc).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("__later", F.max(F.col("__n").isNotNull().cast("int")).over(after))
     heading = F.col("__level").isNotNull() & (F.coalesce("__later", F.lit(0)) == 1)
-    parts = []
-    for k in range(5):
-        at = _running(F.max(F.when(heading & (F.col("__level") == k), F.col("line_no"))), doc)
-        above = _running(F.max(F.when(heading & (F.col("__level") < k), F.col("line_no"))), doc) if k else F.lit(None).cast("int")
-        name = _running(F.last(F.when(heading & (F.col("__level") == k), F.col("line")), ignorenulls=True), doc)
-        last_top = _running(F.max(F.when(heading & (F.col("__level") == 0), F.col("line_no"))), doc)
-        first_other = _running(F.max(F.when(heading & (F.col("__level") > 0), F.col("line_no"))), doc)
-        live = at.isNotNull() & (above.isNull() | (at > above)) if k else last_top.isNotNull() & (first_other.isNull() | (last_top > first_other))
-        parts.append(F.when(live, name))
-    rows = rows.withColumn("__part", F.concat_ws(" ", *parts)).where("g > 0").withColumn("__heading", heading)
+    rows = rows.withColumn("__heading", heading)
+    for k in range(5):  # the last heading of each level; it counts while no higher one has come after it
+        at = F.when(F.col("__heading") & (F.col("__level") == k), F.struct("line_no", "line"))
+        rows = rows.withColumn(f"__l{k}", _running(F.last(at, ignorenulls=True), doc))
+    place = lambda k: F.coalesce(F.col(f"__l{k}.line_no"), F.lit(-1))
+    above = lambda k: F.greatest(F.lit(-1), *[place(j) for j in range(k)]) if k > 1 else place(0) if k else F.greatest(*[place(j) for j in range(1, 5)])
+    parts = [F.when(place(k) > above(k), F.col(f"__l{k}.line")) for k in range(5)]
+    rows = rows.withColumn("__part", F.concat_ws(" ", *parts)).where("g > 0")
     piece = F.when(F.col("__n").isNotNull(), F.col("__b")).when(~F.col("__heading"), F.col("line"))
-    made = rows.groupBy(doc, F.col("g").alias("position")).agg(
+    made = rows.groupBy(doc, F.col("g").alias("position"), "shape").agg(
         F.max("__n").alias("number_display"),
         F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("line_no", piece.alias("x")))), lambda r: r["x"]), lambda x: x.isNotNull() & (x != "")), "\n").alias("text"),
         F.min_by("__part", "line_no").alias("part"),
@@ -115,15 +113,17 @@ def segment(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
         .otherwise("body")
     )
     rows = rows.withColumn("shape", shape).drop("__before", "__i0", "__falls")
-    none = F.lit(None).cast("string")
-    of = lambda s, n, b: _shaped(rows.where(F.col("shape") == s), n, b, doc).withColumn("shape", F.lit(s))
-    articles = of("articles", F.col("__h"), F.trim(F.coalesce(F.nullif(F.regexp_extract("line", ARTICLE, 2), F.lit("")), F.regexp_extract("line", DECIMAL, 2), F.lit(""))))
-    items = of("items", F.when(F.col("__i").isNotNull(), F.concat(F.lit("第"), "__i", F.lit("项"))), F.trim(F.regexp_extract("line", ITEM, 2)))
-    marks = of("outline", F.when(F.col("__o").isNotNull(), F.concat(F.lit("（"), "__o", F.lit("）"))), F.trim(F.regexp_extract("line", mark, 2)))
-    marks = marks.withColumn("number", F.col("position").cast("string"))
-    whole = rows.where("shape = 'body'").groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
-    whole = whole.select(doc, F.lit(1).cast("long").alias("position"), F.lit("正文").alias("number_display"), "text", none.alias("part"), F.lit("正文").alias("number"), F.lit("body").alias("shape"))
-    return articles.unionByName(items).unionByName(marks).unionByName(whole)
+    first = F.col("line_no") == F.min("line_no").over(has)
+    rows = rows.withColumn("__first", first)
+    per = {
+        "articles": (F.col("__h"), F.coalesce(F.nullif(F.regexp_extract("line", ARTICLE, 2), F.lit("")), F.regexp_extract("line", DECIMAL, 2), F.lit(""))),
+        "items": (F.when(F.col("__i").isNotNull(), F.concat(F.lit("第"), "__i", F.lit("项"))), F.regexp_extract("line", ITEM, 2)),
+        "outline": (F.when(F.col("__o").isNotNull(), F.concat(F.lit("（"), "__o", F.lit("）"))), F.regexp_extract("line", mark, 2)),
+        "body": (F.when(F.col("__first"), F.lit("正文")), F.col("line")),
+    }
+    pick = lambda i: F.coalesce(*[F.when(F.col("shape") == k, v[i]) for k, v in per.items()])
+    found = _shaped(rows, pick(0), F.trim(pick(1)), doc)
+    return found.withColumn("number", F.when(F.col("shape") == "outline", F.col("position").cast("string")).otherwise(F.col("number")))
 
 
 def _lagged(c: str, doc: str) -> Column:
