@@ -1 +1,207 @@
-"""Queries."""
+"""Queries on retrieval over the documents' lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio_spark.operators import retrieval as R
+from folio_spark.plans import bindings as B
+from folio_spark.plans.registry import query
+from folio_spark.session import table
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = B.articles(spark, sf_dir)
+    titles = B.laws(spark, sf_dir).select("law_id", F.substring("title", 1, 40).alias("title"))
+    return a.join(titles, "law_id").withColumn("article_id", F.col("law_id") * 100000 + F.col("position"))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every benchmark text."""
+    b = table(spark, sf_dir, "benchmark")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
+
+
+_Q = "q AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '\\p{L}+')[1:2], ' ') AS query FROM benchmark)"
+_A = f"""{B.ARTICLES_SQL}, art AS (SELECT a.law_id * 100000 + a.position AS article_id, a.law_id, a.position, a.number, a.text, a.level, a.issuing_body, substr(split_part(d.text, chr(10), 1), 1, 40) AS title FROM articles a JOIN documents d ON a.law_id = d.doc_id)"""
+_P = """tok AS (SELECT article_id, field, unnest(regexp_extract_all(lower(t), '[0-9a-z]+')) AS token FROM (SELECT article_id, 'title' AS field, title AS t FROM art UNION ALL SELECT article_id, 'text', text FROM art)),
+ post AS (SELECT token, field, article_id, count(*) AS tf, any_value(n) AS size FROM (SELECT *, count(*) OVER (PARTITION BY article_id, field) AS n FROM tok) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_A}, {_P} SELECT token, field, article_id, tf, size FROM post")
+def p15_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.build_postings(_articles(spark, sf_dir))
+
+
+_BM = f"""WITH {_A}, {_P}, {_Q}, nn AS (SELECT count(*) AS n FROM art), mean AS (SELECT field, sum(size) / (SELECT n FROM nn) AS mean FROM (SELECT DISTINCT field, article_id, size FROM post) GROUP BY 1),
+ qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(query, '[0-9a-z]+')) AS token FROM q), df AS (SELECT token, count(DISTINCT article_id) AS df FROM post GROUP BY 1),
+ s AS (SELECT query_id, article_id, token, greatest(ln(((SELECT n FROM nn) - any_value(df) + 0.5) / (any_value(df) + 0.5)), 1e-6) * 2.2 * sum(CASE field WHEN 'title' THEN 0.1 ELSE 1.0 END * tf / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS s
+  FROM qt JOIN df USING (token) JOIN post USING (token) JOIN mean USING (field) GROUP BY 1, 2, 3),
+ need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1),
+ bm AS (SELECT query_id, article_id, sum(s) AS score FROM s JOIN need USING (query_id) GROUP BY query_id, article_id, need HAVING count(*) = need)"""
+
+
+@query(_BM + " SELECT query_id, article_id, round(score, 6) AS score FROM bm")
+def a4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _articles(spark, sf_dir)
+    found = R.bm25(_queries(spark, sf_dir), R.build_postings(a), a.count())
+    return found.select("query_id", "article_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_A}, {_Q} SELECT query_id, article_id FROM q, art WHERE list_bool_and(list_transform(string_split(query, ' '), lambda t: contains(lower(art.text), t) OR contains(lower(title), t)))")
+def f4_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines that hold the queries' terms; terms here have no token that must be whole, so lines are scanned."""
+    a = _articles(spark, sf_dir).withColumn("released_at", F.lit(None).cast("date"))
+    return R.scan(_queries(spark, sf_dir), a, 1 << 30).select("query_id", "article_id")
+
+
+@query(f"WITH {_A}, {_Q}, h AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY law_id % 17 DESC, law_id, position) AS place FROM q, art WHERE list_bool_and(list_transform(string_split(query, ' '), lambda t: contains(lower(art.text), t) OR contains(lower(title), t)))) SELECT query_id, article_id, place FROM h WHERE place <= 20")
+def t4_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _articles(spark, sf_dir).withColumn("released_at", F.col("law_id") % 17)
+    return R.scan(_queries(spark, sf_dir), a, 20).select("query_id", "article_id", "place")
+
+
+@query("""WITH d AS (SELECT item_id AS query_id, '第' || item_id || '条' || substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 3) || '款' AS query FROM benchmark),
+ t AS (SELECT doc_id AS article_id, '见第' || (doc_id % 60) || '条' || substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 3) || '款。' AS text FROM documents)
+ SELECT query_id, article_id FROM d JOIN t ON contains(t.text, query)""")
+def f4_verbatim_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbatim search narrowed by Han bigrams and whole inner runs, over references made of the documents."""
+    letters = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 3)
+    made = lambda n: F.concat(F.lit("第"), n, F.lit("条"), letters, F.lit("款"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), made(F.col("item_id")).alias("query"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    a = docs.select(F.col("doc_id").alias("article_id"), F.concat(F.lit("见"), made(F.col("doc_id") % 60), F.lit("。")).alias("text"), F.lit("").alias("title"))
+    return R.verbatim_search(q, a, R.build_postings(a))
+
+
+_LAW = "laws AS (SELECT doc_id AS law_id, CASE lang WHEN 'en' THEN 'law' WHEN 'de' THEN 'local_regulation' WHEN 'fr' THEN 'department_rule' ELSE 'local_government_rule' END AS level, source AS issuing_body, split_part(text, chr(10), 1) AS title FROM documents WHERE text IS NOT NULL)"
+
+
+def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("level") == "en", "law").when(F.col("level") == "de", "local_regulation").when(F.col("level") == "fr", "department_rule").otherwise("local_government_rule")
+    return B.laws(spark, sf_dir).where("text is not null").withColumn("level", level)
+
+
+@query(f"WITH {_LAW} SELECT law_id, level FROM laws WHERE level <> 'department_rule' AND (level NOT LIKE 'local%' OR contains(lower(coalesce(issuing_body, '')), 'src1') OR contains(lower(title), 'src1'))")
+def f1_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.scope(_laws(spark, sf_dir), ["law", "local_regulation", "local_government_rule"], "Src1").select("law_id", "level")
+
+
+@query(f"WITH {_LAW} SELECT law_id FROM laws WHERE contains(coalesce(issuing_body, ''), '7')")
+def f3_in_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.in_part(_laws(spark, sf_dir).withColumnRenamed("issuing_body", "part"), "7").select("law_id")
+
+
+@query(f"WITH {B.VERSIONS_SQL} SELECT version_id FROM versions WHERE status IN ('current', 'repealed')")
+def f5_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_status(B.versions(spark, sf_dir).withColumnRenamed("status", "derived_status"), ["current", "repealed"]).select("version_id")
+
+
+@query(f"WITH {_LAW}, c AS (SELECT doc_id AS law_id, count(*) AS article_count FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '' GROUP BY 1) SELECT law_id, title, coalesce(article_count, 0) AS article_count FROM laws LEFT JOIN c USING (law_id) WHERE contains(lower(title), 'th') AND level = 'law' ORDER BY lower(title), law_id LIMIT 40 OFFSET 40")
+def f6_list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.list_documents(_laws(spark, sf_dir), B.articles(spark, sf_dir), "Th", "law", size=40, number=1).select("law_id", "title", "article_count")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 300")
+def t3_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.page(table(spark, sf_dir, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], 100, 3).select("o_orderkey", "o_custkey")
+
+
+_HITS = "hits AS (SELECT o_custkey AS query_id, o_orderkey AS ref, o_orderstatus = 'P' AS is_private, CASE o_orderstatus WHEN 'F' THEN 'law' WHEN 'O' THEN 'article' ELSE 'clause' END AS kind FROM orders)"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    kind = F.when(s == "F", "law").when(s == "O", "article").otherwise("clause")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("ref"), (s == "P").alias("is_private"), kind.alias("kind"))
+
+
+@query(f"WITH {_HITS} SELECT ref, CASE WHEN is_private THEN 'private_rule' ELSE 'public_law' END AS label, bool_or(is_private) OVER (PARTITION BY query_id) AND bool_or(NOT is_private) OVER (PARTITION BY query_id) AS conflict_notice FROM hits")
+def f7_guard_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.guard_private(_hits(spark, sf_dir), True).select("ref", "label", "conflict_notice")
+
+
+@query(f"WITH {_HITS} SELECT query_id, count(*) FILTER (WHERE kind = 'law') AS law, count(*) FILTER (WHERE kind = 'article') AS article, count(*) FILTER (WHERE kind = 'clause') AS clause, count(*) AS total FROM hits GROUP BY 1")
+def a3_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hit_counts(_hits(spark, sf_dir), ["law", "article", "clause"])
+
+
+@query(f"WITH {_Q}, none AS (SELECT * FROM q WHERE query_id % 3 > 0), t AS (SELECT query_id, query, string_split(query, ' ') AS ts FROM none) SELECT query_id, 'no_match_under_filters' AS code, array_to_string(list_filter(CASE WHEN len(list_distinct(ts)) > 1 THEN ts ELSE [] END, lambda x: length(x) >= 2), ' ') AS retries FROM t")
+def f8_zero_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _queries(spark, sf_dir).withColumn("unresolved", F.array().cast("array<string>"))
+    return R.zero_hits(q, q.where("query_id % 3 = 0")).select("query_id", "code", F.array_join("retries", " ").alias("retries"))
+
+
+_RANK = _BM + """, h AS (SELECT bm.query_id, query, article_id, text, title, level, number, CASE law_id % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'unknown' WHEN 2 THEN 'amended' ELSE 'pending_effective' END AS st, -round(score, 6) AS score FROM bm JOIN art USING (article_id) JOIN q USING (query_id)),
+ r AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE st WHEN 'current' THEN 0 WHEN 'pending_effective' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END,
+ len(list_filter(string_split(query, ' '), lambda t: NOT contains(lower(h.text), t) AND lower(title) <> t)), CASE WHEN number = '正文' THEN 1 ELSE 0 END, score, article_id) AS place FROM h)"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    a, q = _articles(spark, sf_dir), _queries(spark, sf_dir)
+    k = F.col("law_id") % 4
+    status = F.when(k == 0, "current").when(k == 1, "unknown").when(k == 2, "amended").otherwise("pending_effective")
+    found = R.bm25(q, R.build_postings(a), a.count()).withColumn("score", -F.round("score", 6)).join(a, "article_id").join(q, "query_id")
+    return R.rank_hits(found.withColumn("derived_status", status).withColumn("short_title", F.lit(None).cast("string")).withColumn("seq", F.col("article_id")), limit)
+
+
+@query(_RANK + " SELECT query_id, article_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 200")
+def w5_rank_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, 200).select("query_id", "article_id", "place")
+
+
+@query(_RANK + " SELECT query_id, article_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10")
+def t1_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, 10).select("query_id", "article_id", "place")
+
+
+@query("""WITH c AS (SELECT o_custkey % 20 AS query_id, o_orderkey AS article_id, o_totalprice AS score, CASE WHEN o_orderstatus = 'F' AND o_custkey % 20 < 15 OR o_orderkey % 30 = 0 THEN 'national' ELSE 'local' END AS tier FROM orders),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY score, article_id) AS n, least(count(*) FILTER (WHERE tier = 'national') OVER (PARTITION BY query_id), 100) AS nat FROM c) SELECT query_id, article_id, tier FROM r WHERE n <= CASE tier WHEN 'national' THEN 100 ELSE 100 - nat END""")
+def w6_tiered_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    national = ((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 20 < 15)) | (F.col("o_orderkey") % 30 == 0)
+    c = o.select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("article_id"), F.col("o_totalprice").alias("score"), F.when(national, "law").otherwise("local_regulation").alias("level"))
+    return R.tiered_pool(c, 20).select("query_id", "article_id", "tier")
+
+
+@query("""WITH e AS (SELECT o_custkey AS query_id, o_orderkey AS law_id, CAST(o_orderkey % 9 AS VARCHAR) AS number, o_orderkey % 50 AS work_key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'),
+ f AS (SELECT o_custkey AS query_id, o_orderkey AS law_id, CAST(o_orderkey % 9 AS VARCHAR) AS number, o_orderkey % 50 AS work_key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place FROM orders),
+ n AS (SELECT query_id, count(*) AS n FROM e GROUP BY 1),
+ k AS (SELECT f.*, coalesce(n, 0) AS n FROM f LEFT JOIN n USING (query_id) WHERE coalesce(n, 0) < 5 AND NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = f.query_id AND e.law_id = f.law_id AND e.number = f.number)
+  AND NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = f.query_id AND e.work_key = f.work_key AND e.law_id <> f.law_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, law_id, number) AS r FROM k)
+ SELECT query_id, law_id, place, 'exact' AS match FROM e UNION ALL SELECT query_id, law_id, n + r, 'fuzzy' FROM r WHERE r <= 8 - n""")
+def d4_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("law_id"), (F.col("o_orderkey") % 9).cast("string").alias("number"), (F.col("o_orderkey") % 50).alias("work_key"), "o_totalprice", "o_orderstatus")
+    by = R.Window.partitionBy("query_id")
+    cols = ["query_id", "law_id", "number", "work_key", "place"]
+    exact = o.where("o_orderstatus = 'F'").withColumn("place", F.row_number().over(by.orderBy("law_id"))).select(*cols)
+    fuzzy = o.withColumn("place", F.row_number().over(by.orderBy("o_totalprice", "law_id"))).select(*cols)
+    return R.supplement(exact, fuzzy, 8).select("query_id", "law_id", "place", "match")
+
+
+@query()
+def d5_fragment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts' first words joined to one part, which only pieces of lines can cover; a dynamic programme, no SQL."""
+    a = _articles(spark, sf_dir)
+    q = _queries(spark, sf_dir)
+    return R.fragment_hits(q, a, R.build_postings(a), a.count()).withColumn("score", F.round("score", 6))
+
+
+@query()
+def d7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _articles(spark, sf_dir).withColumn("derived_status", F.lit("current")).withColumn("short_title", F.lit(None).cast("string"))
+    clauses = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clause_id"), "text", F.lit(True).alias("is_private"))
+    return R.search(_queries(spark, sf_dir), a, B.laws(spark, sf_dir), clauses, R.build_postings(a), a.count(), 10, allow_private=True)
+
+
+@query("""WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place FROM orders), l AS (SELECT c_custkey AS query_id, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS target FROM customer)
+ SELECT query_id, min(place) AS rank, coalesce(min(place) <= 10, false) AS hit, round(coalesce(1.0 / min(place), 0.0), 6) AS rr FROM l LEFT JOIN h USING (query_id, target) GROUP BY 1""")
+def a10_eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    hits = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("target"), F.row_number().over(R.Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")).alias("place"))
+    last = o.groupBy(F.col("o_custkey").alias("query_id")).agg(F.max("o_orderkey").alias("target"))
+    labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id")).join(last, "query_id", "left")
+    return R.eval_retrieval(hits, labels).withColumn("rr", F.round("rr", 6))
