@@ -1 +1,186 @@
-"""Queries."""
+"""Queries on checks, reports and stores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio_spark.operators import quality as Q
+from folio_spark.plans import bindings as B
+from folio_spark.plans.registry import query
+from folio_spark.session import table
+from folio_spark.sources import readers as R
+from folio_spark.sources import store as S
+
+_CODES = "CASE s_suppkey % 5 WHEN 0 THEN '宪法' WHEN 1 THEN '地方法规' WHEN 2 THEN '司法解释' WHEN 3 THEN '部门规章' ELSE '其他' END"
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'law' WHEN 1 THEN 'local_regulation' WHEN 2 THEN 'judicial_interpretation' WHEN 3 THEN 'department_rule' ELSE 'other' END AS level, CASE s_suppkey % 6 WHEN 1 THEN 'repealed' WHEN 2 THEN 'amended' WHEN 3 THEN 'current' WHEN 4 THEN 'pending_effective' ELSE 'unknown' END AS status FROM supplier")
+def p9_map_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("宪法", "地方法规", "司法解释", "部门规章", "其他")))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", names[(F.col("s_suppkey") % 5).cast("int")].alias("c"), (F.col("s_suppkey") % 6).cast("int").alias("k"))
+    return Q.map_codes(Q.map_codes(rows, "c", Q.CATEGORY_LEVELS, "level", "other"), "k", Q.CODE_STATUS, "status", "unknown").select("s_suppkey", "level", "status")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'seed' WHEN o_orderkey % 5 = 0 THEN 'unknown' WHEN o_orderkey % 4 > 0 THEN 'populated' ELSE 'stub' END AS coverage, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-01-01'), 0) AS freshness_days,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'own' WHEN o_orderkey % 3 = 1 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 发布 / ' || CAST(CAST(o_orderdate AS DATE) + 5 AS VARCHAR) || ' 施行' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 快照' END AS version_label FROM orders""")
+def p10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select(
+        k, F.when(k % 11 == 0, "seed").otherwise("current").alias("status"), F.when(k % 5 > 0, k % 4).alias("article_count"), d.alias("source_checked_at"),
+        F.when(k % 3 == 0, "own").alias("version_label"), F.when(k % 3 == 1, d).alias("released_at"), F.when(k % 3 == 1, F.date_add(d, 5)).alias("effective_at"),
+    )
+    return Q.with_version_label(Q.with_freshness(Q.with_coverage(rows), "1997-01-01")).select("o_orderkey", "coverage", "freshness_days", "version_label")
+
+
+@query("""WITH d AS (SELECT o_orderkey AS k FROM orders) SELECT k AS doc_id, 'missing_title' AS code FROM d WHERE k % 7 = 0 UNION ALL SELECT k, 'invalid_released_at' FROM d WHERE k % 5 = 0 UNION ALL SELECT k, 'invalid_level' FROM d WHERE k % 9 = 0
+ UNION ALL SELECT k, 'invalid_status' FROM d WHERE k % 4 = 1 UNION ALL SELECT k, 'invalid_source_url' FROM d WHERE k % 6 = 0 UNION ALL SELECT k, 'blank_alias' FROM d WHERE k % 8 = 0""")
+def v1_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    docs = table(spark, sf_dir, "orders").select(
+        k.alias("doc_id"), F.when(k % 7 == 0, " ").otherwise(F.col("o_orderpriority")).alias("title"), F.when(k % 6 == 0, "ftp://x").otherwise("https://x").alias("source_url"), F.lit("s").alias("source_name"), F.lit("h").alias("source_hash"),
+        F.when(k % 5 == 0, "1997-02-30").otherwise("1997-02-03").alias("released_at"), F.lit(None).cast("string").alias("effective_at"), F.lit(None).cast("string").alias("repealed_at"),
+        F.when(k % 9 == 0, "x").otherwise("law").alias("level"), F.when(k % 4 == 1, "gone").otherwise("current").alias("status"), F.when(k % 8 == 0, F.array(F.lit("a"), F.lit(" "))).alias("aliases"),
+    )
+    return Q.violations(docs)
+
+
+@query("""WITH a AS (SELECT l_orderkey AS law_id, l_linenumber AS position, CAST(l_partkey AS VARCHAR) AS number, CASE WHEN l_suppkey % 50 = 0 THEN ' ' ELSE 't' END AS text, CASE WHEN l_suppkey % 40 = 1 THEN l_partkey + 1 ELSE l_partkey END AS shown FROM lineitem),
+ p AS (SELECT law_id, count(*) AS n, count(DISTINCT number) AS nn, count(DISTINCT position) AS np, min(position) AS lo, max(position) AS hi, bool_or(trim(text) = '') AS blank, bool_or(CAST(shown AS VARCHAR) <> number) AS diff FROM a GROUP BY 1)
+ SELECT law_id, 'empty_text' AS code FROM p WHERE blank UNION ALL SELECT law_id, 'duplicate_number' FROM p WHERE nn < n UNION ALL SELECT law_id, 'duplicate_position' FROM p WHERE np < n UNION ALL SELECT law_id, 'positions_not_contiguous' FROM p WHERE lo <> 1 OR hi <> n OR np < n UNION ALL SELECT law_id, 'display_disagrees' FROM p WHERE diff""")
+def v2_article_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("l_suppkey")
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("law_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").cast("string").alias("number"), F.when(s % 50 == 0, " ").otherwise("t").alias("text"), F.concat(F.lit("第"), F.when(s % 40 == 1, F.col("l_partkey") + 1).otherwise(F.col("l_partkey")), F.lit("条")).alias("number_display"))
+    return Q.article_violations(a)
+
+
+@query("SELECT p_partkey AS rule_id, 'window_reversed' AS code FROM part WHERE p_size % 5 = 0 AND p_size > 0 UNION ALL SELECT p_partkey, 'missing_topic' FROM part WHERE p_size % 6 = 0 UNION ALL SELECT p_partkey, 'missing_primary_law_id' FROM part WHERE p_size % 7 = 0")
+def v3_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.col("p_size")
+    day = F.lit("1996-01-01").cast("date")
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), F.date_add(day, z).alias("effective_from"), F.when(z % 5 > 0, F.date_add(day, z + 9)).otherwise(day).alias("effective_to"), F.when(z % 6 > 0, F.col("p_name")).alias("topic"), F.when(z % 7 > 0, F.col("p_partkey")).alias("primary_law_id"), F.lit("t").alias("rule_text"))
+    return Q.rule_violations(rules)
+
+
+@query("SELECT conv_id AS law_id, turn AS number, 'differs' AS issue FROM conversations WHERE turn % 4 = 1 AND turn % 3 > 0 UNION ALL SELECT conv_id, turn, 'missing' FROM conversations WHERE turn % 5 = 4 AND NOT turn % 4 = 1")
+def v4_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("law_id"), F.col("turn").alias("number"), F.coalesce("text", F.lit("")).alias("text"))
+    added = F.when(F.col("number") % 4 == 1, F.concat("text", F.lit(" new"))).otherwise(F.concat("text", F.lit("  〔note〕")))
+    changes = c.where("number % 4 = 1 and number % 3 = 0").withColumn("text", F.concat(F.lit(" "), "text", F.lit("new")))
+    return Q.consolidate(c.where("number % 5 <> 4 or number % 4 = 1"), changes, c.withColumn("text", added))
+
+
+@query("SELECT 'line_part' AS \"constraint\", CAST(l_partkey AS VARCHAR) AS key, count(*) AS n FROM lineitem WHERE l_partkey % 13 = 0 GROUP BY 2 UNION ALL SELECT 'order_customer', CAST(o_custkey AS VARCHAR), count(*) FROM orders WHERE o_custkey % 17 = 0 GROUP BY 2")
+def v5_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o, p, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "customer"))
+    return Q.orphans({"line_part": (li, "l_partkey", p.where("p_partkey % 13 > 0"), "p_partkey"), "order_customer": (o, "o_custkey", c.where("c_custkey % 17 > 0"), "c_custkey")})
+
+
+@query("""SELECT c_custkey AS draft_id, 'base_changed' AS code FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT DISTINCT c_custkey, 'name_taken' FROM customer JOIN part ON c_custkey % 50 + 100 = p_partkey JOIN (SELECT p_partkey AS other, p_name AS nm FROM part) ON nm = p_name WHERE other <> c_custkey""")
+def v6_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    current = p.select(F.col("p_partkey").alias("law_id"), F.col("p_brand").alias("fingerprint"), F.col("p_name").alias("name"))
+    k = F.col("c_custkey")
+    named = current.select(F.col("law_id").alias("x"), "name")
+    base = current.select("law_id", F.col("fingerprint").alias("base_fingerprint"))
+    drafts = table(spark, sf_dir, "customer").select(k.alias("draft_id"), k.alias("law_id"), (k % 50 + 100).alias("x")).join(named, "x").join(base, "law_id", "left")
+    return Q.conflicts(drafts.withColumn("base_fingerprint", F.when(F.col("draft_id") % 4 == 0, "old").otherwise(F.col("base_fingerprint"))), current)
+
+
+@query("""SELECT 'several_current_dates' AS code, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 6 > 0 GROUP BY o_custkey HAVING count(DISTINCT o_orderdate) > 1 UNION ALL SELECT 'missing_date', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 6 = 0
+ UNION ALL SELECT 'markup_residue', page_id || '#1' FROM pages UNION ALL SELECT 'snapshot_identity', CAST(o_orderkey * 2 AS VARCHAR) FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey % 7 > 0 UNION ALL SELECT 'missing_revision', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 7 = 0""")
+def a6_corpus_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    laws = v.select(k.alias("law_id"), F.col("o_custkey").alias("work_key"), F.when(F.col("o_orderstatus") == "F", "current").otherwise("amended").alias("status"), F.when(k % 6 > 0, F.to_date("o_orderdate")).alias("effective_at"))
+    revisions = v.where("o_orderkey % 7 > 0").select((k * 2).alias("revision_id"), k.alias("law_id"), F.when(k % 10 == 3, k + 1).otherwise(k).alias("snapshot_id"))
+    articles = table(spark, sf_dir, "pages").select(F.col("page_id").alias("law_id"), F.lit("1").alias("number"), F.col("html").alias("text"))
+    return Q.corpus_gate(laws, revisions, articles)
+
+
+_STATUS = f"""WITH {B.ARTICLES_SQL}, c AS (SELECT law_id, count(*) AS n FROM articles GROUP BY 1), l AS (SELECT doc_id, lang AS level, CASE WHEN doc_id % 9 = 0 THEN 'seed' ELSE 'current' END AS status, coalesce(n, 0) AS n FROM documents LEFT JOIN c ON c.law_id = doc_id),
+ k AS (SELECT *, CASE WHEN status = 'seed' THEN 'seed' WHEN n > 0 THEN 'populated' ELSE 'stub' END AS coverage FROM l)
+ SELECT 'level' AS dimension, coalesce(level, '') AS value, count(*) AS laws, CAST(sum(n) AS BIGINT) AS articles FROM k GROUP BY level UNION ALL SELECT 'status', status, count(*), sum(n) FROM k GROUP BY status UNION ALL SELECT 'coverage', coverage, count(*), sum(n) FROM k GROUP BY coverage UNION ALL SELECT 'all', '', count(*), sum(n) FROM k"""
+
+
+@query(_STATUS)
+def a1_corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laws = B.laws(spark, sf_dir).withColumn("status", F.when(F.col("law_id") % 9 == 0, "seed").otherwise("current"))
+    return Q.corpus_status(laws, B.articles(spark, sf_dir))
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey")
+def a2_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
+    return Q.with_counts(table(spark, sf_dir, "customer"), o, "c_custkey").select("c_custkey", "n")
+
+
+@query("SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2")
+def a14_distinct_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.distinct_issues(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
+@query("""WITH b AS (SELECT conv_id, turn, text, role FROM conversations WHERE turn % 3 <> 1), a AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN upper(text) ELSE text END AS text, CASE WHEN conv_id % 5 = 0 THEN 'x' ELSE role END AS role FROM conversations WHERE turn % 5 <> 4),
+ j AS (SELECT coalesce(a.conv_id, b.conv_id) AS law_id, a.conv_id IS NULL AS removed, b.conv_id IS NULL AS added, a.conv_id IS NOT NULL AND b.conv_id IS NOT NULL AS both_, a.text IS DISTINCT FROM b.text AS ct, a.role IS DISTINCT FROM b.role AS cp FROM b FULL JOIN a ON a.conv_id = b.conv_id AND a.turn = b.turn)
+ SELECT law_id, count(*) FILTER (WHERE added) AS added, count(*) FILTER (WHERE removed) AS removed, count(*) FILTER (WHERE both_ AND ct) AS changed_text, count(*) FILTER (WHERE both_ AND cp) AS changed_part FROM j GROUP BY 1
+ HAVING count(*) FILTER (WHERE added OR removed OR both_ AND (ct OR cp)) > 0""")
+def a12_rebuild_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("law_id"), F.col("turn").alias("number"), "text", F.col("role").alias("part"))
+    after = c.where("number % 5 <> 4").withColumn("text", F.when(F.col("number") % 4 == 0, F.upper("text")).otherwise(F.col("text"))).withColumn("part", F.when(F.col("law_id") % 5 == 0, "x").otherwise(F.col("part")))
+    return Q.rebuild_impact(c.where("number % 3 <> 1"), after)
+
+
+@query("""WITH d AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 9 > 0 GROUP BY 1), m AS (SELECT o_custkey AS k, count(*) + CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE 0 END AS e FROM orders WHERE o_custkey % 8 > 0 GROUP BY 1)
+ SELECT 'f' || coalesce(d.k, m.k) AS file, CASE WHEN d.k IS NULL THEN 'stale' WHEN m.k IS NULL THEN 'missing' ELSE 'count_mismatch' END AS issue FROM d FULL JOIN m USING (k) WHERE d.k IS NULL OR m.k IS NULL OR n <> e""")
+def d6_manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    counts = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("f"), "o_custkey").alias("file")
+    return Q.manifest_check(counts.where("o_custkey % 9 > 0").select(name, "n"), counts.where("o_custkey % 8 > 0").select(name, (F.col("n") + F.when(k % 4 == 0, 1).otherwise(0)).alias("expected")))
+
+
+@query("SELECT o_orderkey AS law_id, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN -1 ELSE o_custkey END AS work_id FROM orders UNION ALL SELECT o_orderkey + 1000000, 'Z', CASE WHEN o_orderkey % 2 = 0 THEN -1 END FROM orders WHERE o_orderkey % 5 = 0")
+def s11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("law_id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("work_id"))
+    batch = target.where("law_id % 5 = 0").select("law_id", F.lit("Z").alias("status"), F.when(F.col("law_id") % 2 == 0, -1).cast("long").alias("work_id"))
+    return S.upsert(target, batch.unionByName(batch.withColumn("law_id", F.col("law_id") + 1000000)))
+
+
+@query("""SELECT coalesce(b, t) AS law_id, CASE WHEN b IS NULL THEN 'keep' WHEN t IS NULL THEN 'insert' WHEN b % 6 = 0 OR b % 10 = 1 THEN 'reload' WHEN b % 4 = 2 THEN 'refresh' ELSE 'keep' END AS action FROM (SELECT o_orderkey AS b FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 6 = 0) FULL JOIN (SELECT o_orderkey AS t FROM orders WHERE o_orderkey % 7 > 0) ON b = t""")
+def s12_plan_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    same = [F.lit("c").alias("content_hash"), F.lit("m").alias("metadata_hash"), F.lit("t").alias("text_hash")]
+    batch = o.where("o_orderkey % 3 > 0 or o_orderkey % 6 = 0").select(k.alias("law_id"), F.when(k % 6 == 0, "x").otherwise("c").alias("content_hash"), F.when(k % 4 == 2, "x").otherwise("m").alias("metadata_hash"), F.when(k % 10 == 1, "x").otherwise("t").alias("text_hash"))
+    return S.plan_refresh(o.where("o_orderkey % 7 > 0").select(k.alias("law_id"), *same), batch)
+
+
+@query("""SELECT c_custkey AS law_id, array_to_string(list_filter([CASE WHEN c_custkey < 100 AND c_custkey IN (SELECT s_suppkey FROM supplier) THEN 'rules' END, CASE WHEN c_custkey % 3 = 0 THEN 'packs' END], lambda x: x IS NOT NULL), ',') AS blocked_by, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS owned_rows FROM customer""")
+def s13_plan_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("law_id"))
+    rules = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("law_id"))
+    return S.plan_delete(c, {"rules": rules, "packs": c.where("law_id % 3 = 0")}, {"articles": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("law_id"))})
+
+
+@query("SELECT 'customer' AS \"table\", count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
+def s14_release_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a release's manifest says of two tables; the digest is tested for order independence."""
+    parts = [S.release_digest(table(spark, sf_dir, t), t) for t in ("customer", "orders")]
+    return parts[0].unionByName(parts[1]).select("table", "rows")
+
+
+@query("SELECT c_custkey AS source_id, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS ids, 'internal' AS sensitivity FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def s15_export_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"))
+    children = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("text"))
+    nested = S.export_nested(parents, children, "source_id", "clauses", with_text=False)
+    ids = F.array_join(F.transform("clauses", lambda c: c["position"].cast("string")), ",")
+    return nested.select("source_id", F.greatest(F.coalesce(F.size("clauses"), F.lit(0)), F.lit(0)).cast("long").alias("n"), F.coalesce(ids, F.lit("")).alias("ids"), "sensitivity")
+
+
+@query("SELECT o_orderkey AS revision_id, CASE WHEN o_orderkey % 4 = 0 THEN 'fixed' ELSE 'own' END AS snapshot_json FROM orders WHERE o_orderkey % 4 > 0 OR o_orderkey % 3 > 0")
+def s16_repair_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    revisions = o.select(k.alias("revision_id"), k.alias("law_id"), F.col("o_custkey").alias("work_id"), k.cast("string").alias("content_hash"), F.to_date("o_orderdate").alias("effective_at"), F.when(k % 4 == 0, k + 1).otherwise(k).alias("snapshot_id"), F.lit("own").alias("snapshot_json"))
+    payloads = revisions.where("law_id % 3 > 0").select("work_id", "content_hash", "effective_at", F.lit("fixed").alias("payload"))
+    return S.repair_snapshots(revisions, payloads)[0].select("revision_id", "snapshot_json")
