@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,9 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> Spar
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all machines share; below the temp folder where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="folio-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

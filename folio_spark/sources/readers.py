@@ -79,17 +79,17 @@ def read_norms(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = _json(spark, path, NORMS)
     kind = F.coalesce(*[F.when(F.col("source_type") == k, v) for k, v in LEGACY_TYPES.items()], F.when(F.col("source_type").isin(*NORM_TYPES), F.col("source_type")), F.lit("other"))
     own = F.coalesce("id", F.concat(F.lit("norm-"), F.substring(F.sha1("name"), 1, 12)))
-    aliases = F.array_distinct(F.filter(F.transform("aliases", F.trim), lambda a: a != ""))
+    aliases = F.array_distinct(F.filter(F.transform("aliases", lambda a: F.trim(a)), lambda a: a != ""))
     sources = raw.select(own.alias("source_id"), "name", "short_name", aliases.alias("aliases"), kind.alias("source_type"), "authority", "jurisdiction", as_date(F.col("effective_at")).alias("effective_at"), as_date(F.col("repealed_at")).alias("repealed_at"))
     clauses = raw.select(own.alias("source_id"), F.posexplode("clauses").alias("p", "c")).select("source_id", (F.col("p") + 1).alias("position"), "c.*")
     return {"norms": sources, "clauses": clauses}
 
 
 def ingest_text(spark: SparkSession, path: str) -> DataFrame:
-    """Clauses of whole text files: doc_id (file), position, number, text, part, shape."""
+    """Clauses of whole text files: doc_id (the file's path), position, number, text, part, shape."""
     from folio_spark.operators.texts import segment
 
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("doc_id"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
     return segment(raw)
 
 
