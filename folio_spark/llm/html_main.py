@@ -343,7 +343,8 @@ def _labelled() -> list[str]:
     out = []
     tiny = f"<h1>A plan</h1>{_S}"
     long = f"<h1>A plan for the town and all that came of it in the end</h1><p>{_P[3:-4] * 3}</p>{_Q * 2}<p>{_Q[3:-4] * 4}</p>{_S}<p>To be</p>{_P * 2}"
-    for inner in (body, rich, tiny, long):
+    bare, pair = f"<p>{_P[3:-4] * 2}</p>", f"{_P}{_Q}"  # articles without a heading
+    for inner in (body, rich, tiny, long, bare, pair):
         out += [
             f"<body><nav>{_LINKS}</nav>{_AD.format('ad')}<article data-main=1>{inner}</article>{foot}</body>",
             f"<body><header><h2>The Gazette</h2><p>News for everyone in the valley and beyond.</p></header><main><article data-main=1>{inner}{_AD.format('sponsored')}{_Q}</article></main>{side.format('aside', 'x')}{foot}</body>",
