@@ -68,41 +68,35 @@ def derived_aliases() -> Column:
     own = [versioned, F.when((stripped != base) & F.length(stripped).between(2, 24), stripped)]
     own.append(F.concat(_court(_get(base, f"^(?:{PRC})?(民事|行政|刑事)诉讼法$")), F.lit("诉法")))
 
-    def numbered(alias: Column) -> list[Column]:
+    def numbered(alias: Column) -> Column:
         """An alias as it is, or with the title's ordinal in both spellings."""
-        return [F.when(number.isNull(), alias), F.concat(alias, number), F.concat(alias, F.lit("（"), number, F.lit("）"))]
+        return F.array(F.when(number.isNull(), alias), F.concat(alias, number), F.concat(alias, F.lit("（"), number, F.lit("）")))
 
-    spc = t.rlike(SPC)
     plain = lambda x: F.regexp_replace(x, f"^{PRC}", "")
     effect, topic, suffix, provisions, book = (F.col(c) for c in ("effect", "topic", "suffix", "provisions", "book"))
-    kinds = [
-        (effect.isNotNull(), [F.concat(plain(effect), F.lit(s)) for s in ("时间效力规定", "时间效力解释", "时效规定")]),
-        (topic.isNotNull(), [F.concat(topic, suffix), F.when(topic.rlike("纠纷$"), F.concat(F.regexp_replace(topic, "(责任)?纠纷$", ""), suffix))]),
-        (provisions.isNotNull(), [F.concat(provisions, F.lit("规定"))]),
-        (F.col("replied").isNotNull(), [F.concat(plain(F.col("replied")), F.lit(p), "replied_to", F.lit("批复")) for p in ("第", "")]),
-    ]
-    special, taken = [], F.lit(False)
-    for holds, names in kinds:
-        now = spc & holds & ~taken
-        special += [F.when(now, x) for n in names for x in numbered(n)]
-        taken = taken | (spc & holds)
+    dispute = F.when(topic.rlike("纠纷$"), F.concat(F.regexp_replace(topic, "(责任)?纠纷$", ""), suffix))
+    special = F.coalesce(
+        F.when(effect.isNotNull(), F.transform(F.array(*map(F.lit, ("时间效力规定", "时间效力解释", "时效规定"))), lambda s: F.concat(plain(effect), s))),
+        F.when(topic.isNotNull(), F.array(F.concat(topic, suffix), dispute)),
+        F.when(provisions.isNotNull(), F.array(F.concat(provisions, F.lit("规定")))),
+        F.when(F.col("replied").isNotNull(), F.transform(F.array(F.lit("第"), F.lit("")), lambda p: F.concat(plain(F.col("replied")), p, "replied_to", F.lit("批复")))),
+    )
+    special = F.when(t.rlike(SPC), F.flatten(F.transform(special, numbered)))
 
     host = F.coalesce(book, F.when(~t.contains("民法典》"), F.col("applied")))
-    general, before = [], F.lit(False)
-    for pattern, suffixes in ISSUERS:
-        now = t.rlike(pattern) & ~before & ~taken
-        for s in suffixes:
-            for lead in ("", "民法典"):
-                name = F.concat(F.lit(lead), host, F.lit(s))
-                name = F.when(book.isNotNull(), name) if lead else name
-                general += [F.when(now, x) for x in numbered(name)[: 2 if lead else 3]] + [F.when(now & (number == "一"), name)]
-        if "解释" in suffixes:
-            short = F.when(now & host.rlike(".诉讼法$"), _court(F.regexp_replace(host, "诉讼法$", "")))
-            general += [F.concat(short, F.lit("诉法解释")), F.concat(short, F.lit("诉解释"))]
-        before = before | t.rlike(pattern)
+    suffixes = F.coalesce(*[F.when(t.rlike(pattern), F.array(*map(F.lit, names))) for pattern, names in ISSUERS])
+
+    def general(s: Column) -> Column:
+        name = F.concat(host, s)
+        long = F.when(book.isNotNull(), F.concat(F.lit("民法典"), name))
+        first = lambda x: F.when(number == "一", x)
+        return F.concat(numbered(name), F.array(first(name), F.when(number.isNull(), long), F.concat(long, number), first(long)))
+
+    short = F.when(F.array_contains(suffixes, "解释") & host.rlike(".诉讼法$"), _court(F.regexp_replace(host, "诉讼法$", "")))
+    rest = F.concat(F.flatten(F.transform(suffixes, general)), F.array(F.concat(short, F.lit("诉法解释")), F.concat(short, F.lit("诉解释"))))
     decision = base.rlike("关于(?:修改|修正|修订|废止).+的决定$")
-    rest = [F.when(~decision, x) for x in special + general]
-    return F.array_distinct(F.array_compact(F.array(*own, *rest)))
+    rest = F.when(~decision, F.coalesce(special, rest))
+    return F.array_distinct(F.array_compact(F.concat(F.array(*own), F.coalesce(rest, F.array().cast("array<string>")))))
 
 
 def derive_aliases(laws: DataFrame) -> DataFrame:
