@@ -136,9 +136,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
                     break
         if not fill[giver]:
             live.discard(giver)
-        if moved:
             stuck.clear()
-        else:
+        elif not moved:
             stuck.add(giver)
     return [bins[b] for b in sorted(live)]
 
