@@ -2,18 +2,18 @@
 
 Every line is parsed to a leaf of a fixed-depth tree by its token count and its first DEPTH tokens (tokens with digits
 count as one variable token). Within a leaf, lines join the first template they agree with in SIMILAR of their tokens;
-tokens that differ become variables. A template recurs if its lines have several different lines before them and several
-after them: in a text that was copied as a whole, or with a line changed here and there, a line keeps one neighbour at
-least, while a passage, a licence line or a banner that turns up in unrelated documents keeps neither. A document's
-start and end are neighbours of their own; the only line of a document has none. Lines of at least LONG tokens recur
-with PLACES_LONG neighbours on each side, or more pairs of neighbours than that (where one side is a recurring line
-itself), shorter ones with PLACES_SHORT. The document with the least id keeps a recurring template's lines, all others
-lose them.
+tokens that differ become variables. A template recurs if its lines are in PLACES_LONG texts (lines of at least LONG
+tokens) or PLACES_SHORT texts (shorter lines) that are no copies of each other, whatever the lines around it: a passage
+of several lines counts like one of one line. Texts are copies of each other if the lines that they share, weighed by
+tokens, are COPY of all that both have (as in the near-duplicate stage), or if such pairs lead from one to the other.
+The document with the least id keeps a recurring template's lines, all others lose them.
 
 Plan: one pass turns lines into hashes; only leaves that hold several different lines are parsed further, found through
 a bitmap of leaf hashes of fixed size, so their tokens are all that is shuffled. A leaf over MAX_LEAF different lines is
-parsed deeper, at twice the depth each time, until it is small or its lines agree in all tokens. Counts are partial
-sums; dropping is a join on the document.
+parsed deeper, at twice the depth each time, until it is small or its lines agree in all tokens. Copies are found among
+the texts whose shared lines suffice: texts of the same shared lines are one, others are paired by their rarest lines
+(prefix filtering, which loses no pair) and their overlap is summed. Counts are partial sums; dropping is a join on the
+document.
 
 Defined cases: null text stays null with no lines; blank lines are never dropped; a document may end up empty; rows with
 equal id and equal text are one document; a null id comes after all others, and its rows are told apart by their text;
@@ -33,9 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.llm.common import partitions, spool
+from folio_spark.llm.graph import components
 
 DEPTH, SIMILAR, MAX_LEAF = 4, 0.75, 1024
 LONG, PLACES_LONG, PLACES_SHORT = 8, 2, 10
+COPY = 0.8
 BITMAP_BITS = 24
 _DIGIT = re.compile(rb"[0-9]")
 
@@ -67,24 +69,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def line_hashes(keyed: DataFrame) -> DataFrame:
-    """doc_id, k, line_no, n_tokens, leaf, line, before, after of every line of keyed (text, doc_id, k) that is not blank."""
+    """doc_id, k, line_no, n_tokens, leaf, line, size (the text's tokens) of every line of keyed (text, doc_id, k) that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, docs in _rows(batches):
             own, out = [], []
-            keys = batch.column(2).to_pylist()
             for i, lines in enumerate(docs):
-                kept = [(n, x) for n, x in enumerate(lines) if x]
-                edges = (_h(b"start %d" % keys[i]), _h(b"end %d" % keys[i])) if len(kept) > 1 else (0, 0)
-                hashes = [edges[0], *(_h(b" ".join(x)) for _, x in kept), edges[1]]
-                for j, (n, x) in enumerate(kept):
-                    own.append(i)
-                    out.append((n, len(x), leaf(x), hashes[j + 1], hashes[j], hashes[j + 2]))
-            cols = list(zip(*out, strict=True)) or [()] * 6
+                size = sum(map(len, lines))
+                for n, x in enumerate(lines):
+                    if x:
+                        own.append(i)
+                        out.append((n, len(x), leaf(x), _h(b" ".join(x)), size))
+            cols = list(zip(*out, strict=True)) or [()] * 5
             at = pa.array(own, pa.int64())
             yield pa.record_batch([batch.column(1).take(at), batch.column(2).take(at), *[pa.array(c, pa.int64()) for c in cols]], names)
 
-    names = ["doc_id", "k", "line_no", "n_tokens", "leaf", "line", "before", "after"]
+    names = ["doc_id", "k", "line_no", "n_tokens", "leaf", "line", "size"]
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return keyed.select("text", "doc_id", "k").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
 
@@ -162,16 +162,51 @@ def _by_leaf(lines: pd.DataFrame) -> pd.DataFrame:
     return templates_of(lines)
 
 
+def copies(shared: DataFrame) -> DataFrame:
+    """node, root (values of k) of the texts that have copies, from shared (k, template, df, size, tokens).
+
+    shared has every template that several texts have, once a text: df is in how many, tokens its tokens in this one.
+    """
+    text, rare = Window.partitionBy("k"), Window.partitionBy("k").orderBy("df", "template")
+    found = shared.withColumn("sum", F.sum("tokens").over(text)).where(F.col("sum") >= COPY * F.col("size"))
+    alike = lambda both, a, b: both >= COPY * (a + b - both)
+    # texts of the same shared lines stand for each other where these lines suffice
+    marks = found.groupBy("k").agg(
+        F.xxhash64(F.sort_array(F.collect_list(F.struct("template", "tokens"))), F.first("size")).alias("mark"),
+        F.first(alike(F.col("sum"), F.col("size"), F.col("size"))).alias("enough"),
+    )
+    marks = spool(marks, "marks")
+    least = marks.where("enough").groupBy("enough", "mark").agg(F.min("k").alias("least"))
+    marks = spool(marks.join(least, ["enough", "mark"], "left").select("k", F.coalesce("least", "k").alias("u")), "marks")
+    found = spool(found.join(marks.where("k = u").select("k"), "k", "left_semi"), "copies")
+    # rarest lines first, those of one text only before all: a pair has a line in common before more than 1 - COPY has passed
+    passed = F.col("size") - F.col("sum") + F.sum("tokens").over(rare) - F.col("tokens")
+    first = found.withColumn("passed", passed).where(F.col("passed") <= (1 - COPY) * F.col("size") + 1e-6).select("k", "template", "size")
+    other = first.select(F.col("k").alias("v"), "template", F.col("size").alias("v_size"))
+    near = F.least("size", "v_size") >= COPY * F.greatest("size", "v_size")
+    pairs = first.join(other, "template").where((F.col("k") < F.col("v")) & near).select("k", "v").distinct()
+    mine = found.select("k", "template", "size", "tokens")
+    theirs = found.select(F.col("k").alias("v"), "template", F.col("size").alias("v_size"), F.col("tokens").alias("v_tokens"))
+    both = pairs.join(mine, "k").join(theirs, ["v", "template"]).groupBy("k", "v").agg(
+        F.sum(F.least("tokens", "v_tokens")).alias("both"), F.first("size").alias("a"), F.first("v_size").alias("b")
+    )
+    links = both.where(alike(F.col("both"), F.col("a"), F.col("b"))).select(F.col("k").alias("u"), "v")
+    return components(links.union(marks.where("k <> u").select("u", F.col("k").alias("v"))))
+
+
 def recurring(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """Of lines (line_hashes), those to drop: doc_id, k, line_no."""
     named = lines.join(templates, "line", "left").withColumn("template", F.coalesce("template", "line"))
-    named = spool(named.select("doc_id", "k", "line_no", "n_tokens", "template", "before", "after"), "named")
-    pairs = named.groupBy("template", "before", "after").agg(F.max("n_tokens").alias("n"))
-    places = pairs.groupBy("template").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_distinct("before").alias("befores"), F.count_distinct("after").alias("afters"), F.max("n").alias("n")
-    )
-    need = F.when(F.col("n") >= LONG, PLACES_LONG).otherwise(PLACES_SHORT)
-    often = (F.least("befores", "afters") >= need) | (F.col("pairs") > need)
+    named = named.select("doc_id", "k", "line_no", "n_tokens", "template", "size")
+    several = named.groupBy("template").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("template")
+    # equal rows are one document
+    named = spool(named.join(several, "template").dropDuplicates(["doc_id", "k", "line_no"]), "named")
+    held = named.groupBy("template", "k").agg(F.sum("n_tokens").alias("tokens"), F.first("size").alias("size"), F.max("n_tokens").alias("n"))
+    held = spool(held, "held")
+    held = held.join(held.groupBy("template").agg(F.count(F.lit(1)).alias("df")), "template")
+    places = held.join(copies(held), F.col("k") == F.col("node"), "left").groupBy("template", F.coalesce("root", "k").alias("root")).agg(F.max("n").alias("n"))
+    places = places.groupBy("template").agg(F.count(F.lit(1)).alias("places"), F.max("n").alias("n"))
+    often = F.col("places") >= F.when(F.col("n") >= LONG, PLACES_LONG).otherwise(PLACES_SHORT)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
     first = named.groupBy("template").agg(F.min(order).alias("first"))
     kept = places.where(often).join(first, "template").select("template", F.col("first.doc_id").alias("f"), F.col("first.k").alias("fk"))
@@ -185,7 +220,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     lines = spool(line_hashes(keyed), "lines")
     several = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf")
     templates = spool(merge_templates(line_tokens(keyed, _bitmap(several))), "templates")
-    gone = recurring(lines, templates).distinct().groupBy("doc_id", "k").agg(F.collect_set("line_no").alias("__gone"))
+    gone = recurring(lines, templates).groupBy("doc_id", "k").agg(F.collect_set("line_no").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "__gone")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*kept).withColumn("__key", key).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")

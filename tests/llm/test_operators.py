@@ -418,6 +418,22 @@ def test_recurring_lines(spark):
     assert line_dedup.drop_recurring(docs(spark, [])).count() == 0
 
 
+def test_passages_of_several_lines_recur(spark):
+    rows, want = [], {}
+    for case, (lines, many) in enumerate((n, m) for n in (2, 3, 5) for m in (2, 100)):
+        passage = [words(5000 + 10 * case + j, 12) for j in range(lines)]
+        for i in range(many):
+            own = [words(10_000 + 1000 * case + 2 * i + j, 40) for j in (0, 1)]
+            want[len(rows)] = "\n".join([own[0], *(passage if i == 0 else []), own[1]])
+            rows.append((len(rows), "\n".join([own[0], *passage, own[1]])))
+    text = [words(90_000 + j, 20) for j in range(20)]
+    for copy in range(30):  # copies with a line of their own each are no recurrence
+        want[len(rows)] = "\n".join([*text[:copy % 20], words(91_000 + copy, 20), *text[copy % 20 + 1 :]])
+        rows.append((len(rows), want[len(rows)]))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_templates_generalise_and_large_leaves_are_cut(spark):
     lines = [f"user logged in from host h{c} at gate {g} now" for c in "abcdefgh" for g in "uvwx"]
     tokens = spark.createDataFrame([(1, i, [xxhash.xxh32_intdigest(t.encode()) for t in x.split()]) for i, x in enumerate(lines)], "leaf long, line long, tokens array<long>")
