@@ -194,6 +194,18 @@ def test_near_duplicates(spark):
         assert found[300] == found[301] == 300 and found[302] == found[303] == 302
 
 
+def test_near_duplicates_by_exact_similarity(spark):
+    r, rows = np.random.default_rng(3), []
+    for i in range(150):  # texts of 100 words, the second with its end replaced: similarities of 0.65 to 0.95
+        w = [f"w{x}" for x in r.integers(0, 10**6, 100)]
+        cut = 80 + i % 20
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:cut] + [f"w{x}" for x in r.integers(0, 10**6, 100 - cut)]))]
+    found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs(spark, rows)).collect()}
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    for i in range(0, 300, 2):
+        assert (found[i + 1] == i) == (len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])) and found[i] == i
+
+
 # --- media --------------------------------------------------------------------------------------------------------
 
 
