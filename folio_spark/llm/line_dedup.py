@@ -1,23 +1,24 @@
 """Lines that recur across documents, found with a log-template tree, are dropped.
 
 Every line is parsed to a leaf of a fixed-depth tree by its token count and its first DEPTH tokens (tokens with digits
-count as one variable token). Within a leaf, lines join the first template they agree with in SIMILAR of their tokens;
-tokens that differ become variables. A template recurs if its lines are in PLACES_LONG texts (lines of at least LONG
-tokens) or PLACES_SHORT texts (shorter lines) that are no copies of each other, whatever the lines around it: a passage
-of several lines counts like one of one line. Texts are copies of each other if the lines that they share, weighed by
-tokens, are COPY of all that both have (as in the near-duplicate stage), or if such pairs lead from one to the other.
-The document with the least id keeps a recurring template's lines, all others lose them.
-
-Plan: one pass turns lines into hashes; only leaves that hold several different lines are parsed further, found through
-a bitmap of leaf hashes of fixed size, so their tokens are all that is shuffled. A leaf over MAX_LEAF different lines is
-parsed deeper, at twice the depth each time, until it is small or its lines agree in all tokens. Copies are found among
-the texts whose shared lines suffice: texts of the same shared lines are one, others are paired by their rarest lines
-(prefix filtering, which loses no pair) and their overlap is summed. Counts are partial sums; dropping is a join on the
-document.
+count as one variable token). A leaf's lines differ in variable fields: windows over the tokens behind the leading ones,
+a quarter of the line wide and an eighth apart, are masked in turn, and lines that are equal outside of a window are of
+one template, as are lines that such steps lead between. A template recurs if its lines are in PLACES_LONG texts (lines
+of at least LONG tokens) or PLACES_SHORT texts (shorter lines), copies of one text counting once. The document with the
+least id keeps a recurring template's lines, all others lose them, whatever the lines around it.
+
+Copies, which are the near-duplicate operator's work, are texts that share COPY of all tokens of both, line by line, and
+what such pairs lead to. Each text is held against two others, those that hold most of its tokens among the first and
+among the last holders of its templates (in the order of a hash); so the copies of a large group are held against the
+same one, and no group is paired up.
+
+Plan: one pass turns lines into hashes; only lines of leaves that hold several different lines are masked, found through
+a bitmap of leaf hashes of fixed size. Templates are minima of equi-joined masks and connected components; counts are
+partial sums; dropping is a join on the document. Nothing depends on how many lines a leaf has.
 
 Defined cases: null text stays null with no lines; blank lines are never dropped; a document may end up empty; rows with
 equal id and equal text are one document; a null id comes after all others, and its rows are told apart by their text;
-other columns are kept, whatever their names.
+a text of any number of lines takes time in proportion; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +27,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.llm.common import partitions, spool
+from folio_spark.llm.common import spool
 from folio_spark.llm.graph import components
 
-DEPTH, SIMILAR, MAX_LEAF = 4, 0.75, 1024
+DEPTH = 4
 LONG, PLACES_LONG, PLACES_SHORT = 8, 2, 10
 COPY = 0.8
 BITMAP_BITS = 24
@@ -101,8 +101,24 @@ def _bitmap(leaves: DataFrame) -> np.ndarray:
     return out
 
 
-def line_tokens(keyed: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """leaf, line, tokens (hashes) of the different lines whose leaf's bit is set."""
+def windows(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the fields that are masked in a line of n tokens: a quarter wide, an eighth apart, behind the leading tokens."""
+    wide = min(n // 4, n - DEPTH)
+    if wide < 1:
+        return []
+    return [(at, at + wide) for at in [*range(DEPTH, n - wide, max(1, wide // 2)), n - wide]]
+
+
+def masks(tokens: list[bytes]) -> list[int]:
+    """Hashes of a line with each of its windows masked."""
+    found = []
+    for k, (a, b) in enumerate(windows(len(tokens))):
+        found.append(_h(b"%d %d " % (len(tokens), k) + b" ".join(tokens[:a]) + b"\n" + b" ".join(tokens[b:])))
+    return found
+
+
+def line_masks(keyed: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """line, mask: the masks of the different lines whose leaf's bit is set."""
     shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,106 +127,54 @@ def line_tokens(keyed: DataFrame, bitmap: np.ndarray) -> DataFrame:
             found = {}
             for lines in docs:
                 for x in lines:
-                    if x and bits[(low := (at := leaf(x)) & ((1 << BITMAP_BITS) - 1)) >> 5] >> np.uint32(low & 31) & 1:
-                        found[at, _h(b" ".join(x))] = x
-            cols = list(zip(*found, strict=True)) or [(), ()]
-            tokens = [[xxhash.xxh32_intdigest(t) for t in x] for x in found.values()]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["leaf", "line", "tokens"])
-
-    return keyed.select("text", "doc_id", "k").mapInArrow(run, "leaf long, line long, tokens array<long>")
-
-
-def templates_of(lines: pd.DataFrame) -> pd.DataFrame:
-    """line, template of one leaf's different lines: each joins the first template that it agrees with well enough.
-
-    Lines come in the order of their hashes. A template is named by its first line and loses what its lines disagree in.
-    """
-    lines = lines.sort_values("line")
-    tokens = np.stack(lines["tokens"])
-    patterns, names, out = np.empty((0, tokens.shape[1]), np.int64), [], []
-    for name, own in zip(lines["line"], tokens, strict=True):
-        same = (patterns == own).mean(axis=1) if len(patterns) else np.empty(0)
-        if len(same) and same.max() >= SIMILAR:
-            at = int(same.argmax())
-            patterns[at][patterns[at] != own] = -1
-        else:
-            at = len(names)
-            patterns = np.vstack([patterns, own])
-            names.append(name)
-        out.append(names[at])
-    return pd.DataFrame({"line": lines["line"], "template": out})
-
-
-def merge_templates(tokens: DataFrame, max_leaf: int = MAX_LEAF) -> DataFrame:
-    """line, template for the lines of leaves with several lines; lines of large leaves are parsed deeper first."""
-    todo = tokens.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    done, depth = None, DEPTH
-    while True:
-        sized = spool(todo.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leaf"))).where("n > 1"), "leaves")
-        longest = sized.where(F.col("n") > max_leaf).agg(F.max(F.size("tokens"))).first()[0] or 0
-        small = sized.where(F.col("n") <= max_leaf) if longest else sized
-        part = small.repartition(partitions(tokens.sparkSession), "leaf").groupBy("leaf").applyInPandas(_by_leaf, "line long, template long")
-        done = part if done is None else done.union(part)
-        if not longest or depth >= longest:
-            return done
-        depth *= 2
-        deeper = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-        todo = sized.where(F.col("n") > max_leaf).select(deeper.alias("leaf"), "line", "tokens")
-
-
-def _by_leaf(lines: pd.DataFrame) -> pd.DataFrame:
-    return templates_of(lines)
-
-
-def copies(shared: DataFrame) -> DataFrame:
-    """node, root (values of k) of the texts that have copies, from shared (k, template, df, size, tokens).
-
-    shared has every template that several texts have, once a text: df is in how many, tokens its tokens in this one.
-    """
-    text, rare = Window.partitionBy("k"), Window.partitionBy("k").orderBy("df", "template")
-    found = shared.withColumn("sum", F.sum("tokens").over(text)).where(F.col("sum") >= COPY * F.col("size"))
-    alike = lambda both, a, b: both >= COPY * (a + b - both)
-    # texts of the same shared lines stand for each other where these lines suffice
-    marks = found.groupBy("k").agg(
-        F.xxhash64(F.sort_array(F.collect_list(F.struct("template", "tokens"))), F.first("size")).alias("mark"),
-        F.first(alike(F.col("sum"), F.col("size"), F.col("size"))).alias("enough"),
-    )
-    marks = spool(marks, "marks")
-    least = marks.where("enough").groupBy("enough", "mark").agg(F.min("k").alias("least"))
-    marks = spool(marks.join(least, ["enough", "mark"], "left").select("k", F.coalesce("least", "k").alias("u")), "marks")
-    found = spool(found.join(marks.where("k = u").select("k"), "k", "left_semi"), "copies")
-    # rarest lines first, those of one text only before all: a pair has a line in common before more than 1 - COPY has passed
-    passed = F.col("size") - F.col("sum") + F.sum("tokens").over(rare) - F.col("tokens")
-    first = found.withColumn("passed", passed).where(F.col("passed") <= (1 - COPY) * F.col("size") + 1e-6).select("k", "template", "size")
-    other = first.select(F.col("k").alias("v"), "template", F.col("size").alias("v_size"))
-    near = F.least("size", "v_size") >= COPY * F.greatest("size", "v_size")
-    pairs = first.join(other, "template").where((F.col("k") < F.col("v")) & near).select("k", "v").distinct()
-    mine = found.select("k", "template", "size", "tokens")
-    theirs = found.select(F.col("k").alias("v"), "template", F.col("size").alias("v_size"), F.col("tokens").alias("v_tokens"))
-    both = pairs.join(mine, "k").join(theirs, ["v", "template"]).groupBy("k", "v").agg(
-        F.sum(F.least("tokens", "v_tokens")).alias("both"), F.first("size").alias("a"), F.first("v_size").alias("b")
+                    if len(x) > DEPTH and bits[(low := leaf(x) & ((1 << BITMAP_BITS) - 1)) >> 5] >> np.uint32(low & 31) & 1:
+                        found[_h(b" ".join(x))] = x
+            own = [(line, m) for line, x in found.items() for m in masks(x)]
+            cols = list(zip(*own, strict=True)) or [(), ()]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["line", "mask"])
+
+    return keyed.select("text", "doc_id", "k").mapInArrow(run, "line long, mask long")
+
+
+def merge_templates(masked_lines: DataFrame) -> DataFrame:
+    """line, template of masked_lines (line, mask), for lines that share a template with others: its least line."""
+    least = masked_lines.groupBy("mask").agg(F.min("line").alias("v"), F.max("line").alias("most")).where("v <> most").select("mask", "v")
+    links = masked_lines.join(least, "mask").where("line <> v").select(F.col("line").alias("u"), "v")
+    return components(links).select(F.col("node").alias("line"), F.col("root").alias("template"))
+
+
+def copies(held: DataFrame, ends: DataFrame) -> DataFrame:
+    """k, root: the texts that are copies, from held (template, k, tokens, size) and ends (template, a, b: first and last k)."""
+    held = held.select("template", "k", "tokens", "size")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("r")), F.struct(F.lit(1).alias("side"), F.col("b").alias("r")))
+    near = held.join(ends, "template").select("k", "tokens", "size", F.explode(sides).alias("s")).select("k", "tokens", "size", "s.*").where("r <> k")
+    near = near.groupBy("k", "side", "r").agg(F.sum("tokens").alias("n"), F.first("size").alias("size")).where(F.col("n") * 2 >= COPY * F.col("size"))
+    pairs = spool(near.groupBy("k", "side").agg(F.max(F.struct("n", "r")).alias("best")).select("k", F.col("best.r").alias("r")).distinct(), "pairs")
+    theirs = held.select(F.col("k").alias("r"), "template", F.col("tokens").alias("r_tokens"), F.col("size").alias("r_size"))
+    both = pairs.join(held, "k").join(theirs, ["r", "template"]).groupBy("k", "r").agg(
+        F.sum(F.least("tokens", "r_tokens")).alias("both"), F.first("size").alias("size"), F.first("r_size").alias("r_size")
     )
-    links = both.where(alike(F.col("both"), F.col("a"), F.col("b"))).select(F.col("k").alias("u"), "v")
-    return components(links.union(marks.where("k <> u").select("u", F.col("k").alias("v"))))
+    links = both.where(F.col("both") >= COPY * (F.col("size") + F.col("r_size") - F.col("both"))).select(F.col("k").alias("u"), F.col("r").alias("v"))
+    return components(links).select(F.col("node").alias("k"), "root")
 
 
 def recurring(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """Of lines (line_hashes), those to drop: doc_id, k, line_no."""
     named = lines.join(templates, "line", "left").withColumn("template", F.coalesce("template", "line"))
     named = named.select("doc_id", "k", "line_no", "n_tokens", "template", "size")
-    several = named.groupBy("template").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("template")
+    ends = spool(named.groupBy("template").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b"), "ends")
     # equal rows are one document
-    named = spool(named.join(several, "template").dropDuplicates(["doc_id", "k", "line_no"]), "named")
-    held = named.groupBy("template", "k").agg(F.sum("n_tokens").alias("tokens"), F.first("size").alias("size"), F.max("n_tokens").alias("n"))
+    named = spool(named.join(ends, "template").drop("a", "b").dropDuplicates(["doc_id", "k", "line_no"]), "named")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    held = named.groupBy("template", "k").agg(
+        F.sum("n_tokens").alias("tokens"), F.first("size").alias("size"), F.max("n_tokens").alias("n"), F.min(order).alias("first")
+    )
     held = spool(held, "held")
-    held = held.join(held.groupBy("template").agg(F.count(F.lit(1)).alias("df")), "template")
-    places = held.join(copies(held), F.col("k") == F.col("node"), "left").groupBy("template", F.coalesce("root", "k").alias("root")).agg(F.max("n").alias("n"))
-    places = places.groupBy("template").agg(F.count(F.lit(1)).alias("places"), F.max("n").alias("n"))
+    counted = held.join(copies(held, ends), "k", "left").groupBy("template", F.coalesce("root", "k").alias("root")).agg(F.max("n").alias("n"), F.min("first").alias("first"))
+    counted = counted.groupBy("template").agg(F.count(F.lit(1)).alias("places"), F.max("n").alias("n"), F.min("first").alias("first"))
     often = F.col("places") >= F.when(F.col("n") >= LONG, PLACES_LONG).otherwise(PLACES_SHORT)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    first = named.groupBy("template").agg(F.min(order).alias("first"))
-    kept = places.where(often).join(first, "template").select("template", F.col("first.doc_id").alias("f"), F.col("first.k").alias("fk"))
-    return named.join(kept, "template").where(~(F.col("doc_id").eqNullSafe(F.col("f")) & (F.col("k") == F.col("fk")))).select("doc_id", "k", "line_no")
+    kept = counted.where(often).select("template", F.col("first.k").alias("fk"))
+    return named.join(kept, "template").where("k <> fk").select("doc_id", "k", "line_no")
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
@@ -219,13 +183,16 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     keyed = docs.select("text", "doc_id", key.alias("k"))
     lines = spool(line_hashes(keyed), "lines")
     several = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf")
-    templates = spool(merge_templates(line_tokens(keyed, _bitmap(several))), "templates")
-    gone = recurring(lines, templates).groupBy("doc_id", "k").agg(F.collect_set("line_no").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "__gone")
+    templates = merge_templates(spool(line_masks(keyed, _bitmap(several)), "masks"))
+    gone = recurring(lines, templates).groupBy("doc_id", "k").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), F.transform("__gone", lambda i: i.cast("int")).alias("__gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*kept).withColumn("__key", key).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
     parts = F.split("text", "\n")
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
+    # the stretches between dropped lines: from one's next line up to the following one
+    starts = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda i: i + 1))
+    stops = F.concat(F.col("__gone"), F.array(F.size(parts)))
+    left = F.array_join(F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(parts, a + 1, b - a))), "\n")
     counts = {
         "n_lines": F.when(F.length("text") > 0, F.size(parts)).otherwise(0).cast("long"),
         "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),

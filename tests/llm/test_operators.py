@@ -295,8 +295,7 @@ def test_packing_whole_documents(spark):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = ODD + [(100 + i, words(i, 5 + 37 * i % 900)) for i in range(60)]
+    rows = ODD + [(90, "a <|endoftext|> b"), (91, " " * 3000 + "x"), (92, "\u00a0a\u2003 b")] + [(100 + i, words(i, 5 + 37 * i % 900)) for i in range(60)]
     found = packing.pack_documents(docs(spark, rows), capacity=256).collect()
     want = Counter()
     for i, text in rows:
@@ -325,6 +324,49 @@ def test_local_search_empties_bins():
     assert sorted(i for b in better for i in b) == list(range(10)) and all(sum(lengths[i] for i in b) <= 10 for b in better) and len(better) <= 5
 
 
+def test_encoder_equals_tokenizers():
+    from tokenizers import Tokenizer
+
+    encode, t = packing.encoder(packing.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
+    r = np.random.default_rng(6)
+    signs = list("ab'sé漢1 2  \n\n\t\r\x0b\xa0 .,!<|>\x1c😀ا") + ["<|endoftext|>", "'ll", "   ", "the", "\u200b", "\u3000", "\ufeff", "İ", "\u0301"]
+    for _ in range(5000):
+        text = "".join(signs[i] for i in r.integers(0, len(signs), r.integers(0, 16)))
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids, text
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, words(3, 1000) + " " * packing.LONG_RUN + words(4, 1000) + "x" * (packing.LONG_RUN - 1)):
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def _improving(bins, lengths, capacity):
+    """Whether an exchange, one for none, one or two or two for none or one, fills a fuller bin more."""
+    from itertools import combinations
+
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, giver in enumerate(bins):
+        for b, taker in enumerate(bins):
+            if a == b or fill[b] < fill[a] or fill[b] == capacity:
+                continue
+            given = [*combinations(giver, 1), *combinations(giver, 2)]
+            back = [(), *combinations(taker, 1), *combinations(taker, 2)]
+            for x in given:
+                for y in back:
+                    if len(x) + len(y) < 4 and 0 < sum(lengths[i] for i in x) - sum(lengths[i] for i in y) <= capacity - fill[b]:
+                        return True
+    return False
+
+
+def test_local_search_ends_where_nothing_is_left_to_exchange():
+    above = 0
+    for seed in range(40):
+        lengths = np.random.default_rng(seed).integers(20, 60, 60).tolist()
+        bins = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(60)) and max(sum(lengths[i] for i in b) for b in bins) <= 100
+        if len(bins) > -(-sum(lengths) // 100):
+            above += 1
+            assert not _improving(bins, lengths, 100)
+    assert above
+
+
 def test_packing_many_groups(spark):
     items = spark.range(3000).select(F.col("id").alias("uid"), (F.pmod(F.xxhash64("id"), F.lit(90)) + 10).alias("length"))
     found = packing.pack(items, 100, group=200).join(items, "uid")
@@ -446,13 +488,76 @@ def test_passages_of_several_lines_recur(spark):
     assert got == want
 
 
-def test_templates_generalise_and_large_leaves_are_cut(spark):
-    lines = [f"user logged in from host h{c} at gate {g} now" for c in "abcdefgh" for g in "uvwx"]
-    tokens = spark.createDataFrame([(1, i, [xxhash.xxh32_intdigest(t.encode()) for t in x.split()]) for i, x in enumerate(lines)], "leaf long, line long, tokens array<long>")
-    one = {r["line"]: r["template"] for r in line_dedup.merge_templates(tokens).collect()}
-    assert len(set(one.values())) == 1 and len(one) == len(lines)
-    cut = {r["line"]: r["template"] for r in line_dedup.merge_templates(tokens, max_leaf=8).collect()}
-    assert len(cut) == len(lines) and len(set(cut.values())) <= 8
+def _templates(spark, lines):
+    """{line: template's number} by the operator."""
+    keyed = spark.createDataFrame([(x, i, i) for i, x in enumerate(lines)], "text string, doc_id long, k long")
+    everything = np.full(1 << (line_dedup.BITMAP_BITS - 5), 0xFFFFFFFF, np.uint32)
+    found = {r["line"]: r["template"] for r in line_dedup.merge_templates(line_dedup.line_masks(keyed, everything)).collect()}
+    name = {x: line_dedup._h(b" ".join(line_dedup.masked(x.encode()))) for x in lines}
+    return {x: found.get(name[x], name[x]) for x in lines}
+
+
+def _brute_templates(lines):
+    """By comparing all pairs of lines: equal but for one window, and what such pairs lead to."""
+    tokens = [tuple(line_dedup.masked(x.encode())) for x in lines]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(tokens):
+        for j, y in enumerate(tokens[:i]):
+            fields = line_dedup.windows(len(x)) if len(x) == len(y) and x[: line_dedup.DEPTH] == y[: line_dedup.DEPTH] else []
+            if x == y or any(x[:a] + x[b:] == y[:a] + y[b:] for a, b in fields):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(lines))]
+
+
+@pytest.mark.parametrize("many", [4, 1024, 1025, 3000])
+def test_templates_do_not_depend_on_the_size_of_a_leaf(spark, many):
+    lines = [f"the mayor of town {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efgh'[i // 1000]} spoke at noon" for i in range(many)]
+    assert len(set(_templates(spark, lines).values())) == 1
+
+
+def test_templates_against_all_pairs(spark):
+    r = np.random.default_rng(11)
+    lines = []
+    for k in range(40):
+        base = words(300 + k % 7, 3 + k % 11).split()
+        for _ in range(4):
+            x = base[:]
+            for at in r.integers(0, len(x), r.integers(0, 3)):
+                x[at] = WORDS[r.integers(0, 4)] + ["", "7"][r.integers(0, 2)]
+            lines.append(" ".join(x))
+    lines = list(dict.fromkeys(lines))
+    got, want = _templates(spark, lines), _brute_templates(lines)
+    groups = lambda names: sorted(sorted(x for x, n in zip(lines, names, strict=True) if n == m) for m in set(names))
+    assert groups([got[x] for x in lines]) == groups(want)
+
+
+def test_many_dropped_lines_in_one_text(spark):
+    lines = [f"{w} stood by the {v} and said nothing of {u}" for w in WORDS for v in WORDS for u in WORDS]
+    rows = [(1, "\n".join(lines)), (2, "own line of two\n" + "\n".join(lines * 2) + "\n" + words(5, 200_000))]
+    got = {r["doc_id"]: r for r in line_dedup.drop_recurring(docs(spark, rows)).collect()}
+    assert got[2]["n_dropped"] == 2 * len(lines) and got[2]["text"] == "own line of two\n" + words(5, 200_000) and got[1]["n_dropped"] == 0
+
+
+def test_dropped_lines_against_a_plain_rule(spark):
+    """Planted passages of one line among clean texts, and copies of whole texts: only the passages go."""
+    rows, dropped = [], set()
+    for i in range(60):
+        rows.append((i, "\n".join([words(40_000 + 3 * i + j, 25) for j in range(3)])))
+    for k in range(5):  # a passage of 55 words in two or three texts
+        passage = words(50_000 + k, 55)
+        for i in range(6 * k, 6 * k + 2 + k % 2):
+            rows[i] = (i, rows[i][1] + "\n" + passage)
+            dropped |= {(i, passage)} if i != 6 * k else set()
+    rows += [(100 + i, rows[i][1]) for i in range(30, 36)]  # copies are no recurrence, but of passages that others have too
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(docs(spark, rows)).collect()}
+    lost = {(i, x) for i, t in rows for x in t.split("\n") if x not in got[i].split("\n")}
+    assert lost == dropped
 
 
 # --- nearest neighbours -------------------------------------------------------------------------------------------
