@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. A local session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="folio-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,18 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 def spool(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
-    Like checkpoint(), but the plan runs once. A lost executor costs only a new read of these files. They stay until
-    drop_spools() or until the folder is cleared.
+    Like checkpoint(), but the plan runs once. A lost executor costs only a new read of these files. They carry the
+    application's id and stay until drop_spools() or until the folder is cleared.
     """
-    path = f"{shared_dir(df.sparkSession)}/spool-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/spool-{df.sparkSession.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_spools(spark: SparkSession) -> None:
-    """Delete what spool() wrote, once the results that read it are stored."""
+    """Delete what spool() wrote in this application, once the results that read it are stored."""
     jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spool-*")
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spool-{spark.sparkContext.applicationId}-*")
     fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.globStatus(pattern) or []:
         fs.delete(status.getPath(), True)
@@ -67,3 +72,32 @@ def digest(*cols: Column) -> Column:
 def digest_number(*cols: Column) -> Column:
     """The first 32 bits of the digest."""
     return F.conv(F.substring(digest(*cols), 1, 8), 16, 10).cast("long")
+
+
+def by_group(df: DataFrame, group: str, run: Callable[[pa.Table], list[tuple]], shape: str) -> DataFrame:
+    """The rows (shape) that run gives for each group of df, told apart by the long column `group`.
+
+    Like applyInPandas, for many small groups: rows come to tasks sorted by group, in Arrow batches, so a group costs no
+    more than its rows. A group is in one task's memory and has to be of bounded size.
+    """
+    names = [x.split()[0] for x in shape.split(", ")]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(group)).to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+            rows: list[tuple] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and ids[a] != last:
+                    rows += run(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = ids[a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+        if held and (rows := run(pa.Table.from_batches(held))):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    return df.repartition(partitions(df.sparkSession), group).sortWithinPartitions(group).mapInArrow(of, shape)

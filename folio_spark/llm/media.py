@@ -1,15 +1,17 @@
 """Media columns: Netpbm and BMP bytes decoded to arrays, resized by area, written as NPY tiles with difference hashes.
 
 A media column is a binary column. `decode` reads PGM, PPM, PBM and BMP (uncompressed, 8 or 24 bits) into uint8 arrays;
-`resize_area` averages over fractional source areas through one integral image; `npy_bytes`/`npy_array` store an array
+`resize_area` averages over fractional source areas through the integral image, of which only the rows at the targets' edges
+are kept; `npy_bytes`/`npy_array` store an array
 as an NPY tile and read it back; `difference_hash` compares neighbours of a 9 x 8 reduction.
 
 Texts are media too: `payload` pads UTF-8 bytes with zeros to rows of 64 samples, so that any text is a grey image of
 width 64, held losslessly.
 
 Defined cases: null text is empty and becomes one row of zeros; bytes that are no image, or of a kind not read here,
-decode to None and give null columns; equal input gives equal output; very long texts are single tall images, held in
-one task's memory a few times over. Only the named columns are read.
+decode to None and give null columns, as do images without samples, truncated ones, and samples over the maximum that the
+header names; equal input gives equal output; a very long text is a single tall image, of which a task holds the text, the
+stored form and BAND rows of sums. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WIDTH = 64
+#: Source rows that are summed at once.
+BAND = 4096
 _HEADER = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?\s")
 _BITMAP_HEADER = re.compile(rb"(P[14])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
 
@@ -40,6 +44,8 @@ def _netpbm(data: bytes) -> np.ndarray | None:
     if not head:
         return None
     kind, width, height = head[1], int(head[2]), int(head[3])
+    if not width or not height or width * height > 8 * len(data):
+        return None
     body = data[head.end() :]
     if kind == b"P4":
         row = -(-width // 8)
@@ -55,13 +61,13 @@ def _netpbm(data: bytes) -> np.ndarray | None:
     if not 0 < top < 65536:
         return None
     if kind in (b"P2", b"P3"):
-        plain = np.array(body.split()[:n], dtype=np.int64)
+        plain = np.array([int(x) for x in body.split()[:n]], dtype=np.int64)
     else:
         wide = np.dtype(">u2" if top > 255 else np.uint8)
         if len(body) < n * wide.itemsize:
             return None
         plain = np.frombuffer(body, wide, n)
-    if len(plain) < n:
+    if len(plain) < n or plain.min() < 0 or plain.max() > top:
         return None
     if top != 255:
         plain = (plain.astype(np.int64) * 255 + top // 2) // top
@@ -84,7 +90,9 @@ def _bmp(data: bytes) -> np.ndarray | None:
     colours = np.frombuffer(data[14 + head : start], np.uint8)
     colours = colours[: len(colours) // 4 * 4].reshape(-1, 4)[:, 2::-1]
     index = body[:, :width]
-    return colours[index] if len(colours) and index.max(initial=0) < len(colours) else index.copy()
+    if not len(colours):
+        return index.copy()
+    return colours[index] if index.max() < len(colours) else None
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -93,23 +101,26 @@ def decode(data: bytes | None) -> np.ndarray | None:
         return None
     try:
         return _bmp(data) if data[:2] == b"BM" else _netpbm(data)
-    except (ValueError, struct.error):
+    except (ValueError, OverflowError, struct.error):
         return None
 
 
-def _edges(at: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """A running sum (along axis 0, starting at 0) at fractional places."""
-    low = np.minimum(at.astype(np.int64), len(sums) - 2)
-    part = (at - low).reshape(-1, *[1] * (sums.ndim - 1))
-    return sums[low] * (1 - part) + sums[low + 1] * part
+def _sums(image: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The integral of image along axis 0 up to fractional places `at`, ascending."""
+    out, total, done = np.empty((len(at), *image.shape[1:])), np.zeros(image.shape[1:]), 0
+    for k, place in enumerate(at):
+        low = min(int(place), len(image) - 1)
+        for a in range(done, low, BAND):
+            total += image[a : min(a + BAND, low)].sum(axis=0, dtype=np.float64)
+        done = low
+        out[k] = total + (place - low) * image[low]
+    return out
 
 
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Each target sample is the mean over its own rectangle of the source, from differences of the integral image."""
-    sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1, *image.shape[2:]))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=sums[1:, 1:])
-    rows = _edges(np.linspace(0, image.shape[0], height + 1), sums)
-    both = _edges(np.linspace(0, image.shape[1], width + 1), np.swapaxes(rows, 0, 1))
+    rows = _sums(image, np.linspace(0, image.shape[0], height + 1))
+    both = _sums(np.swapaxes(rows, 0, 1), np.linspace(0, image.shape[1], width + 1))
     total = np.diff(np.diff(np.swapaxes(both, 0, 1), axis=0), axis=1)
     return total * (height * width / (image.shape[0] * image.shape[1]))
 
@@ -119,8 +130,8 @@ def difference_hash(image: np.ndarray) -> str:
 
     Differences under a thousandth of a level count as none, so that rounding of sums does not decide a bit.
     """
-    grey = image.mean(axis=2) if image.ndim == 3 else image
-    small = resize_area(grey, 8, 9)
+    small = resize_area(image, 8, 9)
+    small = small.mean(axis=2) if image.ndim == 3 else small
     return np.packbits(np.diff(small, axis=1) > 1e-3).tobytes().hex()
 
 

@@ -83,18 +83,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ann, op2_packing, op3_media, op4_toxicity, op5_html, op6_line_dedup, op7_langid, op8_simhash, op9_mixing, op10_sharding)}
 
 
-#: op9 in SQL: the same levels, points, digests and running sums, in plain windows over the whole table.
-_MIXING = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+#: op9 in SQL: the same levels, digests and running sums, in plain windows over the whole table; what the blocks of a
+#: source have of a document is its part of the source's first `words` words.
+_MIXING = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
  s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source), w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no, sum(source_size) OVER () AS total FROM s),
  x AS (SELECT *, no % 3 + 1 AS weight, source_size * 3.0 / (no % 3 + 1) AS stop FROM w),
  l AS (SELECT *, (total - coalesce(sum(source_size * 3) OVER (ORDER BY stop, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY stop, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM x),
  t AS (SELECT source, no, source_size, total, least(source_size * 3.0, (SELECT level FROM l WHERE level <= stop ORDER BY stop LIMIT 1) * weight) AS target FROM l),
- c AS (SELECT *, sum(target) OVER (ORDER BY no) / sum(target) OVER () AS hi, no = max(no) OVER () AS last FROM t WHERE target > 0),
- b AS (SELECT no, coalesce(lag(hi) OVER (ORDER BY no), 0.0) AS lo, CASE WHEN last THEN 1.0 ELSE hi END AS hi FROM c),
- g AS (SELECT (i % 65536) * CAST({mixing.PHI!r} AS DOUBLE) + (i // 65536) * CAST({(65536 * mixing.PHI) % 1.0!r} AS DOUBLE) AS x FROM range(CAST((SELECT (max(total) + 127) // 128 FROM t) AS BIGINT)) r(i)),
- k AS (SELECT no, count(*) AS slots FROM (SELECT x - floor(x) AS x FROM g) JOIN b ON x >= lo AND x < hi GROUP BY no),
- p AS (SELECT t.*, least(coalesce(slots, 0) * 128, source_size * 3) AS words FROM t LEFT JOIN k USING (no)),
+ p AS (SELECT *, CAST(least(floor(target + 0.5), source_size * 3) AS BIGINT) AS words FROM t),
  o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '11', doc_id, size)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
  SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target,
   CAST(CASE WHEN source_size > 0 THEN words // source_size * size + greatest(0, least(size, words % source_size - start)) ELSE 0 END AS BIGINT) AS taken FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source"""

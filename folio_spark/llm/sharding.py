@@ -8,7 +8,8 @@ of a shard and slot, without looking at data.
 Plan: rows are dealt to many hash buckets, numbered inside their bucket, and shifted by the sum of the smaller
 buckets' counts, so no sort of the whole table and no single task sees all rows. Rows that are equal in every key
 column are interchangeable: they are counted once with their multiplicity before the shuffle and expanded afterwards,
-so one row repeated over a third of the table does not fill one task.
+CHUNK at a time and in many tasks, so one row repeated over a third of the table fills none. Buckets hold about PER_BUCKET
+rows each, however large the table is.
 
 Defined cases: null keys sort first and are rows like any other; an empty table gives an empty result; a table may have
 columns named like ours, since only key columns are read and the names given out are new.
@@ -19,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio_spark.llm.common import digest, digest_number
+from folio_spark.llm.common import digest, digest_number, partitions
 
-#: Hex digits of a row's digest that name its bucket: 4096 buckets, whose counts are one small table. One task sorts a bucket.
-DIGITS = 3
+#: Rows of a bucket, about, which one task sorts; most hex digits of a row's digest that name its bucket (16 million buckets).
+PER_BUCKET, MOST_DIGITS = 65536, 6
+#: Equal rows that are expanded at once.
+CHUNK = 65536
+#: Buckets whose counts are given to every task.
+MOST_BROADCAST = 1 << 16
 ROUNDS = 4
 #: Steps of the cycle walk. Fewer than 1 in sqrt(n) steps leaves the range, see `permute`.
 WALK = 12
@@ -67,8 +72,15 @@ def permute(x: Column, n: Column, seed: int) -> Column:
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], seed: int, digits: int = DIGITS) -> DataFrame:
-    """The key columns of df with `row_number` (0..n-1, reproducible) and `n_rows`."""
+def number_rows(df: DataFrame, keys: list[str], seed: int, digits: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """The key columns of df with `row_number` (0..n-1, reproducible) and `n_rows`.
+
+    Numbers follow the rows' digests, so they do not depend on the number of buckets (16 ** digits).
+    """
+    if digits is None:
+        n, digits = df.count(), 1
+        while digits < MOST_DIGITS and n > PER_BUCKET * 16**digits:
+            digits += 1
     h = digest(F.lit(seed), *[F.col(k) for k in keys])
     counted = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__times"))
     dealt = counted.withColumn("__h", h).withColumn("__bucket", F.substring("__h", 1, digits))
@@ -86,9 +98,16 @@ def number_rows(df: DataFrame, keys: list[str], seed: int, digits: int = DIGITS)
     )
     inside = Window.partitionBy("__bucket").orderBy("__h", *keys)
     first = F.sum("__times").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__times")
-    placed = dealt.withColumn("__first", first).join(F.broadcast(sums), "__bucket")  # sums: 16^digits rows at most
-    return placed.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1))).select(
-        *keys, (F.col("__start") + F.col("__first") + F.col("__k")).alias("row_number"), "n_rows"
+    placed = dealt.withColumn("__first", first).join(F.broadcast(sums) if 16**digits <= MOST_BROADCAST else sums, "__bucket")
+    placed = placed.select(*keys, (F.col("__start") + F.col("__first")).alias("__from"), "__times", "n_rows")
+    # rows that are repeated more often go to other tasks chunk by chunk before they are expanded
+    often = placed.where(F.col("__times") > chunk).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__times") - 1) / chunk))))
+    often = often.repartition(partitions(df.sparkSession), "__from", "__k").select(
+        *keys, (F.col("__from") + F.col("__k") * chunk).alias("__from"), F.least(F.lit(chunk), F.col("__times") - F.col("__k") * chunk).alias("__times"), "n_rows"
+    )
+    every = placed.where(F.col("__times") <= chunk).unionByName(often)
+    return every.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1))).select(
+        *keys, (F.col("__from") + F.col("__k")).alias("row_number"), "n_rows"
     )
 
 

@@ -7,12 +7,14 @@ so a tree is built per shard, inside the task that holds the shard, and shards a
 * `link_fingerprints` (radius 2 on 64 bits): of four 16-bit blocks at least two agree, so the six pairs of blocks are
   the shard keys. A shard over MAX_SHARD fingerprints is cut again: of the eight 4-bit blocks that remain at least six
   agree, which leaves 8 free bits, so that such a shard has 256 fingerprints at most.
-* `near_duplicates` (five-word shingles, similarity 0.8): texts of that similarity share each of eight min-hashes with
-  probability 0.8 or more, so the min-hashes are the shard keys, two of them together where a shard is large; trees
-  then find 128-bit SimHashes that may be of such texts. Shards that are still large are cut into chunks, and every pair
-  of chunks meets. What the trees connect is then compared text by text: only a similarity of 0.8 or more is a link.
+* `near_duplicates` (five-word shingles, similarity 0.8): texts of that similarity share each min-hash with probability
+  0.8 or more, so min-hashes are the shard keys, two of them together where a shard is large; trees then find 128-bit
+  SimHashes that may be of such texts, and a shard of two min-hashes that is large still is one group of candidates.
+  What is connected so is then compared text by text: only a similarity of 0.8 or more is a link.
 
-Each tree gives a spanning star per cluster, never all pairs, and stars are joined into components.
+Each tree gives a spanning star per cluster, never all pairs, and stars are joined into components. A large group of
+candidates is held against PIVOTS of its texts first; only what these leave outside of the largest component is then
+held against all texts of the group, in blocks. So a group of copies takes time in proportion to its size.
 
 Defined cases: null text is an empty text; a text without words has fingerprint zero and is linked like any other;
 fewer words than a shingle has are one shingle; equal texts have equal fingerprints and one node between them; rows
@@ -26,18 +28,20 @@ from hashlib import md5
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.llm.common import partitions, spool
+from folio_spark.llm.common import by_group, spool
 from folio_spark.llm.graph import components
 
 #: Fingerprints in one tree, before its shard is cut again.
 MAX_SHARD = 1024
-MIN_HASHES = 8
+#: Min-hashes of a text, and how many of them are shard keys by themselves.
+MIN_HASHES, KEYS = 16, 10
+#: Texts that all texts of a large group of candidates are held against first.
+PIVOTS = 8
 #: Jaccard similarity of shingle sets from which texts are near-duplicates.
 SIMILAR = 0.8
 #: Shingles whose bits are counted at once.
@@ -193,13 +197,13 @@ def link_fingerprints(distinct: DataFrame, radius: int = 2, max_shard: int = MAX
         "fingerprint", "part", "key", F.lit(0).alias("sub"), F.lit(0).cast("long").alias("subkey")
     )
 
-    def tree(shard: pd.DataFrame) -> pd.DataFrame:
-        mask = (1 << 64) - 1
+    def tree(shard: pa.Table) -> list[tuple[int, int]]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        found = stars([int(x) & mask for x in shard["fingerprint"]], radius)
-        return pd.DataFrame([(signed(a), signed(b)) for a, b in found], columns=["u", "v"], dtype="int64")
+        return [(signed(a), signed(b)) for a, b in stars([x & ((1 << 64) - 1) for x in shard["fingerprint"].to_pylist()], radius)]
 
-    return small.union(large).groupBy("part", "key", "sub", "subkey").applyInPandas(tree, "u long, v long")
+    # shards whose hashes are equal share a tree, which loses nothing
+    shards = small.union(large).select("fingerprint", F.xxhash64("part", "key", "sub", "subkey").alias("g"))
+    return by_group(shards, "g", tree, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -233,86 +237,145 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _sharded(nodes: DataFrame, keys: list[Column]) -> DataFrame:
-    """node, mark, mins, key, n: every shard of two or more nodes."""
-    keyed = nodes.select("node", "mark", "mins", F.explode(F.array(*keys)).alias("key"))
+    """node, mark, key, n: every shard of two or more nodes."""
+    keyed = nodes.select("node", "mark", F.explode(F.array(*keys)).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return keyed.join(counts, "key")
 
 
-def _dealt(shards: DataFrame, max_shard: int) -> DataFrame:
-    """shards (node, n, any others) with a, b: those over max_shard in chunks by a hash of the node, each with every other."""
-    chunks = F.ceil(F.col("n") * 2 / max_shard).cast("int")
-    shards = shards.withColumn("c", F.when(F.col("n") > max_shard, chunks).otherwise(1)).withColumn(
-        "mine", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
-    )
-    return shards.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
-        *[c for c in shards.columns if c not in ("n", "c", "mine")], F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")
-    )
+def candidates(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
+    """Links (u, v) between nodes (node, mark, mins) that lead to every node that may be similar."""
+    one = [F.xxhash64(F.lit(i), F.col("mins")[i]) for i in range(KEYS)]
+    two = [F.xxhash64(F.lit(i), F.lit(j), F.col("mins")[i], F.col("mins")[j]) for i, j in combinations(range(MIN_HASHES), 2)]
+    first = spool(_sharded(nodes, one), "shards")
+    hot = nodes.join(first.where(F.col("n") > max_shard).select("node").distinct(), "node", "left_semi")
+    second = spool(_sharded(hot, two), "shards")
+
+    def tree(shard: pa.Table) -> list[tuple[str, str]]:
+        least: dict[int, str] = {}
+        values, same = [int(x, 16) for x in shard["mark"].to_pylist()], []
+        for value, node in zip(values, shard["node"].to_pylist(), strict=True):
+            if least.setdefault(value, node) != node:
+                same.append((node, least[value]))
+        return same + [(least[a], least[b]) for a, b in stars(values, radius)]
 
+    small = first.where(F.col("n") <= max_shard).union(second.where(F.col("n") <= max_shard))
+    links = by_group(small.select("node", "mark", "key"), "key", tree, "u string, v string")
+    large = second.where(F.col("n") > max_shard).select("key", "node")
+    least = large.groupBy("key").agg(F.min("node").alias("v"))
+    return links.union(large.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v"))
 
-def similar_links(nodes: list[str], marks: list[str], texts: list[bytes], words: int, radius: int) -> list[tuple[str, str]]:
-    """Pairs of similar texts that lead from each text to all that similar ones within the radius lead to."""
-    bits = np.array([[int(m[:16], 16), int(m[16:], 16)] for m in marks], np.uint64)
-    sets: dict[int, np.ndarray] = {}
-    root, found = np.arange(len(nodes)), []
 
-    def of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in shingles(texts[i], words)], np.uint64))
-        return sets[i]
+class _Sets:
+    """Shingle sets of texts, as sorted hashes; the last ones are kept."""
 
-    for i in range(1, len(nodes)):
-        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1) <= radius)
-        for j in near:
-            if root[i] == root[j]:
-                continue
-            x, y = of(i), of(j)
-            if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= SIMILAR * (len(x) + len(y) - both):
+    def __init__(self, words: int, most: int = 4096) -> None:
+        self.words, self.most, self.held = words, most, {}
+
+    def of(self, node: str, text: bytes) -> np.ndarray:
+        if (found := self.held.get(node)) is None:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            found = np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in shingles(text, self.words)], np.uint64))
+            self.held[node] = found
+        return found
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of SIMILAR or more; two empty sets have."""
+    if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILAR * (len(x) + len(y) - both)
+
+
+def _marks(marks: list[str]) -> np.ndarray:
+    return np.array([[int(m[:16], 16), int(m[16:], 16)] for m in marks], np.uint64)
+
+
+def similar_links(nodes: list[str], marks: list[str], texts: list[bytes], words: int, radius: int, first: list[bool] | None = None) -> list[tuple[str, str]]:
+    """Pairs of similar texts that lead from each text to all that similar ones within the radius lead to.
+
+    With `first`, only pairs with one text for which it holds are looked at.
+    """
+    bits, sets = _marks(marks), _Sets(words, len(nodes) + 1)
+    root, found = np.arange(len(nodes)), []
+    for i in range(len(nodes)):
+        if first and not first[i]:
+            continue
+        near = np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= radius
+        for j in np.flatnonzero(near if first else near[:i]):
+            if root[i] != root[j] and similar(sets.of(nodes[i], texts[i]), sets.of(nodes[j], texts[j])):
                 root[root == root[i]] = root[j]
                 found.append((nodes[i], nodes[j]))
     return found
 
 
+def _pivot_links(large: DataFrame, words: int) -> DataFrame:
+    """Links (u, v) of large (root, node, text) with similar ones among PIVOTS texts of the same root."""
+    order = [F.min_by(F.struct("node", "text"), F.struct(F.xxhash64(F.lit(p), "node"), "node")).alias(f"p{p}") for p in range(PIVOTS)]
+    pivots = large.groupBy("root").agg(*order).select("root", F.array(*[f"p{p}" for p in range(PIVOTS)]).alias("pivots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Sets(words, 64 * PIVOTS)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch, rows = whole.slice(at, 64), []
+                for node, text, pivots in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    own = _Sets(words).of(node, text)
+                    rows += [(node, p["node"]) for p in pivots if p["node"] != node and similar(own, held.of(p["node"], p["text"]))]
+                cols = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.record_batch([pa.array(c, pa.string()) for c in cols], ["u", "v"])
+
+    return large.join(pivots, "root").select("node", "text", "pivots").mapInArrow(run, "u string, v string")
+
+
+def _block_links(large: DataFrame, known: DataFrame, words: int, radius: int, max_shard: int) -> DataFrame:
+    """Links (u, v) of large (root, node, mark, text) with an end outside of its root's largest component of known (node, part)."""
+    named = large.join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = named.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("root").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all")).select("root", F.col("m.part").alias("main"), (F.col("all") - F.col("m.n")).alias("rest"), "all")
+    chunks = lambda n: F.ceil(n * 2 / max_shard).cast("int")
+    named = named.join(most.where("rest > 0"), "root").withColumn("first", F.col("part") != F.col("main"))
+    chunk = lambda n: F.pmod(F.xxhash64("node"), chunks(F.col(n))).cast("int")
+    every = named.withColumn("b", chunk("all")).withColumn("a", F.explode(F.sequence(F.lit(0), chunks(F.col("rest")) - 1))).withColumn("first", F.lit(False))
+    asked = named.where("first").withColumn("a", chunk("rest")).withColumn("b", F.explode(F.sequence(F.lit(0), chunks(F.col("all")) - 1)))
+    dealt = every.unionByName(asked).select("node", "mark", "text", "first", F.xxhash64("root", "a", "b").alias("g"))
+
+    def verify(block: pa.Table) -> list[tuple[str, str]]:
+        return similar_links(*[block[c].to_pylist() for c in ("node", "mark", "text")], words, radius, block["first"].to_pylist())
+
+    return by_group(dealt, "g", verify, "u string, v string")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 36, max_shard: int = MAX_SHARD) -> DataFrame:
     """doc_id, component_id: documents whose texts are as good as copies have one component.
 
     Linked: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more, exactly. Candidates
-    share one of eight min-hashes, two where a shard is large (for a similarity of 0.8 that fails once in 390,000 pairs,
-    in large shards once in 12,000), and have SimHashes of 128 bits at most `radius` apart (about 19 are
-    expected at 0.8, 64 for unrelated texts).
+    share one of KEYS min-hashes (for a similarity of 0.8 that fails once in 10 million pairs), in large shards one more
+    of all MIN_HASHES (which fails once in 3 * 10^10), and have SimHashes of 128 bits at most `radius` apart (about 19
+    are expected at 0.8, 64 for unrelated texts). Texts without words are one text; null ids are no names.
     """
     marked = spool(sketches(docs, words), "sketches")
     nodes = spool(marked.groupBy("node", "mark", "mins").agg(F.min("doc_id").alias("least")), "marks")
-    one = [F.xxhash64(F.lit(i), F.col("mins")[i]) for i in range(MIN_HASHES)]
-    two = [F.xxhash64(F.lit(i), F.lit(j), F.col("mins")[i], F.col("mins")[j]) for i, j in combinations(range(MIN_HASHES), 2)]
-    first = spool(_sharded(nodes, one), "shards")
-    second = spool(_sharded(first.where(F.col("n") > max_shard).select("node", "mark", "mins").distinct(), two), "shards")
-    shards = first.where(F.col("n") <= max_shard).unionByName(second).select("node", "mark", "key", "n")
-
-    def tree(shard: pd.DataFrame) -> pd.DataFrame:
-        least: dict[int, str] = {}
-        values, same = [int(x, 16) for x in shard["mark"]], []
-        for value, node in zip(values, shard["node"], strict=True):
-            if least.setdefault(value, node) != node:
-                same.append((node, least[value]))
-        found = [(least[a], least[b]) for a, b in stars(values, radius)]
-        return pd.DataFrame(same + found, columns=["u", "v"])
-
-    maybe = spool(components(_dealt(shards, max_shard).groupBy("key", "a", "b").applyInPandas(tree, "u string, v string")), "maybe")
+    maybe = components(candidates(nodes, radius, max_shard))
     sizes = maybe.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    marks = nodes.select("node", "mark").join(maybe, "node").join(sizes, "root")
+    maybe = spool(nodes.select("node", "mark").join(maybe, "node").join(sizes, "root"), "maybe")
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("node", F.md5("text"))
     texts = texts.join(maybe.select("node"), "node", "left_semi").dropDuplicates(["node"])
-
-    def verify(shard: pd.DataFrame) -> pd.DataFrame:
-        found = similar_links(*[shard[c].tolist() for c in ("node", "mark", "text")], words, radius)
-        return pd.DataFrame(found, columns=["u", "v"])
-
-    dealt = _dealt(marks.join(texts, "node"), max_shard)
-    roots = components(dealt.groupBy("root", "a", "b").applyInPandas(verify, "u string, v string"))
+    held = spool(maybe.join(texts, "node").select("root", "node", "mark", "text", "n"), "texts")
+
+    def verify(group: pa.Table) -> list[tuple[str, str]]:
+        return similar_links(*[group[c].to_pylist() for c in ("node", "mark", "text")], words, radius)
+
+    small = held.where(F.col("n") <= max_shard).withColumn("g", F.xxhash64("root"))
+    links = by_group(small.drop("root", "n"), "g", verify, "u string, v string")
+    large = held.where(F.col("n") > max_shard).drop("n")
+    if large.limit(1).count():
+        near = spool(_pivot_links(large, words), "pivots")
+        known = components(near).select("node", F.col("root").alias("part"))
+        links = links.union(near).union(_block_links(large, known, words, radius, max_shard))
+    roots = components(links)
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = named.select("node", "root").join(names, "root").select("node", "component_id")

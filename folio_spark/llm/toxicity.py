@@ -1,19 +1,20 @@
 """Toxicity by noisy-channel deobfuscation: suspicious stretches of text are restored, then restored text is scored.
 
-Restoring: a stretch that looks disguised (signs or digits for letters, letters set apart, letters repeated, look-alike
-letters) becomes a lattice: each character may stand for some letters, for itself, for a gap or for nothing, at a
-channel cost. Viterbi finds the cheapest path under a trigram character model (interpolated Kneser-Ney), whose counts
-come from all documents. Scoring: word stems and words that labelled toxic documents use and others do not, found with
+Restoring: a place that looks disguised (signs or digits for letters, letters set apart, letters repeated, look-alike
+letters), widened to white space or by WIDE characters, becomes a lattice: each character may stand for some letters, for
+itself, for a gap or for nothing, at a channel cost. Viterbi finds the cheapest path under a trigram character model
+(interpolated Kneser-Ney), whose counts come from all documents, none left out: its symbols are the letters of the Latin
+alphabets up to U+017F, the gap, and one for all other letters, which bounds the table by the cube of 130. Scoring: word stems and words that labelled toxic documents use and others do not, found with
 one automaton in the text and in its restored stretches; a logistic curve over the strongest and the summed evidence
 gives the score.
 
 Labels are read from learning rows only. Evidence is fitted on at most TOXIC toxic and CLEAN other learning documents,
 those with the least digests of their ids. A word counts by how many different words it follows, so that one text that
-was copied a thousand times does not make its words look toxic.
+was copied a thousand times does not make its words look toxic. Every stem of the sample with enough evidence counts.
 
 Defined cases: null text is empty and scores like any text without evidence; equal texts score equally; without
-labels of both kinds every score is the share of toxic labels, smoothed; rows whose label is null teach nothing; other
-columns are not read.
+labels of both kinds every score is the share of toxic labels, smoothed; rows whose label is null teach nothing; very
+long texts and stretches take time in proportion; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from folio_spark.llm import langid
 from folio_spark.llm.common import digest, spool
 
 TOXIC, CLEAN = 4000, 8000
-#: Most trigrams of the character model, most stems and words of the scorer.
-MAX_TRIGRAMS, MAX_STEMS = 1 << 18, 5000
+#: Characters around a disguised place that are restored with it, where no white space is nearer.
+WIDE = 40
+#: Symbols of the character model besides letters: the start of a text, any letter that is not told apart, the gap.
+START, OTHER, GAP = 0, 1, 32
 PREFIXES = (4, 5, 6, 7)
 #: Standard errors by which a stem's log odds are lowered, and what must remain.
 CAUTION, LEAST = 2.0, 1.0
@@ -60,36 +63,50 @@ WORDS = re.compile(rf"{_L}+")
 SPACE = re.compile(r"\s")
 
 
+def symbol(c: str) -> int:
+    """The symbol of a lower-case letter or gap in the character model."""
+    code = ord(c)
+    return code if c == " " or 97 <= code <= 122 or 0xDF <= code <= 0x17F else OTHER
+
+
 class CharacterModel:
-    """Trigram log probabilities of letters and gaps, interpolated Kneser-Ney."""
+    """Trigram log probabilities of letters and gaps, interpolated Kneser-Ney, in sorted arrays."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
         """keys: three 16-bit symbols each (unsigned, ascending); n: how often each occurs."""
-        self.logs: list[dict[int, float]] = []
-        self.rest: list[dict[int, float]] = []
+        self.own: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
         for order in (3, 2, 1):
             few, more = int((n == 1).sum()), int((n == 2).sum())
             d = min(0.95, max(0.1, few / max(1, few + 2 * more)))
             context, at = np.unique(keys >> np.uint64(16), return_inverse=True)
             total, kinds = np.bincount(at, n), np.bincount(at)
-            self.logs.append(dict(zip(keys.tolist(), ((n - d) / total[at]).tolist(), strict=True)))
-            self.rest.append(dict(zip(context.tolist(), (d * kinds / total).tolist(), strict=True)))
+            self.own.append((keys, np.maximum(n - d, 0) / total[at]))
+            self.rest.append((context, d * kinds / total))
             keys, n = np.unique(keys & np.uint64((1 << (16 * (order - 1))) - 1), return_counts=True)
-        self.floor = 1 / (len(self.logs[2]) + 1)
-        self.known: dict[int, float] = {}
+        self.floor = 1 / (len(self.own[2][0]) + 1)
+        self.known: dict[str, float] = {}
 
     def log(self, a: str, b: str, c: str) -> float:
-        key = min(ord(a), 65535) << 32 | min(ord(b), 65535) << 16 | min(ord(c), 65535)
-        if (found := self.known.get(key)) is None:
-            p = self.floor
-            for i, bits in ((2, 16), (1, 32), (0, 48)):
-                part = key & ((1 << bits) - 1)
-                p = max(0.0, self.logs[i].get(part, 0.0)) + self.rest[i].get(part >> 16, 1.0) * p
+        """Log probability of c behind a and b."""
+        if (found := self.known.get(a + b + c)) is None:
             if len(self.known) > 1 << 18:
                 self.known.clear()
-            found = self.known[key] = math.log(p)
+            found = self.known[a + b + c] = math.log(self._chance(symbol(a) << 32 | symbol(b) << 16 | symbol(c)))
         return found
 
+    def _chance(self, key: int) -> float:
+        p = self.floor
+        for i, bits in ((2, 16), (1, 32), (0, 48)):
+            part = key & ((1 << bits) - 1)
+            p = _value(*self.own[i], part, 0.0) + _value(*self.rest[i], part >> 16, 1.0) * p
+        return p
+
+
+def _value(keys: np.ndarray, values: np.ndarray, wanted: int, missing: float) -> float:
+    at = int(np.searchsorted(keys, np.uint64(wanted)))
+    return float(values[at]) if at < len(keys) and int(keys[at]) == wanted else missing
+
 
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """What each run of equal characters may stand for, with channel costs (lower is likelier)."""
@@ -112,11 +129,14 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(stretch: str, model: CharacterModel) -> str:
-    """The likeliest reading of a lower-case stretch: Viterbi over its lattice, states being the last two symbols."""
-    states = {(" ", " "): (0.0, "")}
+    """The likeliest reading of a lower-case stretch: Viterbi over its lattice, states being the last two symbols.
+
+    A state keeps its cost and a link to the state before it, so time and memory grow with the stretch.
+    """
+    states: dict[tuple[str, str], tuple[float, tuple]] = {(" ", " "): (0.0, ())}
     for options in lattice(stretch):
-        following: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        following: dict[tuple[str, str], tuple[float, tuple]] = {}
+        for (a, b), (cost, path) in states.items():
             for emitted, channel in options:
                 x, y, total = a, b, cost + channel
                 for c in emitted:
@@ -125,33 +145,40 @@ def restore(stretch: str, model: CharacterModel) -> str:
                     total -= model.log(x, y, c)
                     x, y = y, c
                 if (x, y) not in following or total < following[x, y][0]:
-                    following[x, y] = total, text + emitted
+                    following[x, y] = total, (path, emitted)
         states = following
-    return min((cost - model.log(a, b, " "), text) for (a, b), (cost, text) in states.items())[1]
+    _, path = min(((cost - model.log(a, b, " "), path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])
+    out = []
+    while path:
+        path, emitted = path
+        out.append(emitted)
+    return "".join(reversed(out))
 
 
 def stretches(text: str) -> Iterator[str]:
-    """The disguised-looking stretches of a lower-case text, widened to white space on both sides."""
+    """The disguised-looking stretches of a lower-case text, widened to white space on both sides or by WIDE characters."""
     done = 0
     for m in DISGUISED.finditer(text):
         if m.start() < done:
             continue
-        start = m.start()
-        while start > done and not text[start - 1].isspace():
+        start, least = m.start(), max(done, m.start() - WIDE)
+        while start > least and not text[start - 1].isspace():
             start -= 1
-        after = SPACE.search(text, m.end())
-        done = after.start() if after else len(text)
+        after = SPACE.search(text, m.end(), m.end() + WIDE)
+        done = after.start() if after else min(len(text), m.end() + WIDE)
         yield text[start:done]
 
 
 def restored(text: str, model: CharacterModel, known: dict[str, str]) -> list[str]:
-    """Readings of a text's stretches; `known` keeps readings of stretches seen before."""
+    """Readings of a text's stretches; `known` keeps readings of short stretches seen before."""
     out = []
     for s in stretches(text):
         if (reading := known.get(s)) is None:
-            if len(known) > 100_000:
-                known.clear()
-            reading = known[s] = restore(s.strip(".,;:?\"'()[]"), model)
+            reading = restore(s.strip(".,;:?\"'()[]"), model)
+            if len(s) <= 4 * WIDE:
+                if len(known) > 100_000:
+                    known.clear()
+                known[s] = reading
         out.append(reading)
     return out
 
@@ -217,8 +244,12 @@ class Scorer:
 def character_model(docs: DataFrame) -> CharacterModel | None:
     """The trigram model of all texts of docs."""
     grams = langid.count_ngrams(docs.where("text is not null").select("text", F.lit("").alias("lang")))
-    grams = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 48) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-    rows = grams.orderBy(F.desc("n"), "key").limit(MAX_TRIGRAMS).toPandas().sort_values("key")
+    key = F.lit(0).cast("long")
+    for back in (2, 1, 0):
+        code = F.shiftrightunsigned("key", 16 * back).bitwiseAND(F.lit(0xFFFF))
+        plain_ = code.isin(START, GAP) | code.between(97, 122) | code.between(0xDF, 0x17F)
+        key = F.shiftleft(key, 16).bitwiseOR(F.when(plain_, code).otherwise(OTHER))
+    rows = grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toPandas()  # fewer than 130^3 rows
     return CharacterModel(rows["key"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)) if len(rows) else None
 
 
@@ -251,12 +282,12 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
 
 
 def _weights(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The stems with the highest cautious log odds, from counts (stem, toxic, clean, after)."""
+    """The stems with cautious log odds over LEAST, from counts (stem, toxic, clean, after) of a bounded sample."""
     places = -64 * F.log(F.greatest(F.lit(0.01), 1 - F.bit_count("after") / 64))
     toxic, clean = F.least(F.col("toxic").cast("double"), places), F.col("clean")
     odds = F.log((toxic + 0.5) / F.lit(n_toxic + 1.0)) - F.log((clean + 0.5) / F.lit(n_clean + 1.0))
     careful = odds - CAUTION * F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    best = counts.withColumn("w", careful).where(F.col("w") > LEAST).orderBy(F.desc("w"), "stem").limit(MAX_STEMS)
+    best = counts.withColumn("w", careful).where(F.col("w") > LEAST).orderBy("stem")
     return {r["stem"]: r["w"] for r in best.select("stem", "w").collect()}
 
 
