@@ -295,7 +295,7 @@ def name_candidates(mentions: DataFrame, laws: DataFrame, least: float = 0.6, mo
 
 def _clean(c: Column) -> Column:
     c = F.replace(similarity.normal(c), F.lit("司法解释"), F.lit("解释"))
-    c = F.regexp_replace(c, similarity._STOP.pattern, "")
+    c = F.regexp_replace(c, "|".join(similarity.SHARED_WORDS), "")
     return F.regexp_replace(c, r"[^\p{L}\p{N}]|的|(?:19|20)\d{2}", "")
 
 

@@ -49,7 +49,11 @@ def with_version_label(laws: DataFrame) -> DataFrame:
 
 
 def violations(docs: DataFrame) -> DataFrame:
-    """V1: doc_id, code for each rule that a document's fields break."""
+    """V1: doc_id, code for each rule that a document's fields break.
+
+    Nested fields are checked where docs has them: categories (id, name, parent_id) and category_ids, relations
+    (relation_type, to_law_id, effective_at), articles (number, text, position).
+    """
     text = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"missing_{c}") for c in ("title", "source_url", "source_name", "source_hash")]
     dates = [F.when(F.col(c).isNotNull() & F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd")).isNull(), f"invalid_{c}") for c in ("released_at", "effective_at", "repealed_at")]
     other = [
@@ -57,7 +61,26 @@ def violations(docs: DataFrame) -> DataFrame:
         F.when(~F.coalesce(F.col("source_url").rlike("^(?:https?|file)://"), F.lit(False)), "invalid_source_url"),
         F.when(F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.coalesce(F.trim(a), F.lit("")) == ""), "blank_alias"),
     ]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*text, *dates, *other))).alias("code"))
+    nested = []
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    some = lambda name, breaks, code: F.when(F.exists(F.coalesce(F.col(name), F.array().cast(docs.schema[name].dataType)), breaks), code)
+    if "categories" in docs.columns:
+        nested.append(some("categories", lambda c: blank(c["id"]) | blank(c["name"]), "incomplete_category"))
+        ids = F.transform("categories", lambda c: c["id"])
+        nested.append(some("categories", lambda c: c["parent_id"].isNotNull() & ~F.array_contains(ids, c["parent_id"]), "unknown_parent_category"))
+        if "category_ids" in docs.columns:
+            nested.append(some("category_ids", lambda i: blank(i) | ~F.coalesce(F.array_contains(ids, i), F.lit(False)), "unknown_category"))
+    if "relations" in docs.columns:
+        nested.append(some("relations", lambda r: blank(r["relation_type"]), "missing_relation_type"))
+        nested.append(some("relations", lambda r: blank(r["to_law_id"]), "missing_relation_target"))
+        wrong = lambda d: d.isNotNull() & F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(d, "yyyy-MM-dd")).isNull()
+        nested.append(some("relations", lambda r: wrong(r["effective_at"]), "invalid_relation_date"))
+    if "articles" in docs.columns:
+        nested.append(F.when(F.coalesce(F.size("articles"), F.lit(0)) < 1, "no_articles"))
+        nested.append(some("articles", lambda a: blank(a["number"]), "missing_article_number"))
+        nested.append(some("articles", lambda a: blank(a["text"]), "missing_article_text"))
+        nested.append(some("articles", lambda a: ~F.coalesce(a["position"] >= 1, F.lit(False)), "invalid_article_position"))
+    return docs.select("doc_id", F.explode(F.array_compact(F.array(*text, *dates, *other, *nested))).alias("code"))
 
 
 def article_violations(articles: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import docnum, similarity
+from folio_spark.functions.numerals import article_key
 from folio_spark.operators.versions import status_rank
+from folio_spark.session import scratch
 
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 #: Levels of local documents, and of those that rank first.
@@ -17,10 +22,12 @@ POOL = 500
 
 
 def tokens(normal: Column) -> Column:
-    """Han bigrams, single Han characters, and digit or Latin runs of a normalised text, in order."""
-    runs = F.regexp_extract_all(normal, F.lit(f"([{HAN}]+|[0-9a-z]+)"), 1)
-    grams = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit(f"^[{HAN}]")), grams(r)).otherwise(F.array(r))))
+    """Han bigrams, single Han characters, and digit or Latin runs of a normalised text, in order.
+
+    With Han in it, one pattern looks ahead at every place; other texts need their runs only.
+    """
+    ahead = rf"(?=([{HAN}]{{2}}|(?<![{HAN}])[{HAN}](?![{HAN}])|(?<![0-9a-z])[0-9a-z]+))"
+    return F.when(F.rlike(normal, F.lit(f"[{HAN}]")), F.regexp_extract_all(normal, F.lit(ahead), 1)).otherwise(F.regexp_extract_all(normal, F.lit("([0-9a-z]+)"), 1))
 
 
 def segments(query: Column) -> Column:
@@ -32,28 +39,80 @@ def tier(level: Column) -> Column:
 
 
 def build_postings(articles: DataFrame) -> DataFrame:
-    """Token, field, article_id, tf, size (tokens in the field) of articles (article_id, title, text)."""
-    fields = F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("t")), F.struct(F.lit("text").alias("field"), F.col("text").alias("t")))
-    rows = articles.select("article_id", F.explode(fields).alias("f")).select("article_id", "f.field", tokens(similarity.normal(F.coalesce("f.t", F.lit("")))).alias("ts"))
-    return rows.select("article_id", "field", F.size("ts").alias("size"), F.explode("ts").alias("token")).groupBy("token", "field", "article_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+    """Token, field, article_id, tf, size (tokens in the field) of articles (article_id, title, text).
+
+    Titles are shared by the articles of a law, so each different one is read once.
+    """
+    read = lambda c: tokens(similarity.normal(F.coalesce(c, F.lit(""))))
+    titles = articles.select("title").distinct().withColumn("ts", read(F.col("title")))
+    by_title = articles.select("article_id", "title").join(titles.where(F.size("ts") > 0), "title").select("article_id", F.lit("title").alias("field"), "ts")
+    rows = articles.select("article_id", F.lit("text").alias("field"), read(F.col("text")).alias("ts")).unionByName(by_title)
+    each = rows.select("article_id", "field", F.size("ts").alias("size"), F.explode("ts").alias("token"))
+    return each.groupBy("token", "field", "article_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings: bucket, token, field, article_id, tf, size; and what BM25 needs of the whole."""
+
+    postings: DataFrame
+    articles: int
+    mean: dict[str, float] = field(default_factory=dict)
+    buckets: int = 0
+
+
+def store_index(articles: DataFrame, path: str, buckets: int = 64, spread: int = 16) -> Index:
+    """P15, stored: the postings of articles (article_id, title, text) at path, in folders of token buckets.
+
+    A bucket's rows are spread over several tasks by article, so a token that is everywhere fills none; inside a file
+    they are sorted by token, so a query's tokens read their bucket's row groups only.
+    """
+    bucket, part = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("article_id"), F.lit(spread))
+    rows = build_postings(articles).withColumn("bucket", bucket).withColumn("__part", part).repartition("bucket", "__part")
+    rows.sortWithinPartitions("bucket", "token").drop("__part").write.partitionBy("bucket").parquet(path)
+    return open_index(articles, path, buckets)
+
+
+def open_index(articles: DataFrame, path: str, buckets: int = 64) -> Index:
+    """The index that store_index wrote to path; articles are counted, texts are not read."""
+    postings = articles.sparkSession.read.parquet(path)
+    n = articles.count()
+    sums = postings.groupBy("field").agg(F.sum("tf").alias("n")).collect()  # two fields
+    return Index(postings, n, {r["field"]: r["n"] / max(n, 1) for r in sums}, buckets)
+
+
+#: Tokens of all queries that are given to every task; more of them are shuffled.
+MOST_TOKENS = 100_000
 
 
-def bm25(queries: DataFrame, postings: DataFrame, n_articles: int, require_all: bool = True) -> DataFrame:
+def bm25(queries: DataFrame, postings: DataFrame | Index, n_articles: int | None = None, require_all: bool = True, only: str | None = None) -> DataFrame:
     """A4: query_id, article_id, score: Okapi BM25 with a weight per field (lower rank is better score, highest first).
 
-    queries: query_id, query. Every token of the query must occur, in any field, unless require_all is false. Average
-    field lengths and token frequencies come from the postings.
+    queries: query_id, query. Every token of the query must occur, in any field (or in the field `only`), unless
+    require_all is false. The queries' tokens narrow the postings before anything else is read of them; lengths come from
+    the index, or from the postings where those are not stored.
     """
-    lengths = postings.groupBy("field", "article_id").agg(F.max("size").alias("n")).groupBy("field").agg((F.sum("n") / n_articles).alias("mean"))
-    df = postings.groupBy("token").agg(F.count_distinct("article_id").alias("df"))
+    if not isinstance(postings, Index):
+        sums = postings.groupBy("field").agg(F.sum("tf").alias("n")).collect()  # two fields
+        postings = Index(postings, n_articles, {r["field"]: r["n"] / max(n_articles, 1) for r in sums})
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(similarity.normal(F.col("query"))))).alias("token"))
     need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
+    words = asked.select("token").distinct()
+    few = words.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS
+    rows = postings.postings if only is None else postings.postings.where(F.col("field") == only)
+    keys = ["token"]
+    if postings.buckets:  # whole folders without an asked token are left out
+        words, keys = words.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(postings.buckets)).cast("int")), ["bucket", "token"]
+    hits = rows.join(F.broadcast(words) if few else words, keys).select("token", "field", "article_id", "tf", "size")
+    df = hits.groupBy("token").agg(F.count_distinct("article_id").alias("df"))
+    n = postings.articles
+    mean = F.when(F.col("field") == "title", postings.mean.get("title", 1.0)).otherwise(postings.mean.get("text", 1.0))
     weight = F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(TEXT_WEIGHT)
-    idf = F.greatest(F.log((n_articles - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    hits = asked.join(df, "token").join(postings, "token").join(F.broadcast(lengths), "field")  # two fields
-    part = weight * F.col("tf") / (F.col("tf") + K1 * (1 - BB + BB * F.col("size") / F.col("mean")))
-    per_token = hits.groupBy("query_id", "article_id", "token").agg((F.first(idf) * (K1 + 1) * F.sum(part)).alias("s"))
-    out = per_token.groupBy("query_id", "article_id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("found"))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = weight * F.col("tf") / (F.col("tf") + K1 * (1 - BB + BB * F.col("size") / mean))
+    per_token = hits.groupBy("token", "article_id").agg(F.sum(part).alias("part"))
+    scored = asked.join(df, "token").withColumn("idf", idf).join(per_token, "token")
+    out = scored.groupBy("query_id", "article_id").agg(F.sum(F.col("idf") * (K1 + 1) * F.col("part")).alias("score"), F.count(F.lit(1)).alias("found"))
     out = out.join(need, "query_id")
     return (out.where("found = need") if require_all else out).select("query_id", "article_id", "score")
 
@@ -71,6 +130,7 @@ def verbatim_search(queries: DataFrame, articles: DataFrame, postings: DataFrame
     narrow; queries without any go to `scan`.
     """
     asked = queries.select("query_id", "query", F.explode(inner_tokens(F.col("query"))).alias("token"))
+    postings = postings.postings if isinstance(postings, Index) else postings
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(df, "token", "left").groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("t"))
     found = rarest.select("query_id", "query", F.col("t.token").alias("token")).join(postings.select("token", "article_id").distinct(), "token")
@@ -188,15 +248,16 @@ def tiered_pool(candidates: DataFrame, limit: int, region: bool = False) -> Data
     return rows.withColumn("__n", n).withColumn("__room", room).where("__n <= __room").drop("__n", "__room")
 
 
-def fragment_hits(queries: DataFrame, articles: DataFrame, postings: DataFrame, n_articles: int, pool: int = POOL) -> DataFrame:
+def fragment_hits(queries: DataFrame, articles: DataFrame, postings: DataFrame | Index, n_articles: int | None = None, pool: int = POOL, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, article_id, matched, score: articles that hold every character of the query in literal pieces.
 
     Candidates are the `pool` best by BM25 over the query's tokens in texts, any of them; queries over 80 characters
-    or tokens take no part (they are never cut).
+    or tokens take no part (they are never cut). `within` filters candidates (query_id, article_id, score) before the pool is cut.
     """
     parts = F.filter(F.split(similarity.normal(F.col("query")), r"[\s，。、；：！？（）《》〈〉【】〔〕「」『』“”‘’,;:!?()\[\]\"]+"), lambda p: p != "")
     short = queries.where(F.length("query") <= 80).withColumn("parts", parts).withColumn("ts", F.array_distinct(tokens(similarity.normal(F.col("query"))))).where((F.size("ts") > 0) & (F.size("ts") <= 80))
-    scored = bm25(short.select("query_id", "query"), postings.where("field = 'text'"), n_articles, require_all=False)
+    scored = bm25(short.select("query_id", "query"), postings, n_articles, require_all=False, only="text")
+    scored = within(scored) if within else scored
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id")
     cut = scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= pool)
     pairs = cut.join(short.select("query_id", "parts"), "query_id").join(articles.select("article_id", "text"), "article_id")
@@ -204,50 +265,208 @@ def fragment_hits(queries: DataFrame, articles: DataFrame, postings: DataFrame,
     return found.where("matched is not null").select("query_id", "article_id", "matched", "score")
 
 
-def supplement(exact: DataFrame, fuzzy: DataFrame, limit: int) -> DataFrame:
+def supplement(exact: DataFrame, fuzzy: DataFrame, limit: int, folded: bool = True) -> DataFrame:
     """Exact hits and, for queries with fewer than min(5, limit) of them, fuzzy ones up to the limit.
 
-    Fuzzy hits already found, or of another version of an exact hit's work, are left out. Both: query_id, work_key,
-    law_id, number, place.
+    Fuzzy hits already found, or (if versions are folded) of another version of an exact hit's work, are left out. Both:
+    query_id, work_key, law_id, number, place.
     """
     counts = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
     more = fuzzy.join(counts, "query_id", "left").fillna(0, ["__n"]).where(F.col("__n") < min(5, limit))
     more = more.join(exact.select("query_id", "law_id", "number").distinct(), ["query_id", "law_id", "number"], "left_anti")
     works = exact.select("query_id", "work_key", F.col("law_id").alias("__law")).distinct()
     other = more.join(works, ["query_id", "work_key"], "left").groupBy(*more.columns).agg(F.max((F.col("__law") != F.col("law_id")).cast("int")).alias("__o"))
-    kept = other.where("__o is null or __o = 0").drop("__o")
+    kept = (other.where("__o is null or __o = 0") if folded else other).drop("__o")
     order = Window.partitionBy("query_id").orderBy("place", "law_id", "number")
     kept = kept.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit - F.col("__n"))
     both = exact.withColumn("match", F.lit("exact")).unionByName(kept.withColumn("place", F.col("__n") + F.col("__r")).drop("__n", "__r").withColumn("match", F.lit("fuzzy")))
     return both
 
 
-def search(queries: DataFrame, articles: DataFrame, laws: DataFrame, clauses: DataFrame, postings: DataFrame, n_articles: int, limit: int = 20, allow_private: bool = False) -> DataFrame:
-    """query_id, kind, ref, place over articles, law titles and private clauses.
+# --- fixed values: a query that cites an article ---------------------------------------------------------------------
+_NUMERAL = r"[0-9〇零一二三四五六七八九十百千万两]+"
+_CITED = rf"(第\s*{_NUMERAL}\s*条(?:\s*之\s*{_NUMERAL})?|{_NUMERAL}\s*条(?:\s*之\s*{_NUMERAL})?|[0-9]+\s*之\s*{_NUMERAL})"
+CITED = rf"(?U)^(.+?)\s*{_CITED}(?:\s*第?\s*{_NUMERAL}\s*[款项目])*$"
+# --- end of fixed values --------------------------------------------------------------------------------------------
 
-    articles: article_id, law_id, title, short_title, text, level, number, derived_status, position, released_at;
-    laws: law_id, title; clauses: clause_id, text, is_private.
+
+@dataclass(frozen=True)
+class Corpus:
+    """What is searched. An article's title is its law's.
+
+    articles: article_id, law_id, number, part, text, title. laws: law_id, title, short_title, level, issuing_body,
+    work_key, start, derived_status. names: name, law_id: the names that stand for one law with confidence. clauses:
+    clause_id, text. sources: source_id, name (private rule sets).
+    """
+
+    articles: DataFrame
+    laws: DataFrame
+    names: DataFrame
+    clauses: DataFrame | None = None
+    sources: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Options:
+    """How to search: filters, folding of versions, private rows, fuzzy supplement."""
+
+    limit: int = 20
+    levels: list[str] | None = None
+    region: str | None = None
+    statuses: list[str] | None = None
+    part: str | None = None
+    versions: str = "folded"
+    private: bool = False
+    fuzzy: bool = True
+
+    def __post_init__(self) -> None:
+        if self.versions not in ("folded", "all"):
+            raise ValueError("versions must be folded or all")
+
+    @property
+    def folds(self) -> bool:
+        return self.versions == "folded" and (self.statuses is None or "current" in self.statuses)
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: what several branches of a search go on from is computed once."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def law_scope(queries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F2 for queries (query_id, in_laws): (query_id, law_id) that each may search, and (query_id, unresolved names).
+
+    Only queries with names are in the first; a query none of whose names resolve has no rows there and finds nothing.
+    """
+    asked = queries.where("in_laws is not null").select("query_id", F.explode("in_laws").alias("name")).withColumn("name", F.trim("name"))
+    found = asked.join(names, "name", "left")
+    none = found.groupBy("query_id").agg(F.array_sort(F.collect_set(F.when(F.col("law_id").isNull(), F.col("name")))).alias("unresolved"))
+    return found.where("law_id is not null").select("query_id", "law_id").distinct(), none
+
+
+def _allowed(hits: DataFrame, queries: DataFrame, scoped: DataFrame) -> DataFrame:
+    """hits (query_id, law_id) within the laws that their query names, if it names any."""
+    free = queries.where("in_laws is null").select("query_id")
+    return hits.join(free, "query_id", "left_semi").unionByName(hits.join(scoped, ["query_id", "law_id"], "left_semi"))
+
+
+def cited_articles(queries: DataFrame, corpus: Corpus) -> DataFrame:
+    """query_id, article_id, law_id: the article that a whole query cites, by a name that stands for one law."""
+    law, number = F.regexp_extract(F.trim("query"), CITED, 1), F.regexp_extract(F.trim("query"), CITED, 2)
+    plain = F.regexp_replace(F.regexp_replace(number, r"(?U)\s+", ""), rf"^({_NUMERAL})(条.*)$", "第$1$2")
+    asked = queries.where(F.trim("query").rlike(CITED)).select("query_id", F.trim(F.regexp_replace(law, "^《|》$", "")).alias("name"), article_key(plain).alias("number")).where("number <> ''")
+    return asked.join(corpus.names, "name").join(corpus.articles.select("article_id", "law_id", "number"), ["law_id", "number"]).select("query_id", "article_id", "law_id")
+
+
+def _rank_and_fold(hits: DataFrame, options: Options) -> DataFrame:
+    """Hits with the asked status, one version of a work each if versions are folded, in their final order."""
+    kept = by_status(hits, options.statuses) if options.statuses is not None else hits
+    if options.folds:
+        best = Window.partitionBy("query_id", "work_key").orderBy(status_rank(F.col("derived_status")), F.col("start").desc_nulls_last(), F.col("law_id").desc())
+        kept = kept.withColumn("__best", F.first("law_id").over(best)).where("law_id = __best").drop("__best")
+    return rank_hits(kept, options.limit, bool(options.region))
+
+
+def _article_hits(q: DataFrame, scoped: DataFrame, corpus: Corpus, index: Index, laws: DataFrame, options: Options) -> DataFrame:
+    """query_id, article_id, law_id, place, match over articles: exact, cited and fuzzy ones."""
+    ids = corpus.articles.select("article_id", "law_id", "number", "part").join(laws, "law_id")
+    ids = in_part(ids, options.part) if options.part else ids
+    ids = ids.drop("part", "title")
+    texts_ = corpus.articles.select("article_id", "text", "title")
+    scores = bm25(q, index).select("query_id", "article_id", (-F.round("score", 6)).alias("score"))
+    found = _allowed(scores.join(ids, "article_id"), q, scoped).join(q.select("query_id", "query"), "query_id")
+    # a segment that is one token needs no second look; others are checked in the text
+    whole = F.forall(segments(F.lower("query")), lambda t: F.rlike(t, F.lit(f"^(?:[0-9a-z]+|[{HAN}]{{1,2}})$")))
+    found = found.withColumn("__whole", whole)
+    checked = verbatim(found.where("not __whole").join(texts_, "article_id"), segments(F.col("query"))).drop("text", "title")
+    pool = tiered_pool(found.where("__whole").unionByName(checked).drop("__whole"), options.limit, bool(options.region))
+    ranked = _rank_and_fold(pool.join(texts_, "article_id").withColumn("seq", F.col("article_id")), options)
+    cited = cited_articles(q, corpus) if not options.part else cited_articles(q.limit(0), corpus)
+    cited = _allowed(cited, q, scoped).join(laws.select("law_id", "derived_status"), "law_id")
+    cited = by_status(cited, options.statuses) if options.statuses is not None else cited
+    cited = _stored(cited.select("query_id", "article_id", "law_id", F.lit(0).alias("place"), F.lit("citation").alias("match")), "cited")
+    exact = _stored(ranked.select("query_id", "article_id", "law_id", "number", "work_key", "place"), "exact")
+    plain = exact.join(cited.select("query_id"), "query_id", "left_anti")
+    beside = exact.join(cited.select("query_id").distinct(), "query_id", "left_semi").join(cited.select("query_id", "article_id"), ["query_id", "article_id"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy("place")
+    beside = beside.select("query_id", "article_id", "law_id", F.row_number().over(order).alias("place"), F.lit("exact").alias("match"))
+    pinned = cited.unionByName(beside).withColumn("place", (F.col("place") + 1).cast("int")).where(F.col("place") <= options.limit)
+    columns = ["query_id", "article_id", "law_id", "place", "match"]
+    if not options.fuzzy:
+        return pinned.select(*columns).unionByName(plain.withColumn("match", F.lit("exact")).select(*columns))
+    # queries with few exact hits and no cited article get fragments
+    few = q.join(exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(5, options.limit))
+    few = _stored(few.drop("n").join(cited.select("query_id"), "query_id", "left_anti"), "few")
+    reach = lambda scores: _allowed(scores.join(ids, "article_id"), few, scoped).select(*scores.columns)
+    near = fragment_hits(few, corpus.articles, index, within=reach).withColumn("score", -F.round("score", 6))
+    near = near.join(ids, "article_id").join(few.select("query_id", "query"), "query_id").join(texts_, "article_id")
+    near = _stored(_rank_and_fold(near.withColumn("seq", F.col("article_id")), options).select("query_id", "law_id", "number", "work_key", "place"), "near")
+    more = supplement(plain.drop("article_id"), near, options.limit, folded=options.folds)
+    more = more.join(corpus.articles.select("law_id", "number", "article_id"), ["law_id", "number"])
+    return pinned.select(*columns).unionByName(more.select(*columns))
+
+
+def _short(q: DataFrame) -> DataFrame:
+    """Queries that are looked up by substrings: those with a segment under three characters."""
+    return q.where(F.exists(segments(F.col("query")), lambda t: F.length(t) < 3))
+
+
+def _name_hits(q: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """query_id, id, score, place of docs (id, text, …): titles, names and clauses that hold all of a query's terms.
+
+    Queries whose terms have three characters and more are ranked by BM25 over the docs' own postings and checked in the
+    text; those with shorter terms are found by substrings, shorter texts first.
+    """
+    posts = _stored(build_postings(docs.select(F.col("id").alias("article_id"), F.lit("").alias("title"), "text")), "names")
+    long_ = q.join(_short(q).select("query_id"), "query_id", "left_anti")
+    scores = bm25(long_, posts, max(docs.count(), 1)).withColumnRenamed("article_id", "id").withColumn("score", -F.round("score", 6))
+    by_token = verbatim(scores.join(q.select("query_id", "query"), "query_id").join(docs, "id").withColumn("title", F.lit("")), segments(F.col("query")))
+    short = _short(q).select("query_id", "query", segments(F.lower("query")).alias("terms"))
+    short = F.broadcast(short) if short.limit(10_001).count() <= 10_000 else short
+    by_scan = docs.join(short, F.forall("terms", lambda t: F.contains(F.lower("text"), t))).withColumn("score", F.length("text").cast("double"))
+    columns = ["query_id", "query", "score", *docs.columns]
+    found = by_token.select(*columns).unionByName(by_scan.select(*columns))
+    order = Window.partitionBy("query_id").orderBy("score", "id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def search(queries: DataFrame, corpus: Corpus, index: Index, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """query_id, kind (article, law, clause, source), ref, place, match, label, conflict_notice.
+
+    queries: query_id, query, in_laws (array of names, null for all laws). Empty queries find nothing. Articles: a cited
+    article first; else exact hits of a tiered pool, by status, missing terms, level and score, one version of a work each,
+    and fragments where exact hits are few. Laws: titles with all terms. Private clauses and sources only where they are
+    allowed, no law is named and no part is asked for.
     """
-    scores = bm25(queries, postings, n_articles).select("query_id", "article_id", (-F.col("score")).alias("score"))
-    whole = verbatim(scores.join(queries.select("query_id", "query"), "query_id").join(articles, "article_id"), segments(F.col("query")))
-    pool = tiered_pool(whole, limit)
-    ranked = rank_hits(pool.withColumn("seq", F.col("article_id")), limit)
-    hits = ranked.select("query_id", F.lit("article").alias("kind"), F.col("article_id").cast("string").alias("ref"), "place", F.lit(False).alias("is_private"))
-    q = queries.select("query_id", "query")
-    title_tokens = build_postings(laws.select(F.col("law_id").alias("article_id"), F.lit("").alias("title"), F.col("title").alias("text")))
-    n_laws = laws.count()
-
-    def branch(kind: str, docs: DataFrame, post: DataFrame, n: int) -> DataFrame:
-        s = bm25(q, post, n)
-        ok = verbatim(s.join(q, "query_id").join(docs, "article_id").withColumn("title", F.lit("")), segments(F.col("query")))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id")
-        return ok.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", F.lit(kind).alias("kind"), F.col("article_id").cast("string").alias("ref"), "place", "is_private")
-
-    by_law = branch("law", laws.select(F.col("law_id").alias("article_id"), F.col("title").alias("text"), F.lit(False).alias("is_private")), title_tokens, n_laws)
-    c = clauses.select(F.col("clause_id").alias("article_id"), "text", "is_private")
-    clause_tokens = build_postings(c.select("article_id", F.lit("").alias("title"), "text"))
-    by_clause = branch("clause", c, clause_tokens, max(1, c.count()))
-    return guard_private(hits.unionByName(by_law).unionByName(by_clause), allow_private).select("query_id", "kind", "ref", "place", "label")
+    q = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "").withColumn("query", F.trim("query"))
+    scoped = _stored(law_scope(q, corpus.names)[0], "scoped")
+    laws = scope(corpus.laws, options.levels, options.region)
+    hits = _article_hits(q, scoped, corpus, index, laws, options)
+    out = hits.select("query_id", F.lit("article").alias("kind"), F.col("article_id").cast("string").alias("ref"), "place", "match", F.lit(False).alias("is_private"))
+
+    def add(rows: DataFrame, kind: str, private: bool) -> None:
+        nonlocal out
+        rows = rows.select("query_id", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("ref"), "place", F.lit("exact").alias("match"), F.lit(private).alias("is_private"))
+        out = out.unionByName(rows)
+
+    if not options.part:
+        pool = min(max(5 * options.limit, 50), POOL)
+        titles = laws.select(F.col("law_id").alias("id"), F.col("title").alias("text"))
+        # filters come before the pool is cut
+        found = _name_hits(q, titles, 1 << 30).drop("place").withColumnRenamed("id", "law_id")
+        found = _allowed(found, q, scoped)
+        cut = Window.partitionBy("query_id").orderBy("score", "law_id")
+        found = found.withColumn("__n", F.row_number().over(cut)).where(F.col("__n") <= pool).drop("__n")
+        found = found.join(laws.drop("text"), "law_id").withColumn("number", F.lit("")).withColumn("seq", F.col("law_id"))
+        add(_rank_and_fold(found, options).withColumnRenamed("law_id", "id"), "law", False)
+        free = q.where("in_laws is null")
+        if options.private and corpus.clauses is not None:
+            add(_name_hits(free, corpus.clauses.select(F.col("clause_id").alias("id"), "text"), options.limit), "clause", True)
+        if options.private and corpus.sources is not None:
+            add(_name_hits(free, corpus.sources.select(F.col("source_id").alias("id"), F.col("name").alias("text")), options.limit), "source", True)
+    return guard_private(out, options.private).select("query_id", "kind", "ref", "place", "match", "label", "conflict_notice")
 
 
 def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:

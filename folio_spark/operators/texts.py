@@ -178,7 +178,8 @@ def explode_items(articles: DataFrame) -> DataFrame:
     """law_id, number, item (key), body of the `（一）…` items of articles, the last of a label staying."""
     label = r"[（(]([一二三四五六七八九十百千万两\d]+)[）)]"
     marks = F.regexp_extract_all("text", F.lit(label), 1)
-    bodies = F.slice(F.split("text", r"\n?[（(][一二三四五六七八九十百千万两\d]+[）)]"), 2, 1 << 20)
+    cut = F.split("text", r"\n?[（(][一二三四五六七八九十百千万两\d]+[）)]")
+    bodies = F.slice(cut, 2, F.size(cut))
     rows = articles.select("law_id", "number", F.posexplode(F.arrays_zip(marks.alias("l"), bodies.alias("b"))).alias("p", "x"))
     rows = rows.select("law_id", "number", "p", article_key(F.col("x.l")).alias("item"), F.trim("x.b").alias("body")).where("item <> '' and body <> ''")
     return rows.groupBy("law_id", "number", "item").agg(F.max_by("body", "p").alias("body"))

@@ -21,10 +21,10 @@ def _events(df: DataFrame) -> DataFrame:
     return df.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("tool"), F.when(F.col("event_type") == "error", "x").alias("error"), (k % 5).alias("hits"), F.col("value").alias("duration_ms"))
 
 
-def _landed(spark: SparkSession, df: DataFrame, at: str) -> DataFrame:
+def _landed(spark: SparkSession, df: DataFrame, at: str, files: int | None = 4) -> DataFrame:
     """A table laid down as files in the shared folder, as a stream."""
     df.write.parquet(f"{at}/landed")
-    return X.file_stream(spark, f"{at}/landed", df.schema, files=4)
+    return X.file_stream(spark, f"{at}/landed", df.schema, files=files)
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'view' THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS hits, CASE WHEN event_type = 'click' THEN CAST(json_extract(props, '$.k') AS INTEGER) % 2 = 0 END AS found FROM events")
@@ -105,9 +105,9 @@ def x5_stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id AS law_id, turn || '#1' AS item, 'added' AS change FROM conversations UNION ALL SELECT DISTINCT conv_id, 'field:articles', 'added' FROM conversations""")
 def x6_stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as documents that arrive in one batch: everything is an addition."""
+    """Conversations as documents that arrive in one batch of many files: everything is an addition."""
     at = scratch(spark, "changes")
-    source = _landed(spark, table(spark, sf_dir, "conversations").coalesce(1), at)
+    source = _landed(spark, table(spark, sf_dir, "conversations").repartition("conv_id"), at, files=None)
     rows = source.select(F.col("conv_id").alias("law_id"), F.col("turn").cast("string").alias("number"), F.col("turn").alias("position"), "text")
     X.stream_changes(rows, f"{at}/state", f"{at}/log", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/log").select("law_id", "item", "change")
@@ -121,27 +121,15 @@ def x6_valid_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.valid_reviews(marks, current)
 
 
-def _written(spark: SparkSession, df: DataFrame, label: str) -> str:
-    """Rows as JSON files, one object a line, in the shared folder."""
+def _written(spark: SparkSession, df: DataFrame, label: str, files: int = 32) -> str:
+    """Rows as JSON files in the shared folder, each an array of objects over several lines, as the readers take them."""
     at = scratch(spark, label)
-    df.write.json(at)
+    one = F.to_json(F.struct(*df.columns))
+    arrays = df.select(one.alias("o")).withColumn("file", F.pmod(F.xxhash64("o"), F.lit(files))).groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("o"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("file").text(at)
     return at
 
 
-def _by_line(path_schema: str):
-    """Readers read whole files as one object; here lines are objects, so the reader's schema is applied line by line."""
-    return lambda spark, path, schema: spark.read.schema(schema).json(path)
-
-
-def _read(spark: SparkSession, reader, path: str, *args):
-    """A reader over JSON lines instead of one object a file."""
-    whole, R._json = R._json, _by_line(path)
-    try:
-        return reader(spark, path, *args)
-    finally:
-        R._json = whole
-
-
 @query(f"WITH {B.ARTICLES_SQL} SELECT CAST(law_id AS VARCHAR) AS law_id, number, text, CAST(row_number() OVER (PARTITION BY law_id ORDER BY position) AS INTEGER) AS position FROM articles")
 def s1_read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as canonical JSON and read back as articles."""
@@ -149,7 +137,7 @@ def s1_read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct("position", F.concat(F.lit("第"), "number", F.lit("条")).alias("number"), "text")
     docs = a.groupBy("law_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text"), x["position"].alias("position"))).alias("articles"))
     path = _written(spark, docs.select(F.col("law_id").cast("string").alias("id"), F.lit("t").alias("title"), "articles"), "corpus")
-    return _read(spark, R.read_corpus, path)["articles"].select("law_id", "number", "text", "position")
+    return R.read_corpus(spark, path)["articles"].select("law_id", "number", "text", "position")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS rule_id, CASE WHEN p_partkey % 3 = 0 AND p_partkey < 1500 THEN 'n' || p_partkey ELSE 'o' || p_partkey END AS primary_law_id, CASE WHEN p_size % 2 = 0 THEN 'own' ELSE 'file' END AS source_name FROM part")
@@ -160,7 +148,7 @@ def s2_read_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.when(k % 3 == 0, F.create_map(F.concat(F.lit("o"), k), F.concat(F.lit("n"), k)))
     path = _written(spark, p.select(F.lit("file").alias("source_name"), ids.alias("law_id_map"), F.array(rule).alias("rules")), "rules")
     laws = p.where("p_partkey < 1500").select(F.concat(F.lit("n"), k).alias("law_id"))
-    return _read(spark, R.read_rules, path, laws)["rules"].select("rule_id", "primary_law_id", "source_name")
+    return R.read_rules(spark, path, laws)["rules"].select("rule_id", "primary_law_id", "source_name")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS source_id, CASE s_suppkey % 3 WHEN 0 THEN 'policy' WHEN 1 THEN 'contract' ELSE 'other' END AS source_type, s_name AS aliases FROM supplier")
@@ -169,28 +157,41 @@ def s3_read_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(k % 3 == 0, "internal_policy").when(k % 3 == 1, "contract").otherwise("strange")
     padded = F.array(F.concat(F.lit(" "), "s_name"), F.col("s_name"), F.lit("  "))
     path = _written(spark, table(spark, sf_dir, "supplier").select(k.cast("string").alias("id"), F.col("s_name").alias("name"), kind.alias("source_type"), padded.alias("aliases")), "norms")
-    return _read(spark, R.read_norms, path)["norms"].select("source_id", "source_type", F.array_join("aliases", "|").alias("aliases"))
+    return R.read_norms(spark, path)["norms"].select("source_id", "source_type", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT conv_id FROM conversations WHERE trim(text) <> '' GROUP BY 1)")
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS x FROM conversations WHERE trim(text) <> '')
+ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn + 1 AS VARCHAR) AS number, md5(replace(string_agg(x, '' ORDER BY x), ' ', '')) AS text FROM t GROUP BY 1, 2""")
 def s4_ingest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as whole text files, one a conversation, and cut into clauses; how many files gave any."""
+    """Conversations written as whole text files, one a conversation, and cut into clauses, which hold their turns."""
     at = scratch(spark, "texts")
-    turns = table(spark, sf_dir, "conversations").where("trim(text) <> ''")
-    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(F.lit("第"), x["turn"] + 1, F.lit("条 "), F.regexp_replace(x["text"], "\n", " "))), "\n")
+    turns = table(spark, sf_dir, "conversations").where("trim(text) <> ''").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("x"))
+    turns = turns.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x"))
+    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "x"))), lambda t: F.concat(F.lit("第"), t["turn"] + 1, F.lit("条 "), t["x"])), "\n")
     files = turns.groupBy("conv_id").agg(one.alias("value"))
     files.repartition(64, "conv_id").write.partitionBy("conv_id").text(at)
     found = R.ingest_text(spark, f"{at}/*/*.txt")
-    return found.groupBy().agg(F.count_distinct("doc_id").alias("n"))
+    return found.select(F.regexp_extract("doc_id", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), "number", F.md5(F.regexp_replace("text", r"\s", "")).alias("text"))
 
 
-@query("""WITH i AS (SELECT l_orderkey % 50 AS pack_id, l_partkey AS part, CASE l_linenumber % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'clause' ELSE 'law' END AS item_type FROM lineitem) SELECT CAST(pack_id AS VARCHAR) AS pack_id, item_type, count(*) AS n FROM i GROUP BY 1, 2""")
+@query("""WITH i AS (SELECT DISTINCT l_orderkey % 50 AS k, l_suppkey AS s, l_orderkey, l_linenumber, l_partkey FROM lineitem)
+ SELECT k || '/' || s AS pack_id, CAST(row_number() OVER (PARTITION BY k, s ORDER BY l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS position, CAST(l_partkey AS VARCHAR) AS law_id,
+  CASE l_linenumber % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'clause' ELSE 'law' END AS item_type FROM i""")
 def s5_read_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber") % 3
-    item = F.struct(F.col("l_partkey").cast("string").alias("law_id"), F.when(n == 0, "1").alias("article_number"), F.when(n == 1, "2").alias("clause_number"))
-    packs = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("k"), F.col("l_suppkey").alias("s")).agg(F.collect_list(item).alias("items"))
-    path = _written(spark, packs.select(F.col("k").cast("string").alias("id"), "items"), "packs")
-    return _read(spark, R.read_packs, path)["items"].groupBy("pack_id", "item_type").agg(F.count(F.lit(1)).alias("n"))
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("k"), "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").distinct()
+    item = F.struct("l_orderkey", "l_linenumber", "l_partkey", F.when(n == 0, "1").alias("article_number"), F.when(n == 1, "2").alias("clause_number"))
+    read = lambda x: F.struct(x["l_partkey"].cast("string").alias("law_id"), x["article_number"].alias("article_number"), x["clause_number"].alias("clause_number"))
+    packs = items.groupBy(F.concat_ws("/", "k", "l_suppkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(item)), read).alias("items"))
+    return R.read_packs(spark, _written(spark, packs, "packs"))["items"].select("pack_id", "position", "law_id", "item_type")
+
+
+@query("SELECT DISTINCT (l_orderkey % 50) || '/' || l_suppkey AS pack_id, 'law' AS kind, CAST(l_partkey AS VARCHAR) AS ref FROM lineitem")
+def s5_pack_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies that items imply."""
+    item = F.struct(F.col("l_partkey").cast("string").alias("law_id"))
+    packs = table(spark, sf_dir, "lineitem").groupBy(F.concat_ws("/", F.col("l_orderkey") % 50, "l_suppkey").alias("id")).agg(F.collect_set(item).alias("items"))
+    return R.read_packs(spark, _written(spark, packs, "packs"))["dependencies"]
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS book_id, CAST(s_suppkey AS VARCHAR) || '#1' AS note_id, CAST(s_nationkey + 1 AS VARCHAR) AS number FROM supplier")
@@ -198,7 +199,7 @@ def s6_read_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
     note = F.struct(F.concat(F.lit("第"), F.col("s_nationkey") + 1, F.lit("条")).alias("article_number"), F.lit("l").alias("law_id"))
     path = _written(spark, table(spark, sf_dir, "supplier").select(F.struct(k.alias("id"), F.col("s_name").alias("title")).alias("book"), F.array(note).alias("items")), "books")
-    return _read(spark, R.read_commentary, path)["notes"].select("book_id", "note_id", "number")
+    return R.read_commentary(spark, path)["notes"].select("book_id", "note_id", "number")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS evidence_id, CAST(user_id AS VARCHAR) AS law_id FROM events")

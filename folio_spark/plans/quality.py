@@ -145,6 +145,20 @@ def s11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.upsert(target, batch.unionByName(batch.withColumn("law_id", F.col("law_id") + 1000000)))
 
 
+@query("""WITH t AS (SELECT o_orderkey AS f, o_custkey AS c, CASE o_orderstatus WHEN 'P' THEN 'reviewed' ELSE 'document' END AS origin FROM orders),
+ r AS (SELECT f, CASE WHEN origin = 'document' AND f % 4 = 0 THEN NULL ELSE c END AS c, origin FROM t)
+ SELECT f AS from_law_id, 'amends' AS relation_type, c AS to_law_id, origin FROM r WHERE c IS NOT NULL UNION ALL SELECT f, 'amends', -c, 'document' FROM t WHERE f % 4 = 0 AND NOT (c = 0 AND origin = 'reviewed')
+ UNION ALL SELECT f, 'amends', c, 'document' FROM t WHERE f % 8 = 0 AND origin = 'document' AND c <> 0""")
+def s11_replace_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth document comes anew with another relation, every eighth with its old one too, reviewed or not."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kind = F.lit("amends").alias("relation_type")
+    target = o.select(k.alias("from_law_id"), kind, F.col("o_custkey").alias("to_law_id"), F.when(F.col("o_orderstatus") == "P", "reviewed").otherwise("document").alias("origin"))
+    told = F.when(k % 8 == 0, F.array(-F.col("o_custkey"), F.col("o_custkey"))).otherwise(F.array(-F.col("o_custkey")))
+    batch = o.where("o_orderkey % 4 = 0").select(k.alias("from_law_id"), kind, F.explode(told).alias("to_law_id"))
+    return S.replace_declared(target, batch, o.where("o_orderkey % 4 = 0").select(k.alias("law_id")))
+
+
 @query("""SELECT coalesce(b, t) AS law_id, CASE WHEN b IS NULL THEN 'keep' WHEN t IS NULL THEN 'insert' WHEN b % 6 = 0 OR b % 10 = 1 THEN 'reload' WHEN b % 4 = 2 THEN 'refresh' ELSE 'keep' END AS action FROM (SELECT o_orderkey AS b FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 6 = 0) FULL JOIN (SELECT o_orderkey AS t FROM orders WHERE o_orderkey % 7 > 0) ON b = t""")
 def s12_plan_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio_spark.operators import retrieval as R
 from folio_spark.plans import bindings as B
 from folio_spark.plans.registry import query
-from folio_spark.session import table
+from folio_spark.session import scratch, table
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(titles, "law_id").withColumn("article_id", F.col("law_id") * 100000 + F.col("position"))
 
 
+def _index(spark: SparkSession, articles: DataFrame) -> R.Index:
+    """The stored index of articles; a service builds it once."""
+    return R.store_index(articles, scratch(spark, "index"))
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two words of every benchmark text."""
     b = table(spark, sf_dir, "benchmark")
@@ -46,8 +51,7 @@ _BM = f"""WITH {_A}, {_P}, {_Q}, nn AS (SELECT count(*) AS n FROM art), mean AS
 @query(_BM + " SELECT query_id, article_id, round(score, 6) AS score FROM bm")
 def a4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _articles(spark, sf_dir)
-    found = R.bm25(_queries(spark, sf_dir), R.build_postings(a), a.count())
-    return found.select("query_id", "article_id", F.round("score", 6).alias("score"))
+    return R.bm25(_queries(spark, sf_dir), _index(spark, a)).select("query_id", "article_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_A}, {_Q} SELECT query_id, article_id FROM q, art WHERE list_bool_and(list_transform(string_split(query, ' '), lambda t: contains(lower(art.text), t) OR contains(lower(title), t)))")
@@ -134,27 +138,32 @@ def f8_zero_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.zero_hits(q, q.where("query_id % 3 = 0")).select("query_id", "code", F.array_join("retries", " ").alias("retries"))
 
 
-_RANK = _BM + """, h AS (SELECT bm.query_id, query, article_id, text, title, level, number, CASE law_id % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'unknown' WHEN 2 THEN 'amended' ELSE 'pending_effective' END AS st, -round(score, 6) AS score FROM bm JOIN art USING (article_id) JOIN q USING (query_id)),
+_RANK = _BM + """, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, article_id) AS n FROM bm),
+ h AS (SELECT pool.query_id, query, article_id, text, title, level, number, CASE law_id % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'unknown' WHEN 2 THEN 'amended' ELSE 'pending_effective' END AS st, -round(score, 6) AS score FROM pool JOIN art USING (article_id) JOIN q USING (query_id) WHERE n <= {pool}),
  r AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE st WHEN 'current' THEN 0 WHEN 'pending_effective' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END,
  len(list_filter(string_split(query, ' '), lambda t: NOT contains(lower(h.text), t) AND lower(title) <> t)), CASE WHEN number = '正文' THEN 1 ELSE 0 END, score, article_id) AS place FROM h)"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+def ranked(spark: SparkSession, sf_dir: str, limit: int, index: R.Index | None = None) -> DataFrame:
+    """Hits of each query's pool, which is cut by scores before texts are read, in their final order."""
     a, q = _articles(spark, sf_dir), _queries(spark, sf_dir)
     k = F.col("law_id") % 4
     status = F.when(k == 0, "current").when(k == 1, "unknown").when(k == 2, "amended").otherwise("pending_effective")
-    found = R.bm25(q, R.build_postings(a), a.count()).withColumn("score", -F.round("score", 6)).join(a, "article_id").join(q, "query_id")
+    scores = R.bm25(q, index or _index(spark, a)).withColumn("score", -F.round("score", 6))
+    levels = a.select("article_id", "level")
+    pool = R.tiered_pool(scores.join(levels, "article_id"), limit).select("query_id", "article_id", "score")
+    found = pool.join(a, "article_id").join(q, "query_id")
     return R.rank_hits(found.withColumn("derived_status", status).withColumn("short_title", F.lit(None).cast("string")).withColumn("seq", F.col("article_id")), limit)
 
 
-@query(_RANK + " SELECT query_id, article_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 200")
+@query(_RANK.replace("{pool}", "500") + " SELECT query_id, article_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 200")
 def w5_rank_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, 200).select("query_id", "article_id", "place")
+    return ranked(spark, sf_dir, 200).select("query_id", "article_id", "place")
 
 
-@query(_RANK + " SELECT query_id, article_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10")
+@query(_RANK.replace("{pool}", "50") + " SELECT query_id, article_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10")
 def t1_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, 10).select("query_id", "article_id", "place")
+    return ranked(spark, sf_dir, 10).select("query_id", "article_id", "place")
 
 
 @query("""WITH c AS (SELECT o_custkey % 20 AS query_id, o_orderkey AS article_id, o_totalprice AS score, CASE WHEN o_orderstatus = 'F' AND o_custkey % 20 < 15 OR o_orderkey % 30 = 0 THEN 'national' ELSE 'local' END AS tier FROM orders),
@@ -186,15 +195,75 @@ def d4_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d5_fragment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts' first words joined to one part, which only pieces of lines can cover; a dynamic programme, no SQL."""
     a = _articles(spark, sf_dir)
+    return R.fragment_hits(_queries(spark, sf_dir), a, _index(spark, a)).withColumn("score", F.round("score", 6))
+
+
+_ANY = _BM + """, ts AS (SELECT token, article_id, tf, size FROM post WHERE field = 'text'), dft AS (SELECT token, count(DISTINCT article_id) AS df FROM ts GROUP BY 1), mt AS (SELECT mean FROM mean WHERE field = 'text'),
+ sc AS (SELECT query_id, article_id, sum(greatest(ln(((SELECT n FROM nn) - df + 0.5) / (df + 0.5)), 1e-6) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT mean FROM mt)))) AS score FROM qt JOIN dft USING (token) JOIN ts USING (token) GROUP BY 1, 2),
+ pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, article_id) AS n FROM sc)"""
+
+
+@query(_ANY + """ SELECT query_id, article_id FROM pool JOIN q USING (query_id) JOIN art USING (article_id) WHERE n <= 500 AND len(string_split(query, ' ')) > 1 AND list_bool_and(list_transform(string_split(query, ' '), lambda t: contains(lower(art.text), t)))""")
+def d5_whole_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those fragment hits whose pieces are the query's parts as they stand."""
+    a = _articles(spark, sf_dir)
+    q = _queries(spark, sf_dir)
+    found = R.fragment_hits(q, a, _index(spark, a)).join(q, "query_id")
+    return found.where(F.col("matched") == F.split("query", " ")).select("query_id", "article_id")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> R.Corpus:
+    """Documents as laws, three of them versions of one work each; conversations as private clauses, sources as their sets."""
+    laws = _laws(spark, sf_dir).drop("text", "status")
+    k = F.col("law_id") % 4
+    status = F.when(k == 0, "current").when(k == 1, "unknown").when(k == 2, "amended").otherwise("pending_effective")
+    laws = laws.withColumn("title", F.substring("title", 1, 40)).withColumn("short_title", F.lit(None).cast("string")).withColumn("derived_status", status)
+    laws = laws.withColumn("work_key", F.floor(F.col("law_id") / 3).cast("string")).withColumn("start", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("law_id") % 1000).cast("int")))
+    articles = _articles(spark, sf_dir).drop("level", "issuing_body").withColumn("part", F.concat(F.lit("part "), F.col("position") % 3))
+    names = laws.select(F.concat(F.lit("law"), "law_id").alias("name"), "law_id")
+    clauses = table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clause_id"), "text").distinct()
+    sources = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("source_id"), F.col("source").alias("name")).distinct()
+    return R.Corpus(articles, laws, names, clauses, sources)
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries; every fifth searches three laws by name (and one that is not there), every seventh cites an article."""
     q = _queries(spark, sf_dir)
-    return R.fragment_hits(q, a, R.build_postings(a), a.count()).withColumn("score", F.round("score", 6))
+    three = F.array(*[F.concat(F.lit("law"), F.pmod(F.col("query_id") * 7 + i, F.lit(900)).cast("string")) for i in range(3)], F.lit("no law"))
+    cites = F.concat(F.lit("《law"), F.col("query_id").cast("string"), F.lit("》第1条"))
+    return q.select("query_id", F.when(F.col("query_id") % 7 == 3, cites).otherwise(F.col("query")).alias("query"), F.when(F.col("query_id") % 5 == 1, three).alias("in_laws"))
+
+
+_LAWS7 = """l AS (SELECT doc_id AS law_id, CASE lang WHEN 'en' THEN 'law' WHEN 'de' THEN 'local_regulation' WHEN 'fr' THEN 'department_rule' ELSE 'local_government_rule' END AS level, substr(split_part(text, chr(10), 1), 1, 40) AS title, doc_id // 3 AS work,
+  doc_id % 1000 AS start, CASE doc_id % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'unknown' WHEN 2 THEN 'amended' ELSE 'pending_effective' END AS st, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS sr FROM documents WHERE text IS NOT NULL),
+ lr AS (SELECT *, CASE level WHEN 'law' THEN 0 WHEN 'department_rule' THEN 1 ELSE 2 END AS lv, level IN ('local_regulation', 'local_government_rule') AS loc FROM l)"""
+_SEARCH = _BM + f""", {_LAWS7},
+ nq AS (SELECT query_id, query, query_id % 7 = 3 AS cites, query_id % 5 = 1 AS named FROM q),
+ sc AS (SELECT query_id, (query_id * 7 + i) % 900 AS law_id FROM nq, range(3) t(i) WHERE named),
+ c1 AS (SELECT bm.query_id, article_id, -round(score, 6) AS score, art.law_id, art.number, lr.loc FROM bm JOIN art USING (article_id) JOIN lr ON lr.law_id = art.law_id JOIN nq ON nq.query_id = bm.query_id
+  WHERE NOT cites AND list_bool_and(list_transform(string_split(nq.query, ' '), lambda t: contains(lower(art.text), t) OR contains(lower(art.title), t))) AND (NOT named OR EXISTS (SELECT 1 FROM sc WHERE sc.query_id = bm.query_id AND sc.law_id = art.law_id))),
+ c2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, loc ORDER BY score, article_id) AS n, least(50, count(*) FILTER (WHERE NOT loc) OVER (PARTITION BY query_id)) AS nat FROM c1),
+ c3 AS (SELECT * FROM c2 WHERE n <= CASE WHEN loc THEN 50 - nat ELSE 50 END),
+ c4 AS (SELECT c3.*, lr.sr, lr.lv, first_value(c3.law_id) OVER (PARTITION BY query_id, work ORDER BY sr, start DESC, c3.law_id DESC) AS best FROM c3 JOIN lr USING (law_id)),
+ c5 AS (SELECT c4.query_id, article_id, row_number() OVER (PARTITION BY c4.query_id ORDER BY sr, len(list_filter(string_split(nq.query, ' '), lambda t: NOT contains(lower(art.text), t) AND lower(art.title) <> t)), lv, score, article_id) AS place
+  FROM c4 JOIN art USING (article_id) JOIN nq USING (query_id) WHERE c4.law_id = best),
+ e AS (SELECT query_id, 'article' AS kind, CAST(article_id AS VARCHAR) AS ref, place, 'exact' AS match FROM c5 WHERE place <= 10
+  UNION ALL SELECT query_id, 'article', CAST(article_id AS VARCHAR), 1, 'citation' FROM nq JOIN art ON art.law_id = query_id AND number = '1' WHERE cites AND (NOT named OR query_id IN (SELECT law_id FROM sc WHERE sc.query_id = nq.query_id)))"""
+
+
+@query(_SEARCH + " SELECT query_id, kind, ref, CAST(place AS INTEGER) AS place, match FROM e")
+def d7_search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in articles: names, tiers, folding, final order and cited articles; without fragments, which need no SQL."""
+    c = _corpus(spark, sf_dir)
+    found = R.search(_named(spark, sf_dir), c, _index(spark, c.articles), R.Options(limit=10, fuzzy=False))
+    return found.where("kind = 'article'").select("query_id", "kind", "ref", "place", "match")
 
 
 @query()
 def d7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _articles(spark, sf_dir).withColumn("derived_status", F.lit("current")).withColumn("short_title", F.lit(None).cast("string"))
-    clauses = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clause_id"), "text", F.lit(True).alias("is_private"))
-    return R.search(_queries(spark, sf_dir), a, B.laws(spark, sf_dir), clauses, R.build_postings(a), a.count(), 10, allow_private=True)
+    """Search over articles, laws, private clauses and sources, with fragments where exact hits are few."""
+    c = _corpus(spark, sf_dir)
+    return R.search(_named(spark, sf_dir), c, _index(spark, c.articles), R.Options(limit=10, private=True))
 
 
 @query("""WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place FROM orders), l AS (SELECT c_custkey AS query_id, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS target FROM customer)

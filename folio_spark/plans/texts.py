@@ -30,13 +30,13 @@ def p17_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, {_TRIM} AS line FROM l)
- SELECT doc_id, line_no + 1 AS position, CAST(line_no + 1 AS VARCHAR) AS number, line AS text, '第' || (floor(line_no / 10) + 1)::INT || '章 总则' AS part FROM s WHERE line <> '' AND line_no < 9000""")
+ SELECT doc_id, line_no % 9999 + 1 AS position, CAST(line_no % 9999 + 1 AS VARCHAR) AS number, line AS text, '第' || (floor(line_no / 10) + 1)::INT || '章 总则' AS part FROM s WHERE line <> ''""")
 def w9_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statutes made of the documents: an article per line, a chapter per ten lines, numbers in Chinese numerals."""
     from folio_spark.functions.numerals import numeral_dim
 
-    lines = X.lines_of(_docs(spark, sf_dir)).withColumn("line", X.clean(F.col("line"))).where("line <> '' and line_no < 9000")
-    numbered = lines.join(F.broadcast(numeral_dim(spark)), F.col("line_no") + 1 == F.col("value"))
+    lines = X.lines_of(_docs(spark, sf_dir)).withColumn("line", X.clean(F.col("line"))).where("line <> ''")
+    numbered = lines.join(F.broadcast(numeral_dim(spark)), F.col("line_no") % 9999 + 1 == F.col("value"))
     chapter = F.when((F.col("line_no") % 10 == 0) | (F.lag("line_no").over(X.Window.partitionBy("doc_id").orderBy("line_no")) < F.col("line_no") - F.col("line_no") % 10), F.concat(F.lit("第"), (F.floor(F.col("line_no") / 10) + 1), F.lit("章 总则\n")))
     made = numbered.withColumn("x", F.concat(F.coalesce(chapter, F.lit("")), F.lit("第"), "numeral", F.lit("条 "), "line"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "x"))), lambda r: r["x"]), "\n")
@@ -47,7 +47,7 @@ def w9_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1")
 def w9_titled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = X.lines_of(_docs(spark, sf_dir)).where("trim(line) <> ''").withColumn("n", F.row_number().over(X.Window.partitionBy("doc_id").orderBy("line_no")))
-    made = lines.where("n < 1000").withColumn("x", F.concat("n", F.lit(".【T"), "n", F.lit("】"), F.trim("line")))
+    made = lines.withColumn("x", F.concat("n", F.lit(".【T"), "n", F.lit("】"), F.trim("line")))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "x"))), lambda r: r["x"]), "\n")
     found = X.titled_items(made.groupBy("doc_id").agg(text.alias("text"))).where("issue is null and number <> '序言'")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

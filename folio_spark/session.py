@@ -28,6 +28,10 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> Spar
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share; below the temp folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="folio-")
+    """A new folder below spark.checkpoint.dir, which all machines share; a local session without one uses the temp folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="folio-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -20,6 +20,19 @@ def replace_children(target: DataFrame, batch: DataFrame, parents: DataFrame, ke
     return target.join(parents.select(key).distinct(), key, "left_anti").unionByName(batch.select(*target.columns))
 
 
+def replace_declared(target: DataFrame, batch: DataFrame, parents: DataFrame) -> DataFrame:
+    """Relations after documents came anew: those that a document itself declared are replaced, reviewed ones stay.
+
+    target: from_law_id, relation_type, to_law_id, origin ('document' or what reviewed it), any others; batch: the same
+    columns, as the documents of parents (law_id) now declare them. A relation that is reviewed is not declared again.
+    """
+    again = parents.select(F.col("law_id").alias("from_law_id")).distinct()
+    key = ["from_law_id", "relation_type", "to_law_id"]
+    stays = target.where(~F.col("origin").eqNullSafe("document")).unionByName(target.where("origin <=> 'document'").join(again, "from_law_id", "left_anti").select(*target.columns))
+    fresh = batch.withColumn("origin", F.lit("document")).join(again, "from_law_id", "left_semi").select(*target.columns).dropDuplicates(key)
+    return stays.unionByName(fresh.join(stays.select(*key), key, "left_anti").select(*target.columns))
+
+
 def plan_refresh(target: DataFrame, batch: DataFrame) -> DataFrame:
     """law_id, action (insert, keep, refresh, reload). Both: law_id, content_hash, metadata_hash, text_hash.
 

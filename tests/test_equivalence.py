@@ -18,7 +18,7 @@ def test_fuzzy_names_lose_nothing(spark):
     laws = spark.createDataFrame([(i, t) for i, t in enumerate(TITLES)], "law_id long, title string")
     mentions = spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "mention_id long, mention string")
     got = {(r["mention_id"], r["title"]) for r in N.name_candidates(mentions, laws, most=99).collect()}
-    assert got == {(i, t) for i, q in enumerate(ASKED) for t in TITLES if similarity._name_score(q, t) >= 0.6}
+    assert got == {(i, t) for i, q in enumerate(ASKED) for t in TITLES if similarity._score(q, t) >= 0.6}
 
 
 def test_resolution_tiers(spark):

@@ -42,6 +42,94 @@ def test_citations(spark):
     assert text[rows[0]["start"] : rows[0]["end"]] == rows[0]["raw"] == "《民法典》第一百四十三条"
 
 
+def test_citation_forms(spark):
+    """Forms with and without 第, wide white space, numbers with parts, and what looks like a citation and is none."""
+    cases = {
+        "依《民法典》577条处理": [("民法典", "577")],
+        "《民法典》\u3000第5条": [("民法典", "5")],
+        "《民法典》\u00a0第\u2003五\u3000条": [("民法典", "5")],
+        "人民§5": [],
+        "参民§5": [("民法典", "5")],
+        "（公§16-1条），见九民§12": [("公司法", "16-1"), ("九民纪要", "12")],
+        "《刑法》第一百三十三条之一": [("刑法", "133-1")],
+        "《公司法》3-5条": [("公司法", "3"), ("公司法", "4"), ("公司法", "5")],
+        "《公司法》第5-3条": [("公司法", "")],
+        "《公司法》第1-200条": [("公司法", "")],
+        "《公司法》第三项": [("公司法", "3")],
+        "《论公司法的现代化改革》第3条": [],
+        "《什么是法？》第3条，《合同法》2020条": [],
+        "《》第3条，《法》第": [],
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None), (98, "")], "doc_id int, text string")
+    got = {}
+    for r in C.extract_citations(docs).orderBy("doc_id", "start", "number").collect():
+        got.setdefault(r["doc_id"], []).append((r["law_input"], r["number"]))
+    assert [got.get(i, []) for i in range(len(cases))] == list(cases.values()) and not got.keys() & {98, 99}
+
+
+def test_quotes_after_citations(spark):
+    cases = [
+        ("《民法典》第5条规定：“甲乙丙丁戊己庚辛；壬癸”", "甲乙丙丁戊己庚辛"),
+        ("《民法典》第5条\u3000原文：甲乙丙丁戊己庚辛壬。癸", "甲乙丙丁戊己庚辛壬"),
+        ("《民法典》第5条“甲乙丙丁戊己庚”", None),
+        ("《民法典》第5条说明甲乙丙丁戊己庚辛壬", None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+    assert [r["quoted_text"] for r in C.extract_citations(docs).orderBy("doc_id").collect()] == [q for _, q in cases]
+
+
+def test_trace_against_all_pairs(spark):
+    """Every pair compared by hand, as the rules are worded."""
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    chance = random.Random(5)
+    signs = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥，。"
+    rows_a, rows_b = [], []
+    for k in (1, 2, 3):
+        texts = ["".join(chance.choice(signs) for _ in range(chance.randint(0, 40))) for _ in range(12)]
+        rows_a += [(k, str(i + 1), i + 1, t, "一" if i < 6 else None) for i, t in enumerate(texts)]
+        after = [t for i, t in enumerate(texts) if i % 5]
+        after = [t[3:] + "新" if i % 3 == 0 else t + "，" if i % 3 == 1 else t for i, t in enumerate(after)]
+        rows_b += [(k, str(i + 1), i + 1, t, "一" if i < 5 else None) for i, t in enumerate(after)]
+    clean = lambda t: re.sub(r"[\s，。]+", "", t)
+
+    def same(x, y):
+        if not x or not y:
+            return 0.0
+        if x == y:
+            return 1.0
+        if x in y or y in x:
+            return max(0.72, min(0.96, min(len(x), len(y)) / max(len(x), len(y)) + 0.12))
+        return SequenceMatcher(None, x, y).ratio()
+
+    want = {}
+    for k, number, position, text, _ in rows_a:
+        others = [r for r in rows_b if r[0] == k]
+        scored = []
+        for _, n, p, t, _ in others:
+            sim = same(clean(text), clean(t))
+            conf = round(min(1.0, sim + 0.05 * (n == number) + max(0.0, 0.03 * (1 - min(abs(p - position), len(others)) / len(others)))), 4)
+            scored.append((conf, round(sim, 4), -abs(p - position), n))
+        best = max(scored)
+        want[k, number] = best[3] if best[0] >= 0.72 else number if any(n == number for _, n, *_ in others) else None
+    shape = "request_id int, number string, position int, text string, part string"
+    a, b = spark.createDataFrame(rows_a, shape), spark.createDataFrame(rows_b, shape)
+    got = {(r["request_id"], r["number"]): r["target_number"] for r in C.trace(a.select("request_id").distinct(), a, b).collect()}
+    assert got == want
+
+
+def test_trace_by_items(spark):
+    shape = "request_id int, number string, position int, text string, part string"
+    a = spark.createDataFrame([(1, "1", 1, "总述：\n（一）甲乙丙丁戊己；\n（二）子丑寅卯辰巳。", None)], shape)
+    b = spark.createDataFrame([(1, "7", 7, "完全另写的一段话在此：\n（一）全然不同的内容文字；\n（二）子丑寅卯辰巳。", None), (1, "8", 8, "天地玄黄", None)], shape)
+    asked = spark.createDataFrame([(1, ["2"])], "request_id int, items array<string>")
+    got = [(r["target_number"], r["confidence"]) for r in C.trace(asked, a, b).collect()]
+    plain = [r["target_number"] for r in C.trace(asked.drop("items"), a, b).collect()]
+    assert got == [("7", 1.0)] and plain == [None]
+
+
 def test_quotes(spark):
     official = "具备下列条件的民事法律行为有效：行为人具有相应的民事行为能力。"
     cases = [("具备下列条件的，民事法律行为有效", "exact_excerpt"), ("具备下列条件的民事法律行为无效", "wording_drift"), ("完全不相干的另外一句话在这里", "mismatch"), (None, "not_checked")]
@@ -89,3 +177,22 @@ def test_read_corpus(spark, tmp_path):
     assert [r["article_id"] for r in got["articles"].orderBy("position").collect()] == ["l1#1", "l1#14-1"]
     law = got["laws"].first()
     assert law["effective_at"] is None and str(law["released_at"]) == "2020-02-03" and got["law_categories"].count() == 1
+
+
+def test_contract_of_nested_fields(spark):
+    from folio_spark.operators import quality as Q
+
+    shape = R.LAW.replace("id string, title", "doc_id string, title", 1)
+    good = {"doc_id": "a", "title": "T", "level": "law", "status": "current", "source_url": "https://h", "source_name": "n", "source_hash": "x"}
+    good |= {"categories": [{"id": "c", "name": "n"}, {"id": "d", "name": "m", "parent_id": "c"}], "category_ids": ["d"], "relations": [{"relation_type": "amends", "to_law_id": "b"}]}
+    good["articles"] = [{"number": "1", "text": "甲", "position": 1}]
+    bad = good | {"doc_id": "b", "categories": [{"id": "c", "name": " ", "parent_id": "z"}], "category_ids": ["q"], "relations": [{"to_law_id": "", "effective_at": "2020-02-30"}]}
+    bad["articles"] = [{"number": "", "text": None, "position": 0}]
+    docs = spark.createDataFrame([good, bad, good | {"doc_id": "c", "articles": [], "relations": None}], shape)
+    got = {}
+    for r in Q.violations(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["code"])
+    assert got == {
+        "b": {"incomplete_category", "unknown_parent_category", "unknown_category", "missing_relation_type", "missing_relation_target", "invalid_relation_date", "missing_article_number", "missing_article_text", "invalid_article_position"},
+        "c": {"no_articles"},
+    }
