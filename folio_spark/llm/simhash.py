@@ -39,7 +39,7 @@ from folio_spark.llm.graph import components
 #: Fingerprints in one tree, before its shard is cut again.
 MAX_SHARD = 1024
 #: Min-hashes of a text, and how many of them are shard keys by themselves.
-MIN_HASHES, KEYS = 16, 10
+MIN_HASHES, KEYS = 10, 10
 #: Texts that all texts of a large group of candidates are held against first.
 PIVOTS = 8
 #: Jaccard similarity of shingle sets from which texts are near-duplicates.
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 36, max_shard
 
     Linked: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more, exactly. Candidates
     share one of KEYS min-hashes (for a similarity of 0.8 that fails once in 10 million pairs), in large shards one more
-    of all MIN_HASHES (which fails once in 3 * 10^10), and have SimHashes of 128 bits at most `radius` apart (about 19
+    of all MIN_HASHES (which fails once in 2 million), and have SimHashes of 128 bits at most `radius` apart (about 19
     are expected at 0.8, 64 for unrelated texts). Texts without words are one text; null ids are no names.
     """
     marked = spool(sketches(docs, words), "sketches")
