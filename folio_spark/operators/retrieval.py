@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import docnum, similarity
 from folio_spark.functions.numerals import article_key
+from folio_spark.operators import grams
 from folio_spark.operators.versions import status_rank
-from folio_spark.session import scratch
+from folio_spark.session import exists, finish, scratch
+
+T = TypeVar("T")
 
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 #: Levels of local documents, and of those that rank first.
@@ -38,17 +47,52 @@ def tier(level: Column) -> Column:
     return F.when(level.isin(*LOCAL), "local").otherwise("national")
 
 
+#: The same tokens for Python's patterns.
+_HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_HAS_HAN, _RUNS = re.compile(f"[{_HAN}]"), re.compile("[0-9a-z]+")
+_AHEAD = re.compile(f"(?=([{_HAN}]{{2}}|(?<![{_HAN}])[{_HAN}](?![{_HAN}])|(?<![0-9a-z])[0-9a-z]+))")
+
+
+def token_list(text: str) -> list[str]:
+    """The tokens of one text, normalised."""
+    plain = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+    return (_AHEAD if _HAS_HAN.search(plain) else _RUNS).findall(plain)
+
+
 def build_postings(articles: DataFrame) -> DataFrame:
-    """Token, field, article_id, tf, size (tokens in the field) of articles (article_id, title, text).
+    """Token, field, article_id, tf, size (tokens in the field) of articles (article_id, title, text), one row an article.
 
-    Titles are shared by the articles of a law, so each different one is read once.
+    Every field is read once, in one narrow Arrow step that also counts a field's tokens, so nothing is shuffled.
+    Titles are shared by the articles of a law, so equal ones in a batch are read once.
     """
-    read = lambda c: tokens(similarity.normal(F.coalesce(c, F.lit(""))))
-    titles = articles.select("title").distinct().withColumn("ts", read(F.col("title")))
-    by_title = articles.select("article_id", "title").join(titles.where(F.size("ts") > 0), "title").select("article_id", F.lit("title").alias("field"), "ts")
-    rows = articles.select("article_id", F.lit("text").alias("field"), read(F.col("text")).alias("ts")).unionByName(by_title)
-    each = rows.select("article_id", "field", F.size("ts").alias("size"), F.explode("ts").alias("token"))
-    return each.groupBy("token", "field", "article_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+    names = ["token", "field", "article_id", "tf", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                read: dict[str, tuple[Counter, int]] = {}
+                tokens_, fields, own, tfs, sizes = [], [], [], [], []
+                for name in ("title", "text"):
+                    for i, value in enumerate(batch.column(batch.schema.get_field_index(name)).to_pylist()):
+                        if not value:
+                            continue
+                        if (got := read.get(value)) is None:
+                            found = token_list(value)
+                            got = Counter(found), len(found)
+                            if name == "title":
+                                read[value] = got
+                        counts, size = got
+                        tokens_ += counts.keys()
+                        tfs += counts.values()
+                        own += [i] * len(counts)
+                        fields += [name] * len(counts)
+                        sizes += [size] * len(counts)
+                ids = batch.column(0).take(pa.array(own, pa.int64()))
+                yield pa.record_batch([pa.array(tokens_, pa.string()), pa.array(fields, pa.string()), ids, pa.array(tfs, pa.int64()), pa.array(sizes, pa.int32())], names)
+
+    kind = articles.schema["article_id"].dataType.simpleString()
+    return articles.select("article_id", "title", "text").mapInArrow(run, f"token string, field string, article_id {kind}, tf long, size int")
 
 
 @dataclass(frozen=True)
@@ -65,7 +109,7 @@ def store_index(articles: DataFrame, path: str, buckets: int = 64, spread: int =
     """P15, stored: the postings of articles (article_id, title, text) at path, in folders of token buckets.
 
     A bucket's rows are spread over several tasks by article, so a token that is everywhere fills none; inside a file
-    they are sorted by token, so a query's tokens read their bucket's row groups only.
+    they are sorted by token, so a query's tokens read their bucket's row groups only. The only shuffle is this one.
     """
     bucket, part = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("article_id"), F.lit(spread))
     rows = build_postings(articles).withColumn("bucket", bucket).withColumn("__part", part).repartition("bucket", "__part")
@@ -75,12 +119,37 @@ def store_index(articles: DataFrame, path: str, buckets: int = 64, spread: int =
 
 def open_index(articles: DataFrame, path: str, buckets: int = 64) -> Index:
     """The index that store_index wrote to path; articles are counted, texts are not read."""
-    postings = articles.sparkSession.read.parquet(path)
+    kind = articles.schema["article_id"].dataType.simpleString()
+    postings = articles.sparkSession.read.schema(f"token string, field string, article_id {kind}, tf long, size int, bucket int").parquet(path)
     n = articles.count()
     sums = postings.groupBy("field").agg(F.sum("tf").alias("n")).collect()  # two fields
     return Index(postings, n, {r["field"]: r["n"] / max(n, 1) for r in sums}, buckets)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A name for the files that df reads, by their paths, sizes and times; equal files have equal names."""
+    spark = df.sparkSession
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    facts = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        facts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(facts).encode()).hexdigest()[:24]
+
+
+def kept(source: DataFrame, label: str, store: Callable[[str], T], opened: Callable[[str], T]) -> T:
+    """What store(path) makes of source's files, stored once in spark.checkpoint.dir and opened from then on."""
+    path = scratch(source.sparkSession, label, fingerprint(source))
+    if exists(source.sparkSession, f"{path}/done"):
+        return opened(f"{path}/rows")
+    part = scratch(source.sparkSession, label)
+    found = store(f"{part}/rows")
+    if finish(source.sparkSession, part, path):
+        return opened(f"{path}/rows")
+    return found
+
+
 #: Tokens of all queries that are given to every task; more of them are shuffled.
 MOST_TOKENS = 100_000
 
@@ -145,17 +214,53 @@ def inner_tokens(query: Column) -> Column:
     return F.array_distinct(F.concat(han, words))
 
 
-def scan(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
-    """T4: for queries with no usable token: hits by scanning, newest law first, then position. Few queries, by contract.
+#: Queries that are broadcast to one nested loop, about.
+BATCH = 10_000
+
+
+def _looped(queries: DataFrame, rows: DataFrame, holds: Column) -> DataFrame:
+    """rows met by every query for which `holds`: nested loops, each over a broadcast batch of about BATCH queries."""
+    batches = max(1, -(-queries.count() // BATCH))
+    out = None
+    for k in range(batches):
+        some = queries if batches == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == k)
+        one = rows.join(F.broadcast(some), holds)
+        out = one if out is None else out.union(one)
+    return out
+
+
+def substring_search(queries: DataFrame, articles: DataFrame, index: grams.Grams) -> DataFrame:
+    """query_id, article_id: articles that hold every segment of a query in text or title, letters' case aside.
 
-    The queries are broadcast when they are at most 10,000; more of them go through Spark's own choice of join.
+    Segments of three characters and more are found by their trigrams' places, without reading a text. Where a query has
+    shorter ones too, they are checked in the texts that the others leave; a query of shorter segments only is a scan.
     """
-    q = queries.select("query_id", segments(F.col("query")).alias("terms"))
-    q = F.broadcast(q) if queries.limit(10_001).count() <= 10_000 else q
-    t, n = F.lower("text"), F.lower(F.coalesce("title", F.lit("")))
-    holds = F.forall("terms", lambda s: F.contains(t, F.lower(s)) | F.contains(n, F.lower(s)))
+    terms = segments(F.col("query"))
+    asked = queries.select("query_id", terms.alias("terms"))
+    found = grams.holding(asked, index)
+    is_short = lambda t: F.length(F.lower(t)) < grams.N
+    some = asked.where(F.exists("terms", is_short) & F.exists("terms", lambda t: ~is_short(t))).select("query_id", F.filter("terms", is_short).alias("terms"))
+    done = found.join(some.select("query_id"), "query_id", "left_anti")
+    checked = verbatim(found.join(some, "query_id").join(articles.select("article_id", "title", "text"), "article_id"), F.col("terms")).select("query_id", "article_id")
+    only = asked.where(~F.exists("terms", lambda t: ~is_short(t)))
+    return done.union(checked).union(scanned(only, articles).select("query_id", "article_id"))
+
+
+def scanned(queries: DataFrame, articles: DataFrame) -> DataFrame:
+    """articles' columns and query_id where an article holds all of a query's terms (query_id, terms); every text is read."""
+    t, n = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
+    return _looped(queries.select("query_id", "terms"), articles, F.forall("terms", lambda s: F.contains(t, F.lower(s)) | F.contains(n, F.lower(s)))).drop("terms")
+
+
+def newest_first(hits: DataFrame, limit: int) -> DataFrame:
+    """T4: hits (query_id, released_at, law_id, position, any others) with place: newest law first, then position."""
     order = Window.partitionBy("query_id").orderBy(F.col("released_at").desc_nulls_last(), "law_id", "position")
-    return articles.join(q, holds).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("terms")
+    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def scan(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
+    """T4: for queries with no usable token: hits by scanning, newest law first, then position. Few queries, by contract."""
+    return newest_first(scanned(queries.select("query_id", segments(F.col("query")).alias("terms")), articles), limit)
 
 
 def scope(df: DataFrame, levels: list[str] | None = None, region: str | None = None) -> DataFrame:
@@ -413,37 +518,77 @@ def _short(q: DataFrame) -> DataFrame:
     return q.where(F.exists(segments(F.col("query")), lambda t: F.length(t) < 3))
 
 
-def _name_hits(q: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+def named_docs(corpus: Corpus) -> dict[str, DataFrame]:
+    """kind to (id, text) of what is searched beside articles: titles of laws, private clauses, names of private sources."""
+    out = {"law": corpus.laws.select(F.col("law_id").alias("id"), F.col("title").alias("text"))}
+    if corpus.clauses is not None:
+        out["clause"] = corpus.clauses.select(F.col("clause_id").alias("id"), "text")
+    if corpus.sources is not None:
+        out["source"] = corpus.sources.select(F.col("source_id").alias("id"), F.col("name").alias("text"))
+    return out
+
+
+def _as_articles(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("id").alias("article_id"), F.lit("").alias("title"), "text")
+
+
+@dataclass(frozen=True)
+class CorpusIndex:
+    """One stored index of all kinds: postings and statistics a kind, and trigrams of what short terms are looked up in."""
+
+    kinds: dict[str, Index]
+    grams: dict[str, grams.Grams]
+
+
+def store_corpus(corpus: Corpus, path: str) -> CorpusIndex:
+    """The index of articles, titles, clauses and sources at path, in folders kind=..., so that a search builds nothing."""
+    store_index(corpus.articles, f"{path}/kind=article")
+    for kind, docs in named_docs(corpus).items():
+        store_index(_as_articles(docs), f"{path}/kind={kind}", buckets=16)
+        grams.store_grams(_as_articles(docs), f"{path}/grams={kind}", buckets=16)
+    return open_corpus(corpus, path)
+
+
+def open_corpus(corpus: Corpus, path: str) -> CorpusIndex:
+    kinds = {"article": open_index(corpus.articles, f"{path}/kind=article")}
+    trigrams = {}
+    for kind, docs in named_docs(corpus).items():
+        kinds[kind] = open_index(_as_articles(docs), f"{path}/kind={kind}", buckets=16)
+        trigrams[kind] = grams.open_grams(_as_articles(docs), f"{path}/grams={kind}", buckets=16)
+    return CorpusIndex(kinds, trigrams)
+
+
+def _name_hits(q: DataFrame, docs: DataFrame, index: Index, trigrams: grams.Grams, limit: int) -> DataFrame:
     """query_id, id, score, place of docs (id, text, …): titles, names and clauses that hold all of a query's terms.
 
-    Queries whose terms have three characters and more are ranked by BM25 over the docs' own postings and checked in the
+    Queries whose terms have three characters and more are ranked by BM25 over the kind's postings and checked in the
     text; those with shorter terms are found by substrings, shorter texts first.
     """
-    posts = _stored(build_postings(docs.select(F.col("id").alias("article_id"), F.lit("").alias("title"), "text")), "names")
     long_ = q.join(_short(q).select("query_id"), "query_id", "left_anti")
-    scores = bm25(long_, posts, max(docs.count(), 1)).withColumnRenamed("article_id", "id").withColumn("score", -F.round("score", 6))
+    scores = bm25(long_, index).withColumnRenamed("article_id", "id").withColumn("score", -F.round("score", 6))
     by_token = verbatim(scores.join(q.select("query_id", "query"), "query_id").join(docs, "id").withColumn("title", F.lit("")), segments(F.col("query")))
-    short = _short(q).select("query_id", "query", segments(F.lower("query")).alias("terms"))
-    short = F.broadcast(short) if short.limit(10_001).count() <= 10_000 else short
-    by_scan = docs.join(short, F.forall("terms", lambda t: F.contains(F.lower("text"), t))).withColumn("score", F.length("text").cast("double"))
+    short = _short(q).select("query_id", "query")
+    held = substring_search(short, _as_articles(docs), trigrams).withColumnRenamed("article_id", "id")
+    by_scan = held.join(short, "query_id").join(docs, "id").withColumn("score", F.length("text").cast("double"))
     columns = ["query_id", "query", "score", *docs.columns]
     found = by_token.select(*columns).unionByName(by_scan.select(*columns))
     order = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def search(queries: DataFrame, corpus: Corpus, index: Index, options: Options = Options()) -> DataFrame:  # noqa: B008
+def search(queries: DataFrame, corpus: Corpus, index: CorpusIndex, options: Options = Options()) -> DataFrame:  # noqa: B008
     """query_id, kind (article, law, clause, source), ref, place, match, label, conflict_notice.
 
     queries: query_id, query, in_laws (array of names, null for all laws). Empty queries find nothing. Articles: a cited
     article first; else exact hits of a tiered pool, by status, missing terms, level and score, one version of a work each,
     and fragments where exact hits are few. Laws: titles with all terms. Private clauses and sources only where they are
-    allowed, no law is named and no part is asked for.
+    allowed, no law is named and no part is asked for. All kinds are looked up in the stored index, whose statistics are
+    those of the whole kind, whatever the filters.
     """
     q = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "").withColumn("query", F.trim("query"))
     scoped = _stored(law_scope(q, corpus.names)[0], "scoped")
     laws = scope(corpus.laws, options.levels, options.region)
-    hits = _article_hits(q, scoped, corpus, index, laws, options)
+    hits = _article_hits(q, scoped, corpus, index.kinds["article"], laws, options)
     out = hits.select("query_id", F.lit("article").alias("kind"), F.col("article_id").cast("string").alias("ref"), "place", "match", F.lit(False).alias("is_private"))
 
     def add(rows: DataFrame, kind: str, private: bool) -> None:
@@ -453,19 +598,20 @@ def search(queries: DataFrame, corpus: Corpus, index: Index, options: Options =
 
     if not options.part:
         pool = min(max(5 * options.limit, 50), POOL)
-        titles = laws.select(F.col("law_id").alias("id"), F.col("title").alias("text"))
+        docs = named_docs(corpus)
+        hits_of = lambda kind, asked, most: _name_hits(asked, docs[kind], index.kinds[kind], index.grams[kind], most)
         # filters come before the pool is cut
-        found = _name_hits(q, titles, 1 << 30).drop("place").withColumnRenamed("id", "law_id")
-        found = _allowed(found, q, scoped)
+        found = hits_of("law", q, 1 << 30).drop("place").withColumnRenamed("id", "law_id")
+        found = _allowed(found, q, scoped).join(laws.select("law_id"), "law_id", "left_semi")
         cut = Window.partitionBy("query_id").orderBy("score", "law_id")
         found = found.withColumn("__n", F.row_number().over(cut)).where(F.col("__n") <= pool).drop("__n")
         found = found.join(laws.drop("text"), "law_id").withColumn("number", F.lit("")).withColumn("seq", F.col("law_id"))
         add(_rank_and_fold(found, options).withColumnRenamed("law_id", "id"), "law", False)
         free = q.where("in_laws is null")
         if options.private and corpus.clauses is not None:
-            add(_name_hits(free, corpus.clauses.select(F.col("clause_id").alias("id"), "text"), options.limit), "clause", True)
+            add(hits_of("clause", free, options.limit), "clause", True)
         if options.private and corpus.sources is not None:
-            add(_name_hits(free, corpus.sources.select(F.col("source_id").alias("id"), F.col("name").alias("text")), options.limit), "source", True)
+            add(hits_of("source", free, options.limit), "source", True)
     return guard_private(out, options.private).select("query_id", "kind", "ref", "place", "match", "label", "conflict_notice")
 
 

@@ -52,9 +52,10 @@ def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, titled: bool = False) -> DataFrame:
+    """Lines that are not empty; on request with the document's first line, cut to 40 characters, as title."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    lines = d.select(F.col("doc_id").alias("law_id"), F.col("lang").alias("level"), F.col("source").alias("issuing_body"), F.posexplode(F.split("text", "\n")).alias("p", "text"))
-    return lines.where("text <> ''").select(
-        "law_id", (F.col("p") + 1).cast("int").alias("position"), (F.col("p") + 1).cast("string").alias("number"), "text", "level", "issuing_body"
-    )
+    title = [F.substring(F.substring_index("text", "\n", 1), 1, 40).alias("title")] * titled
+    lines = d.select(F.col("doc_id").alias("law_id"), F.col("lang").alias("level"), F.col("source").alias("issuing_body"), *title, F.posexplode(F.split("text", "\n")).alias("p", "text"))
+    kept = ["law_id", (F.col("p") + 1).cast("int").alias("position"), (F.col("p") + 1).cast("string").alias("number"), "text", "level", "issuing_body"]
+    return lines.where("text <> ''").select(*kept, *["title"] * titled)

@@ -5,21 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio_spark.operators import grams
 from folio_spark.operators import retrieval as R
 from folio_spark.plans import bindings as B
 from folio_spark.plans.registry import query
-from folio_spark.session import scratch, table
+from folio_spark.session import table
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = B.articles(spark, sf_dir)
-    titles = B.laws(spark, sf_dir).select("law_id", F.substring("title", 1, 40).alias("title"))
-    return a.join(titles, "law_id").withColumn("article_id", F.col("law_id") * 100000 + F.col("position"))
+    """The documents' lines as articles; a document's first line is its title."""
+    a = B.articles(spark, sf_dir, titled=True)
+    return a.withColumn("article_id", F.col("law_id") * 100000 + F.col("position"))
 
 
-def _index(spark: SparkSession, articles: DataFrame) -> R.Index:
-    """The stored index of articles; a service builds it once."""
-    return R.store_index(articles, scratch(spark, "index"))
+def _index(spark: SparkSession, sf_dir: str) -> R.Index:
+    """The stored index of the articles; it is built once for the files that it is of, as a service does."""
+    a = _articles(spark, sf_dir)
+    return R.kept(table(spark, sf_dir, "documents"), "index", lambda path: R.store_index(a, path), lambda path: R.open_index(a, path))
+
+
+def _grams(spark: SparkSession, sf_dir: str) -> grams.Grams:
+    """The stored trigrams of the articles."""
+    a = _articles(spark, sf_dir)
+    return R.kept(table(spark, sf_dir, "documents"), "grams", lambda path: grams.store_grams(a, path), lambda path: grams.open_grams(a, path))
+
+
+def _corpus_index(spark: SparkSession, sf_dir: str, corpus: R.Corpus) -> R.CorpusIndex:
+    """The stored index of all kinds."""
+    both = table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "conversations").select("text"))
+    return R.kept(both, "kinds", lambda path: R.store_corpus(corpus, path), lambda path: R.open_corpus(corpus, path))
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,21 +64,20 @@ _BM = f"""WITH {_A}, {_P}, {_Q}, nn AS (SELECT count(*) AS n FROM art), mean AS
 
 @query(_BM + " SELECT query_id, article_id, round(score, 6) AS score FROM bm")
 def a4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _articles(spark, sf_dir)
-    return R.bm25(_queries(spark, sf_dir), _index(spark, a)).select("query_id", "article_id", F.round("score", 6).alias("score"))
+    return R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir)).select("query_id", "article_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_A}, {_Q} SELECT query_id, article_id FROM q, art WHERE list_bool_and(list_transform(string_split(query, ' '), lambda t: contains(lower(art.text), t) OR contains(lower(title), t)))")
 def f4_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines that hold the queries' terms; terms here have no token that must be whole, so lines are scanned."""
-    a = _articles(spark, sf_dir).withColumn("released_at", F.lit(None).cast("date"))
-    return R.scan(_queries(spark, sf_dir), a, 1 << 30).select("query_id", "article_id")
+    """All lines that hold the queries' terms anywhere in a word, by trigrams' places."""
+    return R.substring_search(_queries(spark, sf_dir), _articles(spark, sf_dir), _grams(spark, sf_dir))
 
 
 @query(f"WITH {_A}, {_Q}, h AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY law_id % 17 DESC, law_id, position) AS place FROM q, art WHERE list_bool_and(list_transform(string_split(query, ' '), lambda t: contains(lower(art.text), t) OR contains(lower(title), t)))) SELECT query_id, article_id, place FROM h WHERE place <= 20")
 def t4_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _articles(spark, sf_dir).withColumn("released_at", F.col("law_id") % 17)
-    return R.scan(_queries(spark, sf_dir), a, 20).select("query_id", "article_id", "place")
+    found = R.substring_search(_queries(spark, sf_dir), a, _grams(spark, sf_dir)).join(a.select("article_id", "law_id", "position", "released_at"), "article_id")
+    return R.newest_first(found, 20).select("query_id", "article_id", "place")
 
 
 @query("""WITH d AS (SELECT item_id AS query_id, '第' || item_id || '条' || substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 3) || '款' AS query FROM benchmark),
@@ -149,7 +162,7 @@ def ranked(spark: SparkSession, sf_dir: str, limit: int, index: R.Index | None =
     a, q = _articles(spark, sf_dir), _queries(spark, sf_dir)
     k = F.col("law_id") % 4
     status = F.when(k == 0, "current").when(k == 1, "unknown").when(k == 2, "amended").otherwise("pending_effective")
-    scores = R.bm25(q, index or _index(spark, a)).withColumn("score", -F.round("score", 6))
+    scores = R.bm25(q, index or _index(spark, sf_dir)).withColumn("score", -F.round("score", 6))
     levels = a.select("article_id", "level")
     pool = R.tiered_pool(scores.join(levels, "article_id"), limit).select("query_id", "article_id", "score")
     found = pool.join(a, "article_id").join(q, "query_id")
@@ -195,7 +208,7 @@ def d4_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d5_fragment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts' first words joined to one part, which only pieces of lines can cover; a dynamic programme, no SQL."""
     a = _articles(spark, sf_dir)
-    return R.fragment_hits(_queries(spark, sf_dir), a, _index(spark, a)).withColumn("score", F.round("score", 6))
+    return R.fragment_hits(_queries(spark, sf_dir), a, _index(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 _ANY = _BM + """, ts AS (SELECT token, article_id, tf, size FROM post WHERE field = 'text'), dft AS (SELECT token, count(DISTINCT article_id) AS df FROM ts GROUP BY 1), mt AS (SELECT mean FROM mean WHERE field = 'text'),
@@ -208,7 +221,7 @@ def d5_whole_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those fragment hits whose pieces are the query's parts as they stand."""
     a = _articles(spark, sf_dir)
     q = _queries(spark, sf_dir)
-    found = R.fragment_hits(q, a, _index(spark, a)).join(q, "query_id")
+    found = R.fragment_hits(q, a, _index(spark, sf_dir)).join(q, "query_id")
     return found.where(F.col("matched") == F.split("query", " ")).select("query_id", "article_id")
 
 
@@ -255,7 +268,7 @@ _SEARCH = _BM + f""", {_LAWS7},
 def d7_search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search in articles: names, tiers, folding, final order and cited articles; without fragments, which need no SQL."""
     c = _corpus(spark, sf_dir)
-    found = R.search(_named(spark, sf_dir), c, _index(spark, c.articles), R.Options(limit=10, fuzzy=False))
+    found = R.search(_named(spark, sf_dir), c, _corpus_index(spark, sf_dir, c), R.Options(limit=10, fuzzy=False))
     return found.where("kind = 'article'").select("query_id", "kind", "ref", "place", "match")
 
 
@@ -263,7 +276,7 @@ def d7_search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search over articles, laws, private clauses and sources, with fragments where exact hits are few."""
     c = _corpus(spark, sf_dir)
-    return R.search(_named(spark, sf_dir), c, _index(spark, c.articles), R.Options(limit=10, private=True))
+    return R.search(_named(spark, sf_dir), c, _corpus_index(spark, sf_dir, c), R.Options(limit=10, private=True))
 
 
 @query("""WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place FROM orders), l AS (SELECT c_custkey AS query_id, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS target FROM customer)

@@ -1,12 +1,16 @@
 """Fast paths against plain ones: prefix filter, postings, substrings, closure, streams, registry."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from folio_spark.functions import similarity
+from folio_spark.operators import grams as G
 from folio_spark.operators import lookup as L
 from folio_spark.operators import names as N
 from folio_spark.operators import retrieval as R
 from folio_spark.plans import registry
+from folio_spark.session import scratch
 from folio_spark.sources import store as S
 from folio_spark.streaming import streams as X
 
@@ -40,6 +44,48 @@ def test_postings_search_equals_substrings(spark):
     assert got == {(r["query_id"], r["article_id"]) for r in everything.collect()}
 
 
+def test_substring_search_equals_a_scan(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("aabbc Cé第条") for _ in range(r.randrange(0, 60))) for _ in range(120)] + [None, "", "ab", "a" * 500, "abcabcabcabd 😀😀😀x"]
+    titles = [None if i % 7 == 0 else "abac" if i % 5 == 0 else "" for i in range(len(texts))]
+    rows = [(i, titles[i], t, None, i // 9, i) for i, t in enumerate(texts)]
+    articles = spark.createDataFrame(rows, "article_id long, title string, text string, released_at date, law_id long, position int")
+    asked = ["abc", "aab bca", "bb aabb", "a", "ABAC", "bcabd", "aaaaaaa", "zzz", "第条", "é第条", "abcabcabd", "😀😀x", "aba bab", "abcab bc a"]
+    asked += ["".join(r.choice("abc") for _ in range(r.randrange(3, 8))) for _ in range(40)]
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "query_id long, query string")
+    pairs = lambda df: {(x["query_id"], x["article_id"]) for x in df.select("query_id", "article_id").collect()}
+    want = pairs(R.scan(queries, articles, 1 << 30))
+    assert want == {(i, j) for i, q in enumerate(asked) for j, t in enumerate(texts) if all(s in (t or "").lower() or s in (titles[j] or "") for s in q.lower().split())}
+    assert pairs(R.substring_search(queries, articles, G.Grams(G.build_grams(articles)))) == want
+    found = R.substring_search(queries, articles, G.store_grams(articles, scratch(spark, "grams"), buckets=4, spread=3))
+    assert pairs(found) == want and found.count() == len(want)
+    assert R.substring_search(queries, articles.limit(0), G.Grams(G.build_grams(articles.limit(0)))).count() == 0
+
+
+def test_scans_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(R, "BATCH", 3)
+    articles = spark.createDataFrame([(i, "", "ab" * i, None, 1, i) for i in range(5)], "article_id long, title string, text string, released_at date, law_id long, position int")
+    queries = spark.createDataFrame([(i, "b" * (i % 2) + "a") for i in range(10)], "query_id long, query string")
+    assert R.scan(queries, articles, 99).count() == 5 * 4 + 5 * 3
+
+
+def test_tokens_of_an_arrow_step_are_those_of_columns(spark):
+    texts = ["第三十条 公司应当 abc12 Ｄ．e", "ÀÉ ẞ Straße", "公", "a公b 公司c12公", "x" * 3, "ﬁ①２", "İstanbul ǅ 가나 12"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["ts"] for r in df.select(R.tokens(similarity.normal(F.col("t"))).alias("ts")).collect()] == [R.token_list(t) for t in texts]
+
+
+def test_an_index_is_stored_once(spark):
+    at = scratch(spark, "table")
+    spark.createDataFrame([(1, "", "a b a")], "article_id long, title string, text string").write.parquet(at)
+    articles, stored = spark.read.parquet(at), []
+    store = lambda path: stored.append(path) or R.store_index(articles, path, 2, 2)
+    for _ in range(2):
+        index = R.kept(articles, "kept", store, lambda path: R.open_index(articles, path, 2))
+        assert sorted((r["token"], r["tf"], r["size"]) for r in index.postings.collect()) == [("a", 2, 3), ("b", 1, 3)] and index.articles == 1
+    assert len(stored) == 1
+
+
 def test_closure_finds_cycles_and_unknown_parents(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "gone"), ("y", None)], "node string, parent string")
     rows = L.closure(spark.createDataFrame([("a",), ("x",), ("y",)], "node string"), edges).collect()
