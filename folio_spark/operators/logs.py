@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio_spark.session import spooled
+
 
 def summarize_outcomes(events: DataFrame) -> DataFrame:
     """P20: id, tool, hits, found, law_id out of each result's JSON (result), by tool; what is not there is null."""
@@ -23,13 +25,51 @@ def usage(events: DataFrame) -> DataFrame:
     )
 
 
+#: Buckets of a range of values in one pass of a selection, and rows of a state that is broadcast.
+BUCKETS, FEW = 4096, 10_000
+
+
+def selected(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """by, k, value: the k-th least (from 0) value of each group of values (by, value), for wanted (by, k).
+
+    A pass counts the values of a range in BUCKETS buckets of equal width, finds the bucket that holds the rank by running
+    sums over these counts, and goes on with the bucket's own least and greatest value; it ends where these are equal. So
+    no task holds a group's values, however many they are, and equal ones cost no pass of their own.
+    """
+    ends = values.groupBy("by").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    state = spooled(wanted.distinct().join(ends, "by").select("by", "k", "lo", "hi", F.lit(0).cast("long").alias("before")), "ranks")
+    while (open_ := state.where("lo < hi")).limit(1).count():
+        few = F.broadcast(open_) if open_.limit(FEW + 1).count() <= FEW else open_
+        inside = values.join(few, "by").where("value between lo and hi")
+        at = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        counts = inside.groupBy("by", "k", "before", at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("by", "k").orderBy("at"))
+        chosen = counts.withColumn("upto", F.col("before") + upto).where("k < upto and k >= upto - n").select("by", "k", "lo", "hi", (F.col("upto") - F.col("n")).alias("before"))
+        state = spooled(state.where("lo >= hi").union(chosen), "ranks")
+    return state.select("by", "k", F.col("lo").alias("value"))
+
+
 def latency(events: DataFrame, by: str = "tool") -> DataFrame:
-    """By, calls, median, p95 (nearest rank), per_second of events (by, duration_ms, at)."""
+    """By, calls, median, p95 (nearest rank), per_second of events (by, duration_ms, at).
+
+    Calls without a duration count as calls only; the median of an even number is the mean of the middle two.
+    """
     span = F.greatest(F.unix_timestamp(F.max("at")) - F.unix_timestamp(F.min("at")), F.lit(1))
-    return events.groupBy(by).agg(
-        F.count(F.lit(1)).alias("calls"), F.expr("percentile(duration_ms, 0.5)").alias("median"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95"), (F.count(F.lit(1)) / span).alias("per_second"),
+    rows = events.select(F.col(by).alias("by"), F.col("duration_ms").cast("double").alias("value"), "at")
+    timed = F.col("value").isNotNull() & ~F.isnan("value")
+    facts = rows.groupBy("by").agg(F.count(F.lit(1)).alias("calls"), F.count_if(timed).alias("n"), (F.count(F.lit(1)) / span).alias("per_second"))
+    facts = spooled(facts, "calls")
+    ranks = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.ceil(F.col("n") * 0.95) - 1)
+    # null groups are one
+    keyed = lambda df: df.withColumn("by", F.coalesce(F.concat(F.lit("+"), F.col("by").cast("string")), F.lit("")))
+    wanted = keyed(facts).where("n > 0").select("by", F.explode(F.array_distinct(ranks)).alias("k"))
+    found = selected(keyed(rows.where(timed)).select("by", "value"), wanted)
+    value = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    per = wanted.select("by").distinct().join(keyed(facts).select("by", "n"), "by").join(found, "by").groupBy("by").agg(
+        ((value(F.floor((F.col("n") - 1) / 2)) + value(F.floor(F.col("n") / 2))) / 2).alias("median"), value(F.ceil(F.col("n") * 0.95) - 1).alias("p95")
     )
+    out = facts.withColumn("__by", F.coalesce(F.concat(F.lit("+"), F.col("by").cast("string")), F.lit(""))).join(per.withColumnRenamed("by", "__by"), "__by", "left")
+    return out.select(F.col("by").alias(by), "calls", "median", "p95", "per_second")
 
 
 def build_evidence(results: DataFrame, excerpt: int = 120) -> DataFrame:

@@ -131,23 +131,6 @@ def append_pack_items(items: DataFrame, incoming: DataFrame, resolvable: DataFra
     return fresh.join(last, "pack_id", "left").withColumn("position", (F.coalesce("__last", F.lit(0)) + n).cast("int")).drop("__last")
 
 
-def closure(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Root, node, depth, issue: all ancestors of each root over edges (node, parent), nearest first.
-
-    A path that meets a node again is a cycle; a parent that is no node is unknown. A recursive query, which fails loudly
-    where a path is longer than `rounds`. The two tables are parameters of the query, so calls do not meet.
-    """
-    walked = roots.sparkSession.sql(f"""
-      WITH RECURSIVE w(root, node, parent, depth, path, issue) MAX RECURSION LEVEL {rounds} AS (
-        SELECT r.node, e.node, e.parent, 0, array(e.node), CAST(NULL AS STRING) FROM {{roots}} r JOIN {{edges}} e ON r.node = e.node
-        UNION ALL
-        SELECT w.root, w.parent, e.parent, w.depth + 1, concat(w.path, array(w.parent)),
-          CASE WHEN array_contains(w.path, w.parent) THEN 'cycle' WHEN e.node IS NULL THEN 'unknown_parent' END
-        FROM w LEFT JOIN {{edges}} e ON w.parent = e.node WHERE w.parent IS NOT NULL AND w.issue IS NULL)
-      SELECT root, node, depth, issue FROM w""", roots=roots, edges=edges)
-    return walked
-
-
 def definition_conflicts(entries: DataFrame, by: str = "id") -> DataFrame:
     """Ids that are defined differently by different documents: id, definitions."""
     cols = [c for c in entries.columns if c not in (by, "doc_id")]

@@ -201,13 +201,19 @@ def resolve_docnum(mentions: DataFrame, laws: DataFrame, today: str) -> DataFram
 
 
 def siblings(laws: DataFrame, most: int = 5) -> DataFrame:
-    """law_id, sibling_id, place: other records that share a name, preferred ones first. laws has `names` (array)."""
-    named = laws.select("law_id", F.explode(F.array_distinct("names")).alias("name")).where("name <> ''")
-    pairs = named.join(named.select(F.col("law_id").alias("sibling_id"), "name"), "name").where("law_id <> sibling_id").select("law_id", "sibling_id").distinct()
-    facts = laws.select(*[F.col(c).alias("s_" + c) for c in ("law_id", "title", "status", "article_count", "released_at", "ingest_seq")])
-    order = Window.partitionBy("law_id").orderBy(*preference("s_"))
-    ranked = pairs.join(facts, F.col("sibling_id") == F.col("s_law_id")).withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") <= most).select("law_id", "sibling_id", "place")
+    """law_id, sibling_id, place: other records that share a name, preferred ones first. laws has `names` (array).
+
+    A record's best siblings are among the best `most` + 1 records of each of its names (itself may be one of them), so a
+    name keeps so many, cut before they are shuffled, and records meet these instead of each other.
+    """
+    facts = laws.select(*[F.col(c).alias("s_" + c) for c in ("law_id", "title", "status", "article_count", "released_at", "ingest_seq")], F.array_distinct("names").alias("names"))
+    named = facts.select("*", F.explode("names").alias("name")).where("name <> ''").drop("names")
+    best = Window.partitionBy("name").orderBy(*preference("s_"))
+    tops = named.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= most + 1).drop("__n")
+    own = laws.select("law_id", F.explode(F.array_distinct("names")).alias("name")).where("name <> ''")
+    pairs = own.join(tops, "name").where(F.col("law_id") != F.col("s_law_id")).drop("name").dropDuplicates(["law_id", "s_law_id"])
+    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("law_id").orderBy(*preference("s_"))))
+    return ranked.where(F.col("place") <= most).select("law_id", F.col("s_law_id").alias("sibling_id"), "place")
 
 
 def match_entities(batch: DataFrame, laws: DataFrame, refs: DataFrame) -> DataFrame:

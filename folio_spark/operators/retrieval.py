@@ -18,7 +18,7 @@ from folio_spark.functions import docnum, similarity
 from folio_spark.functions.numerals import article_key
 from folio_spark.operators import grams
 from folio_spark.operators.versions import status_rank
-from folio_spark.session import exists, finish, scratch
+from folio_spark.session import exists, finish, scratch, spooled
 
 T = TypeVar("T")
 
@@ -433,13 +433,6 @@ class Options:
         return self.versions == "folded" and (self.statuses is None or "current" in self.statuses)
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: what several branches of a search go on from is computed once."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def law_scope(queries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """F2 for queries (query_id, in_laws): (query_id, law_id) that each may search, and (query_id, unresolved names).
 
@@ -491,8 +484,8 @@ def _article_hits(q: DataFrame, scoped: DataFrame, corpus: Corpus, index: Index,
     cited = cited_articles(q, corpus) if not options.part else cited_articles(q.limit(0), corpus)
     cited = _allowed(cited, q, scoped).join(laws.select("law_id", "derived_status"), "law_id")
     cited = by_status(cited, options.statuses) if options.statuses is not None else cited
-    cited = _stored(cited.select("query_id", "article_id", "law_id", F.lit(0).alias("place"), F.lit("citation").alias("match")), "cited")
-    exact = _stored(ranked.select("query_id", "article_id", "law_id", "number", "work_key", "place"), "exact")
+    cited = spooled(cited.select("query_id", "article_id", "law_id", F.lit(0).alias("place"), F.lit("citation").alias("match")), "cited")
+    exact = spooled(ranked.select("query_id", "article_id", "law_id", "number", "work_key", "place"), "exact")
     plain = exact.join(cited.select("query_id"), "query_id", "left_anti")
     beside = exact.join(cited.select("query_id").distinct(), "query_id", "left_semi").join(cited.select("query_id", "article_id"), ["query_id", "article_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("place")
@@ -503,11 +496,11 @@ def _article_hits(q: DataFrame, scoped: DataFrame, corpus: Corpus, index: Index,
         return pinned.select(*columns).unionByName(plain.withColumn("match", F.lit("exact")).select(*columns))
     # queries with few exact hits and no cited article get fragments
     few = q.join(exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(5, options.limit))
-    few = _stored(few.drop("n").join(cited.select("query_id"), "query_id", "left_anti"), "few")
+    few = spooled(few.drop("n").join(cited.select("query_id"), "query_id", "left_anti"), "few")
     reach = lambda scores: _allowed(scores.join(ids, "article_id"), few, scoped).select(*scores.columns)
     near = fragment_hits(few, corpus.articles, index, within=reach).withColumn("score", -F.round("score", 6))
     near = near.join(ids, "article_id").join(few.select("query_id", "query"), "query_id").join(texts_, "article_id")
-    near = _stored(_rank_and_fold(near.withColumn("seq", F.col("article_id")), options).select("query_id", "law_id", "number", "work_key", "place"), "near")
+    near = spooled(_rank_and_fold(near.withColumn("seq", F.col("article_id")), options).select("query_id", "law_id", "number", "work_key", "place"), "near")
     more = supplement(plain.drop("article_id"), near, options.limit, folded=options.folds)
     more = more.join(corpus.articles.select("law_id", "number", "article_id"), ["law_id", "number"])
     return pinned.select(*columns).unionByName(more.select(*columns))
@@ -586,7 +579,7 @@ def search(queries: DataFrame, corpus: Corpus, index: CorpusIndex, options: Opti
     those of the whole kind, whatever the filters.
     """
     q = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "").withColumn("query", F.trim("query"))
-    scoped = _stored(law_scope(q, corpus.names)[0], "scoped")
+    scoped = spooled(law_scope(q, corpus.names)[0], "scoped")
     laws = scope(corpus.laws, options.levels, options.region)
     hits = _article_hits(q, scoped, corpus, index.kinds["article"], laws, options)
     out = hits.select("query_id", F.lit("article").alias("kind"), F.col("article_id").cast("string").alias("ref"), "place", "match", F.lit(False).alias("is_private"))

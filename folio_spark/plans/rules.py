@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio_spark.operators import lookup as L
+from folio_spark.operators.graphs import closure
 from folio_spark.plans import bindings as B
 from folio_spark.plans.registry import query
 from folio_spark.session import table
@@ -131,7 +132,7 @@ def j24_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
     name = lambda p, c: F.concat(F.lit(p), c)
     edges = s.select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("parent")).union(n.select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(r.select(name("r", "r_regionkey"), F.lit(None).cast("string")))
-    return L.closure(s.select(name("s", "s_suppkey").alias("node")), edges).select("root", "node", "depth")
+    return closure(s.select(name("s", "s_suppkey").alias("node")), edges).select("root", "node", "depth")
 
 
 @query("SELECT p_name AS id, count(DISTINCT (p_brand, p_type)) AS definitions FROM part GROUP BY 1 HAVING count(DISTINCT (p_brand, p_type)) > 1")

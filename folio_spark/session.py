@@ -38,6 +38,13 @@ def scratch(spark: SparkSession, label: str, name: str | None = None) -> str:
     return f"{root.rstrip('/')}/{label}-{name or uuid.uuid4().hex}"
 
 
+def spooled(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: what several steps go on from is computed once, and lineage is cut."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _path(spark: SparkSession, path: str) -> tuple:
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found

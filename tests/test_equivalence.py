@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from folio_spark.functions import similarity
 from folio_spark.operators import grams as G
 from folio_spark.operators import lookup as L
+from folio_spark.operators import logs as Q
 from folio_spark.operators import names as N
 from folio_spark.operators import retrieval as R
+from folio_spark.operators.graphs import closure, strong_parts
 from folio_spark.plans import registry
 from folio_spark.session import scratch
 from folio_spark.sources import store as S
@@ -88,11 +90,65 @@ def test_an_index_is_stored_once(spark):
 
 def test_closure_finds_cycles_and_unknown_parents(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "gone"), ("y", None)], "node string, parent string")
-    rows = L.closure(spark.createDataFrame([("a",), ("x",), ("y",)], "node string"), edges).collect()
+    rows = closure(spark.createDataFrame([("a",), ("x",), ("y",)], "node string"), edges).collect()
     got = {(r["root"], r["node"], r["depth"], r["issue"]) for r in rows}
     assert got == {("a", "a", 0, None), ("a", "b", 1, None), ("a", "c", 2, None), ("a", "a", 3, "cycle"), ("x", "x", 0, None), ("x", "gone", 1, "unknown_parent"), ("y", "y", 0, None)}
 
 
+def test_strong_parts_and_closure_equal_plain_walks(spark):
+    r = random.Random(3)
+    edges = sorted({(r.randrange(24), r.randrange(24)) for _ in range(40)} | {(100, 101), (101, 102), (100, 102)})
+    near = {u: {v for a, v in edges if a == u} for u, _ in edges}
+
+    def reached(u):
+        out, todo = {}, [(u, 0)]
+        for node, d in todo:
+            for v in near.get(node, ()):
+                if v not in out:
+                    out[v] = d + 1
+                    todo.append((v, d + 1))
+        return out
+
+    ahead = {u: reached(u) for u in range(103)}
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {x["node"]: x["part"] for x in strong_parts(df).collect()}
+    same = lambda a, b: a != b and b in ahead[a] and a in ahead[b]
+    assert set(got) == {a for a in ahead if any(same(a, b) for b in ahead)}
+    assert all((got[a] == got[b]) == same(a, b) for a in got for b in got if a != b)
+    rows = closure(spark.createDataFrame([(0,), (5,), (100,), (999,)], "node long"), df.toDF("node", "parent")).collect()
+    nodes = {u for u, _ in edges}
+    plain = {(x["root"], x["node"]): (x["depth"], x["issue"]) for x in rows if x["issue"] != "cycle"}
+    want = {(q, v): (0 if v == q else d, None if v in nodes else "unknown_parent") for q in (0, 5, 100) if q in nodes for v, d in {**ahead[q], q: 0}.items()}
+    assert plain == want
+    for x in rows:
+        if x["issue"] == "cycle":
+            assert x["node"] in ahead[x["node"]]
+
+
+def test_a_long_chain_has_no_limit(spark):
+    edges = spark.range(40).select(F.col("id").alias("node"), F.when(F.col("id") < 39, F.col("id") + 1).alias("parent"))
+    rows = closure(spark.createDataFrame([(0,)], "node long"), edges)
+    assert [tuple(x) for x in rows.orderBy("depth").collect()] == [(0, i, i, None) for i in range(40)]
+
+
+def test_latency_equals_percentiles(spark):
+    r = random.Random(4)
+    rows = [("a", r.choice([1.0, 2.0, 2.0, 1e9, r.random()]), i) for i in range(501)] + [("b", 5.0, 1), ("b", None, 2), ("c", None, 3), (None, 7.0, 4), (None, 9.0, 5)]
+    rows += [("hot", 3.0, i) for i in range(2000)] + [("hot", float(i), i) for i in range(100)]
+    events = spark.createDataFrame(rows, "tool string, duration_ms double, s long").withColumn("at", F.timestamp_seconds("s"))
+    want = events.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.expr("percentile(duration_ms, 0.5)").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95"))
+    key = lambda df: sorted((str(x["tool"]), x["calls"], x["median"], x["p95"]) for x in df.collect())
+    assert key(Q.latency(events)) == key(want)
+
+
+def test_siblings_of_a_name_that_everyone_has(spark):
+    laws = spark.range(5000).select(F.col("id").alias("law_id"), F.lit("t").alias("title"), F.lit("current").alias("status"), F.lit(1).alias("article_count"), F.lit(None).cast("date").alias("released_at"), F.col("id").alias("ingest_seq"), F.array(F.lit("all"), F.concat(F.lit("n"), F.col("id") % 2000)).alias("names"))
+    got = N.siblings(laws)
+    assert got.count() == 25000 and got.where("sibling_id = law_id").count() == 0
+    some = {r["sibling_id"] for r in got.where("law_id = 4999").collect()}
+    assert some == {4998, 4997, 4996, 4995, 4994}
+
+
 def test_zero_hits_and_folding_guard(spark):
     q = spark.createDataFrame([(1, "甲 乙丙 丁戊", []), (2, "x", ["某法"]), (3, "y", [])], "query_id int, query string, unresolved array<string>")
     got = {r["query_id"]: (r["code"], r["retries"]) for r in R.zero_hits(q, q.where("query_id = 3")).collect()}
