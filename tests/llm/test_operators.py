@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folio_spark.llm import ann, html_main, langid, line_dedup, media, mixing, packing, sharding, simhash, toxicity
+from folio_spark.llm import ann, codes, html_main, langid, line_dedup, media, merkle, mixing, packing, pieces, sharding, simhash, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon phi chi psi omega".split()
 TEXT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -207,6 +207,46 @@ def test_near_duplicates_by_exact_similarity(spark):
         assert (found[i + 1] == i) == (len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])) and found[i] == i
 
 
+def test_near_duplicates_are_of_sets(spark, monkeypatch):
+    """Repeated passages, short texts, unequal lengths, a large group of near copies: always the components of all pairs."""
+    r, rows = np.random.default_rng(8), []
+    own = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    add = lambda w: rows.append((len(rows), " ".join(w)))
+    for again in (0, 10, 200):  # a line that a copy repeats counts once
+        w, line = own(300), own(12)
+        add(w)
+        add(w + line * again)
+    for n in (6, 8, 12, 30):  # short texts, and those that are a part of another
+        for _ in range(6):
+            w = own(n)
+            add(w)
+            add(w[: n - n // 6])
+            add(w + own(n // 5))
+    base = own(60)
+    for _ in range(60):  # near copies, of each other or only of some
+        w = list(base)
+        for i in r.integers(0, 60, r.integers(0, 4)):
+            w[i] = own(1)[0]
+        add(w)
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    want = list(range(len(rows)))
+
+    def root(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                want[b] = a
+    for most, chunk in ((simhash.MAX_SHARD, simhash.CHUNK), (4, 8)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs(spark, rows), max_shard=most).collect()}
+        assert found == {i: root(i) for i in range(len(rows))}
+
+
 # --- media --------------------------------------------------------------------------------------------------------
 
 
@@ -807,3 +847,217 @@ def test_repeated_rows_lengths_and_large_components(spark):
     c = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
     assert got[0] == [(0, 1.0), (0, 1.0), (1, c([1, 0], [1, 0.1])), (100, c([1, 0], [1, 1])), (101, c([1, 0], [1, 2]))]
     assert got[50] == [(51, c([1, 0.2, 0], [1, 0.2, 0.1]))] and got[100][0] == (101, c([1, 1], [1, 2])) and len(got[100]) == 5
+
+
+# --- Merkle manifests ---------------------------------------------------------------------------------------------
+
+
+def plain_manifest(rows, arity):
+    """For rows (doc_id, text, source): doc_id and leaf to (subroot, root, proof, tampered leaf folded); all by lists."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(i, text, source, cut):
+        return h(part(i), part(source), part("en"), part(len(text) if text else None), part(text.replace("\n", "") if cut and text else text))
+
+    def climb(level):
+        levels = [level]
+        while len(level) > 1:
+            level = [h(*level[i : i + arity]) for i in range(0, len(level), arity)]
+            levels.append(level)
+        return levels
+
+    def path(levels, i):
+        for level in levels[:-1]:
+            run = i - i % arity
+            yield level[run:i], level[i + 1 : run + arity]
+            i //= arity
+
+    groups = defaultdict(list)
+    for i, text, source in rows:
+        bad = i is not None and zlib.crc32(str(i).encode()) % 2 == 0
+        groups[source].append(((i is not None, i), leaf(i, text, source, False), leaf(i, text, source, bad)))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = []
+    for s in names:
+        groups[s].sort(key=lambda x: (x[0][0], x[0][1] or 0, x[1]))
+        trees.append(climb([x[1] for x in groups[s]]))
+    top = climb([t[-1][0] for t in trees])
+    out = Counter()
+    for no, s in enumerate(names):
+        for k, (key, own, other) in enumerate(groups[s]):
+            steps = [*path(trees[no], k), *path(top, no)]
+            back = other
+            for before, after in steps:
+                back = h(*before, back, *after)
+            proof = h(*[x for before, after in steps for x in (*before, *after)])
+            out[key[1], own, trees[no][-1][0], top[-1][0], proof, back, back == top[-1][0]] += 1
+    return out
+
+
+@pytest.mark.parametrize("arity", [2, 3])
+@pytest.mark.parametrize("broadcast", [0, 8 << 20])
+def test_manifests_equal_lists(spark, monkeypatch, arity, broadcast):
+    monkeypatch.setattr(merkle, "BROADCAST", broadcast)
+    rows = [(i, t, "ab"[i % 2] if i else None) for i, t in ODD] + [(7, "a\nb", "lone"), (8, None, None), (-3, "x\n\ny", "é")]
+    rows += [(i, f"text {i}\nof it", "hot") for i in range(30)] + [(1000, "same\nrow", "hot")] * 12
+    table = docs(spark, [(i, t, s) for i, t, s in rows])
+    manifest = merkle.build(merkle.document_leaves(table), arity)
+    found = merkle.verify(manifest).select("doc_id", merkle.hexed(F.col("leaf")), merkle.hexed(F.col("subroot")), "root", "proof_sha256", "folded_root", "verified").collect()
+    assert Counter(map(tuple, found)) == plain_manifest(rows, arity)
+    assert {r["source"]: r["n_rows"] for r in manifest.sources.collect()} == dict(Counter(s for _, _, s in rows))
+
+
+def test_manifests_of_one_row_and_of_none(spark):
+    one = merkle.verify(merkle.build(merkle.document_leaves(docs(spark, [(4, "x", "s")])))).collect()
+    assert [(r["folded_root"] == r["root"] == r["subroot"].hex() == r["leaf"].hex(), r["proof_sha256"]) for r in one] == [(True, hashlib.sha256(b"").hexdigest())]
+    assert merkle.verify(merkle.build(merkle.document_leaves(docs(spark, [])))).count() == 0
+
+
+# --- pieces -------------------------------------------------------------------------------------------------------
+
+SIGNS = "abcdefgh  thein\u2581\n\té\u2460日本語\U0001f600\u200b\u3000\x00ﬁ0123.,;e\u0301"
+
+
+def piece_texts(seed, n):
+    r = np.random.default_rng(seed)
+    return ["".join(SIGNS[i] for i in r.integers(0, len(SIGNS), r.integers(1, 160))) for _ in range(n)] + [x or "" for _, x in ODD] + ["the" * 3000, "\u2581" * 99, "Ａ\u3000Ｂ"]
+
+
+def library(data):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+def assert_as_library(own, lib, texts):
+    for text in texts:
+        ids, begins, ends = own.encode(text)
+        proto = lib.encode(text, out_type="proto")
+        assert ids.tolist() == [lib.bos_id(), *[p.id for p in proto.pieces], lib.eos_id()] == lib.encode(text, add_bos=True, add_eos=True)
+        assert list(zip(begins.tolist(), ends.tolist(), strict=True))[1:-1] == [(p.begin, p.end) for p in proto.pieces]
+        assert own.decode(ids.tolist()) == lib.decode(ids.tolist())
+
+
+def test_pieces_equal_the_library():
+    data = open(pieces.default_model(), "rb").read()
+    own, lib = pieces.Model(data), library(data)
+    assert_as_library(own, lib, piece_texts(1, 400))
+    r = np.random.default_rng(2)
+    for _ in range(800):  # any ids: byte pieces that are no characters, marks, control pieces
+        ids = [int(r.integers(0, 300) if r.random() < 0.6 else r.integers(0, 32000)) for _ in range(r.integers(0, 30))]
+        assert own.decode(ids) == lib.decode(ids)
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("dummy", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_character_maps_equal_the_library(squeeze, dummy, fallback):
+    """Compiled maps that the library ships, with every way to treat white space and unknown characters."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(pieces.default_model(), "rb").read())
+    with open(f"{sentencepiece.__path__[0]}/package_data/nmt_nfkc.bin", "rb") as f:
+        model.normalizer_spec.precompiled_charsmap = f.read()
+    model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.add_dummy_prefix = squeeze, dummy
+    if not fallback:
+        model.trainer_spec.byte_fallback = False
+        for piece in model.pieces:
+            if piece.type == pieces.BYTE:
+                piece.type = pieces.CONTROL
+    data = model.SerializeToString()
+    own, lib = pieces.Model(data), library(data)
+    for text in (texts := piece_texts(3, 150)):
+        assert own.normalise(text)[0] == lib.normalize(text)
+    assert_as_library(own, lib, texts)
+
+
+def test_pieces_of_tables(spark):
+    table = docs(spark, ODD)
+    lib = library(open(pieces.default_model(), "rb").read())
+    want = Counter()
+    for i, t in ODD:
+        ids = lib.encode(t or "", add_bos=True, add_eos=True)
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()] += 1
+    found = pieces.facts(table)
+    assert Counter(tuple(r)[:4] for r in found.collect()) == want
+    assert all(r["n_covered"] == len((t or "").encode()) for r, (_, t) in zip(found.collect(), ODD, strict=True))
+    coded = pieces.encode(table.withColumn("ids", F.lit("x")), ["doc_id", "ids", "text"])
+    assert coded.columns == ["doc_id", "ids", "text", "ids", "begins", "ends"]
+    coded = pieces.encode(table, ["doc_id"])
+    assert [r["text"] for r in pieces.decode(coded, ["doc_id"]).collect()] == [t or "" for _, t in ODD]
+    assert pieces.facts(docs(spark, [])).count() == 0
+
+
+# --- vector codes -------------------------------------------------------------------------------------------------
+
+
+def plain_codes(rows, entries, rounds):
+    """rows (vec_id, vector) of usable vectors: codes, errors, codebooks, by comparing everything in Python's integers."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    x = [[math.floor(256 * c) for c in v] for _, v in rows]
+    w = len(x[0]) // 16
+    cut = [[v[p * w : (p + 1) * w] for p in range(16)] for v in x]
+    books = [[cut[i][p] for i in range(min(entries, len(cut)))] for p in range(16)]
+    gap = lambda a, b: sum((i - j) ** 2 for i, j in zip(a, b, strict=True))
+    near = lambda p, v: min(range(len(books[p])), key=lambda e: (gap(v, books[p][e]), e))
+    for _ in range(rounds):
+        for p in range(16):
+            chosen = defaultdict(list)
+            for v in cut:
+                chosen[near(p, v[p])].append(v[p])
+            for e, own in chosen.items():
+                books[p][e] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    codes_ = [[near(p, v[p]) for p in range(16)] for v in cut]
+    out = Counter((i, "".join(f"{e:02x}" for e in c), sum(gap(v[p], books[p][c[p]]) for p in range(16))) for (i, _), v, c in zip(rows, cut, codes_, strict=True))
+    return out, hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("wide", [16, 48])
+def test_codes_equal_comparing_everything(spark, monkeypatch, wide):
+    monkeypatch.setattr(codes, "BLOCK", 32)
+    r = np.random.default_rng(wide)
+    centres = r.normal(0, 1, (6, wide))
+    rows = [(i, (centres[i % 6] + r.normal(0, 0.1, wide)).astype(np.float32).tolist(), i % 3 or None) for i in range(600)]
+    rows += [(700 + i, rows[5][1], 1) for i in range(150)] + [(5, rows[5][1], None), (5, rows[6][1], 7), (None, rows[7][1], 7)]
+    odd = [(800, None, 1), (801, [None] * wide, 1), (802, [float("nan")] * wide, 1), (803, [float("inf")] * wide, 1), (804, [0.5], 1), (805, [], 1)]
+    table = spark.createDataFrame(rows + odd, "vec_id long, vector array<float>, label long").withColumn("x", F.lit("clash"))
+    found = codes.code_rows(table, entries=20).collect()
+    want, digest = plain_codes([(i, v) for i, v, _ in rows], 20, 2)
+    assert Counter((x["vec_id"], x["code"], x["error"]) for x in found) == want and {x["codebooks_sha256"] for x in found} == {digest}
+    total = sum(x["error"] for x in found)
+    assert sum({x["label_error"] for x in found}) == total
+    whole = codes.compress(table, entries=20)
+    back = {x["row"]: x["vector"] for x in codes.decoded(whole).collect()}
+    assert len(back) == len(rows) and all(len(v) == wide for v in back.values())
+
+
+def test_codes_of_few_vectors_and_of_none(spark):
+    shape = "vec_id long, vector array<double>, label int"
+    assert codes.code_rows(spark.createDataFrame([(1, None, 2)], shape)).count() == 0
+    got = codes.code_rows(spark.createDataFrame([(1, [0.25] * 16, 2), (2, [-0.001] * 16, None)], shape)).collect()
+    assert {(x["vec_id"], x["code"], x["error"], x["label_error"]) for x in got} == {(1, "00" * 16, 0, 0), (2, "01" * 16, 0, 0)}
+    with pytest.raises(ValueError):
+        codes.code_rows(spark.createDataFrame([(1, [1e9] * 16, 2)], shape))
+    with pytest.raises(ValueError):
+        codes.code_rows(spark.createDataFrame([(1, [1.0] * 15, 2)], shape))
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
+def test_hilbert_keys_walk_by_single_steps(dims, bits):
+    points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+    keys = codes.hilbert_keys(points, bits)
+    assert sorted(keys.tolist()) == list(range(len(points)))
+    walk = points[np.argsort(keys)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+def test_shortlists_keep_every_nearest_entry():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        points, entries = r.integers(-40, 40, (20, 3)), r.integers(-40, 40, (15, 3))
+        among = codes.shortlist(points.min(0), points.max(0), entries)
+        all_ = codes.nearest(points, entries, np.arange(15))
+        assert all(np.array_equal(a, b) for a, b in zip(codes.nearest(points, entries, among), all_, strict=True))
