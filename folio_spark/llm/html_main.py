@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: HTML elements that start a block, that hold no text to show, that stand alone, that hold a line's text.
+#: HTML elements that start a block, whose content is no markup, whose text is not shown (and that a block
+#: ends, but for the first), that stand alone, that hold a line's text.
 BLOCKS = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article aside nav "
     "header footer main form fieldset figure figcaption blockquote pre address details summary center dialog menu search".split()
 )
-UNSHOWN = frozenset("script style noscript template title textarea iframe select button option head".split())
+RAW = frozenset("script style noscript title textarea iframe".split())
+UNSHOWN = ("template", "select", "button", "option", "optgroup", "datalist")
 VOID = frozenset("br hr img input meta link source track wbr area base col embed param".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li td th".split())
 #: A tag that opens closes these, when they are open and nothing of `HOLDS` is between.
@@ -99,6 +101,8 @@ def parse(page: str) -> list[Node]:
 
     def text(part: str) -> None:
         nonlocal run
+        if any(opened.get(t) for t in UNSHOWN):
+            return
         if run is None:
             if not part.strip():
                 return
@@ -127,13 +131,22 @@ def parse(page: str) -> list[Node]:
         if m[3]:
             if tag == "a":
                 link = 0
-            elif tag in BLOCKS:
-                run = None
+            elif tag in BLOCKS or tag in UNSHOWN:
+                run = run if tag in UNSHOWN else None
                 if opened.get(tag):
                     close(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         if tag in UNSHOWN:
-            if page[end - 1 : end] != "/" and tag != "head":
+            for t in ("option", "optgroup", "select", "button")[: {"option": 1, "optgroup": 2, "select": 3, "button": 4}.get(tag, 0)]:
+                if opened.get(t):  # a new one ends those of its kind and what they hold
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == t))
+            if page[end - 1 : end] != "/":
+                nodes.append(Node(tag, stack[-1]))
+                stack.append(len(nodes) - 1)
+                opened[tag] = opened.get(tag, 0) + 1
+            continue
+        if tag in RAW:
+            if page[end - 1 : end] != "/":
                 found = _closing(tag).search(page, at)
                 at = _end(page, found.end()) + 1 if found else len(page)
             continue
@@ -143,6 +156,10 @@ def parse(page: str) -> list[Node]:
             text(" ")
         elif tag in BLOCKS:
             run, link = None, 0
+            if not opened.get("template"):
+                for t in UNSHOWN[1:]:
+                    while opened.get(t):
+                        close(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == t))
             if nodes[stack[-1]].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (tag in LEAVES or nodes[stack[-1]].tag == "p"):
                 close(len(stack) - 1)
             if any(opened.get(t) for t in CLOSES.get(tag, ())):

@@ -1,20 +1,25 @@
 """Lines that recur across documents, found with a log-template tree, are dropped.
 
-Every line is parsed to a leaf of a fixed-depth tree by its token count and its first DEPTH tokens (tokens with digits
-count as one variable token). A leaf's lines differ in variable fields: windows over the tokens behind the leading ones,
-a quarter of the line wide and an eighth apart, are masked in turn, and lines that are equal outside of a window are of
-one template, as are lines that such steps lead between. A template recurs if its lines are in PLACES_LONG texts (lines
-of at least LONG tokens) or PLACES_SHORT texts (shorter lines), copies of one text counting once. The document with the
-least id keeps a recurring template's lines, all others lose them, whatever the lines around it.
+A line recurs as it stands if it is in PLACES_LONG texts (lines of at least LONG tokens) or PLACES_SHORT texts (shorter
+ones), copies of one text counting once. Besides, lines recur as a template whose variable field differs: every line is
+parsed to a leaf of a fixed-depth tree by its token count and its first DEPTH tokens (numbers count as one token), and in
+leaves of several lines a field is masked: all tokens with digits, or one window over the tokens behind the leading ones,
+a quarter of the line wide and an eighth apart. What stays is a template if a window leaves at least LONG tokens (or
+numbers at most half of the line), if its field takes VARIANTS different values, and if it is in VARIANTS texts: a
+boilerplate's field varies while the rest is repeated word for word, prose does not do that. A template is one mask;
+lines that different masks share do not make these one. The document with the least id keeps a recurring line or
+template, all others lose it, whatever the lines around it.
 
 Copies, which are the near-duplicate operator's work, are texts that share COPY of all tokens of both, line by line, and
-what such pairs lead to. Each text is held against two others, those that hold most of its tokens among the first and
-among the last holders of its templates (in the order of a hash); so the copies of a large group are held against the
-same one, and no group is paired up.
+what such pairs lead to. Here, and only here, lines count as equal that any mask makes so, and that such steps lead
+between, so that copies with a word changed here and there are copies still. Each text is held against eight others at most, those that hold most of its tokens among the first
+and the last holders of its lines (in the orders of two hashes); so the copies of a large group are held against the same
+ones, and no group is paired up. A copy that resembles none of these is missed, and then loses what it shares; tests
+measure how many are.
 
-Plan: one pass turns lines into hashes; only lines of leaves that hold several different lines are masked, found through
-a bitmap of leaf hashes of fixed size. Templates are minima of equi-joined masks and connected components; counts are
-partial sums; dropping is a join on the document. Nothing depends on how many lines a leaf has.
+Plan: one pass turns lines into hashes; only lines of leaves that hold several different lines are masked, found through a
+bitmap of leaf hashes whose size follows their number up to 2^BITMAP_BITS bits. Masks are counted in two steps, by line
+and then by mask; places are partial sums; dropping is a join on the document. Nothing depends on how many lines a leaf has.
 
 Defined cases: null text stays null with no lines; blank lines are never dropped; a document may end up empty; rows with
 equal id and equal text are one document; a null id comes after all others, and its rows are told apart by their text;
@@ -37,8 +42,11 @@ from folio_spark.llm.graph import components
 
 DEPTH = 4
 LONG, PLACES_LONG, PLACES_SHORT = 8, 2, 10
+#: Values of a template's field, and texts that it is in.
+VARIANTS = 10
 COPY = 0.8
-BITMAP_BITS = 24
+#: Bits of the largest bitmap of leaves: 16 MB.
+BITMAP_BITS = 27
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -46,10 +54,9 @@ def _key(text: Column, doc_id: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def masked(line: bytes) -> list[bytes]:
+def masked(tokens: list[bytes]) -> list[bytes]:
     """A line's tokens, those with digits as one variable token."""
-    tokens = line.split()
-    return [b"<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    return [b"<*>" if _DIGIT.search(t) else t for t in tokens]
 
 
 def _h(data: bytes) -> int:
@@ -57,7 +64,7 @@ def _h(data: bytes) -> int:
 
 
 def leaf(tokens: list[bytes], depth: int = DEPTH) -> int:
-    return _h(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
+    return _h(b"%d " % len(tokens) + b" ".join(masked(tokens[:depth])))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[list[bytes]]]]]:
@@ -65,7 +72,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
             texts = batch.column(0).cast(pa.large_binary()).to_pylist()
-            yield batch, [[masked(x) for x in t.split(b"\n")] if t else [] for t in texts]
+            yield batch, [[x.split() for x in t.split(b"\n")] if t else [] for t in texts]
 
 
 def line_hashes(keyed: DataFrame) -> DataFrame:
@@ -90,13 +97,14 @@ def line_hashes(keyed: DataFrame) -> DataFrame:
 
 
 def _bitmap(leaves: DataFrame) -> np.ndarray:
-    """One bit for the low BITMAP_BITS bits of each leaf hash: 2 MB, whatever the number of leaves."""
-    low = F.col("leaf").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = leaves.groupBy(F.shiftright(low, 5).cast("int").alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, int((leaf & {(1 << BITMAP_BITS) - 1}) % 32))")).alias("bits")
+    """A bit for the low bits of each leaf hash, 16 places and more for each leaf as long as the map may grow."""
+    n = leaves.count()
+    bits = min(BITMAP_BITS, max(20, (16 * n).bit_length()))
+    words = leaves.groupBy(F.shiftright(F.col("leaf").bitwiseAND(F.lit((1 << bits) - 1)), 5).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(leaf % 32))")).alias("bits")
     )
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    rows = words.toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    rows = words.toPandas()  # one row at most a word of the map
     out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
     return out
 
@@ -109,17 +117,22 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(at, at + wide) for at in [*range(DEPTH, n - wide, max(1, wide // 2)), n - wide]]
 
 
-def masks(tokens: list[bytes]) -> list[int]:
-    """Hashes of a line with each of its windows masked."""
-    found = []
-    for k, (a, b) in enumerate(windows(len(tokens))):
-        found.append(_h(b"%d %d " % (len(tokens), k) + b" ".join(tokens[:a]) + b"\n" + b" ".join(tokens[b:])))
+def masks(tokens: list[bytes]) -> list[tuple[int, bool]]:
+    """Hashes of a line with its numbers masked, and with each of its windows masked too, and whether enough of it stays."""
+    plain, found = masked(tokens), []
+    n, numbers = len(tokens), sum(t == b"<*>" for t in plain)
+    if numbers:
+        found.append((_h(b"%d " % n + b" ".join(plain)), numbers * 2 <= n))
+    for k, (a, b) in enumerate(windows(n)):
+        left, right = plain[:a], plain[b:]
+        stays = n - (b - a) - left.count(b"<*>") - right.count(b"<*>")
+        found.append((_h(b"%d %d " % (n, k) + b" ".join(left) + b"\n" + b" ".join(right)), stays >= LONG))
     return found
 
 
 def line_masks(keyed: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """line, mask: the masks of the different lines whose leaf's bit is set."""
-    shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
+    """line, mask, strong (whether it can be a template): the masks of the different lines whose leaf's bit is set."""
+    shared, low = keyed.sparkSession.sparkContext.broadcast(bitmap), len(bitmap) * 32 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -127,29 +140,47 @@ def line_masks(keyed: DataFrame, bitmap: np.ndarray) -> DataFrame:
             found = {}
             for lines in docs:
                 for x in lines:
-                    if len(x) > DEPTH and bits[(low := leaf(x) & ((1 << BITMAP_BITS) - 1)) >> 5] >> np.uint32(low & 31) & 1:
+                    if x and bits[(at := leaf(x) & low) >> 5] >> np.uint32(at & 31) & 1:
                         found[_h(b" ".join(x))] = x
-            own = [(line, m) for line, x in found.items() for m in masks(x)]
-            cols = list(zip(*own, strict=True)) or [(), ()]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["line", "mask"])
+            own = [(line, *m) for line, x in found.items() for m in masks(x)]
+            cols = list(zip(*own, strict=True)) or [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["line", "mask", "strong"])
 
-    return keyed.select("text", "doc_id", "k").mapInArrow(run, "line long, mask long")
+    return keyed.select("text", "doc_id", "k").mapInArrow(run, "line long, mask long, strong boolean")
 
 
-def merge_templates(masked_lines: DataFrame) -> DataFrame:
-    """line, template of masked_lines (line, mask), for lines that share a template with others: its least line."""
+def templates_of(masked_lines: DataFrame) -> DataFrame:
+    """line, template of masked_lines (line, mask, strong): the strong masks that VARIANTS different lines have."""
+    each = masked_lines.where("strong").select("line", "mask").distinct()
+    often = each.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VARIANTS).select("mask")
+    return each.join(often, "mask").select("line", F.col("mask").alias("template"))
+
+
+def merged_lines(masked_lines: DataFrame) -> DataFrame:
+    """line, like (the least line that shared masks lead to) of masked_lines (line, mask), for lines that share a mask with others."""
     least = masked_lines.groupBy("mask").agg(F.min("line").alias("v"), F.max("line").alias("most")).where("v <> most").select("mask", "v")
     links = masked_lines.join(least, "mask").where("line <> v").select(F.col("line").alias("u"), "v")
-    return components(links).select(F.col("node").alias("line"), F.col("root").alias("template"))
+    return components(links).select(F.col("node").alias("line"), F.col("root").alias("like"))
+
+
+#: The holders of a line that its other holders are held against: first and last in two orders.
+SIDES = ("a", "b", "c", "d")
+
+
+def ends_of(lines: DataFrame) -> DataFrame:
+    """template and the SIDES of its holders, for lines (template, k) that several texts hold."""
+    h = F.xxhash64("k")
+    ends = [F.min("k"), F.max("k"), F.min_by("k", h), F.max_by("k", h)]
+    return lines.groupBy("template").agg(*[e.alias(c) for e, c in zip(ends, SIDES, strict=True)]).where("a <> b")
 
 
 def copies(held: DataFrame, ends: DataFrame) -> DataFrame:
-    """k, root: the texts that are copies, from held (template, k, tokens, size) and ends (template, a, b: first and last k)."""
+    """k, root: the texts that are copies, from held (template, k, tokens, size) and ends (template and its holders SIDES)."""
     held = held.select("template", "k", "tokens", "size")
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("r")), F.struct(F.lit(1).alias("side"), F.col("b").alias("r")))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("r")) for i, c in enumerate(SIDES)])
     near = held.join(ends, "template").select("k", "tokens", "size", F.explode(sides).alias("s")).select("k", "tokens", "size", "s.*").where("r <> k")
     near = near.groupBy("k", "side", "r").agg(F.sum("tokens").alias("n"), F.first("size").alias("size")).where(F.col("n") * 2 >= COPY * F.col("size"))
-    pairs = spool(near.groupBy("k", "side").agg(F.max(F.struct("n", "r")).alias("best")).select("k", F.col("best.r").alias("r")).distinct(), "pairs")
+    pairs = spool(near.select("k", "r").distinct(), "pairs")  # two ends a side at most hold so many of the tokens
     theirs = held.select(F.col("k").alias("r"), "template", F.col("tokens").alias("r_tokens"), F.col("size").alias("r_size"))
     both = pairs.join(held, "k").join(theirs, ["r", "template"]).groupBy("k", "r").agg(
         F.sum(F.least("tokens", "r_tokens")).alias("both"), F.first("size").alias("size"), F.first("r_size").alias("r_size")
@@ -158,23 +189,25 @@ def copies(held: DataFrame, ends: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("k"), "root")
 
 
-def recurring(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """Of lines (line_hashes), those to drop: doc_id, k, line_no."""
-    named = lines.join(templates, "line", "left").withColumn("template", F.coalesce("template", "line"))
-    named = named.select("doc_id", "k", "line_no", "n_tokens", "template", "size")
-    ends = spool(named.groupBy("template").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b"), "ends")
-    # equal rows are one document
-    named = spool(named.join(ends, "template").drop("a", "b").dropDuplicates(["doc_id", "k", "line_no"]), "named")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    held = named.groupBy("template", "k").agg(
-        F.sum("n_tokens").alias("tokens"), F.first("size").alias("size"), F.max("n_tokens").alias("n"), F.min(order).alias("first")
+def recurring(lines: DataFrame, templates: DataFrame, merged: DataFrame) -> DataFrame:
+    """Of lines (line_hashes), those to drop: doc_id, k, line_no. templates: templates_of, merged: merged_lines."""
+    named = lines.drop("leaf").join(merged, "line", "left").withColumn("template", F.coalesce("like", "line")).drop("like")
+    ends = spool(ends_of(named), "ends")
+    # equal rows are one document; what only one text holds is neither shared nor recurring
+    named = spool(named.join(ends.select("template"), "template").dropDuplicates(["doc_id", "k", "line_no"]), "named")
+    held = spool(named.groupBy("template", "k").agg(F.sum("n_tokens").alias("tokens"), F.first("size").alias("size")), "held")
+    copied = spool(copies(held, ends), "copied")
+    rows = named.select("doc_id", "k", "line_no", "n_tokens", "line")
+    both = rows.select(F.lit(False).alias("general"), F.col("line").alias("unit"), "doc_id", "k", "line_no", "n_tokens").union(
+        rows.join(templates, "line").select(F.lit(True), "template", "doc_id", "k", "line_no", "n_tokens")
     )
-    held = spool(held, "held")
-    counted = held.join(copies(held, ends), "k", "left").groupBy("template", F.coalesce("root", "k").alias("root")).agg(F.max("n").alias("n"), F.min("first").alias("first"))
-    counted = counted.groupBy("template").agg(F.count(F.lit(1)).alias("places"), F.max("n").alias("n"), F.min("first").alias("first"))
-    often = F.col("places") >= F.when(F.col("n") >= LONG, PLACES_LONG).otherwise(PLACES_SHORT)
-    kept = counted.where(often).select("template", F.col("first.k").alias("fk"))
-    return named.join(kept, "template").where("k <> fk").select("doc_id", "k", "line_no")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    counted = both.groupBy("general", "unit", "k").agg(F.max("n_tokens").alias("n"), F.min(order).alias("first")).join(copied, "k", "left")
+    counted = counted.groupBy("general", "unit", F.coalesce("root", "k").alias("root")).agg(F.max("n").alias("n"), F.min("first").alias("first"))
+    counted = counted.groupBy("general", "unit").agg(F.count(F.lit(1)).alias("places"), F.max("n").alias("n"), F.min("first").alias("first"))
+    often = F.col("places") >= F.when(F.col("general"), VARIANTS).when(F.col("n") >= LONG, PLACES_LONG).otherwise(PLACES_SHORT)
+    kept = counted.where(often).select("general", "unit", F.col("first.k").alias("fk"))
+    return both.join(kept, ["general", "unit"]).where("k <> fk").select("doc_id", "k", "line_no").distinct()
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
@@ -182,9 +215,10 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     key = _key(F.col("text"), F.col("doc_id"))
     keyed = docs.select("text", "doc_id", key.alias("k"))
     lines = spool(line_hashes(keyed), "lines")
-    several = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf")
-    templates = merge_templates(spool(line_masks(keyed, _bitmap(several)), "masks"))
-    gone = recurring(lines, templates).groupBy("doc_id", "k").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
+    several = lines.groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf")
+    masks_ = spool(line_masks(keyed, _bitmap(spool(several, "leaves"))), "masks")
+    found = recurring(lines, spool(templates_of(masks_), "templates"), merged_lines(masks_))
+    gone = found.groupBy("doc_id", "k").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), F.transform("__gone", lambda i: i.cast("int")).alias("__gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*kept).withColumn("__key", key).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")

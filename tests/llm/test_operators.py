@@ -640,6 +640,20 @@ def test_given_pages(spark, blocks):
         assert got[r["page_id"]] == "\n\n".join(x for x in parts if x)
 
 
+def test_elements_that_go_unclosed(blocks):
+    body = "<article><h1>A title of this page</h1><p>" + words(1, 60) + "</p><p>" + words(2, 50) + "</p></article>"
+    want = "\n\n".join(["A title of this page", words(1, 60), words(2, 50)])
+    plain = html_main.main_text(f"<body>{body}</body>", blocks)
+    assert plain == want
+    for before in (
+        "<form><input list=x><datalist id=x><option value=a>one<option value=b>two</datalist></form>",
+        "<form><select><optgroup label=x><option>one<option>two<optgroup label=y><option>three</select></form>",
+        "<form><button>press</form>", "<button>press", "<select><option>one", "<div><template><p>inert text of no page</p></template></div>",
+        "<div><button>one<button>two</div>", "<form><select><option>a</form>",
+    ):
+        assert html_main.main_text(f"<body>{before}{body}</body>", blocks) == want
+
+
 def test_layouts_that_were_not_learned():
     """Each layout by a model of all others: words found and words wrongly taken, over all of them."""
     every, right, taken, there = html_main.layouts(), 0, 0, 0
@@ -718,53 +732,83 @@ def test_passages_of_several_lines_recur(spark):
     assert got == want
 
 
-def _templates(spark, lines):
-    """{line: template's number} by the operator."""
-    keyed = spark.createDataFrame([(x, i, i) for i, x in enumerate(lines)], "text string, doc_id long, k long")
-    everything = np.full(1 << (line_dedup.BITMAP_BITS - 5), 0xFFFFFFFF, np.uint32)
-    found = {r["line"]: r["template"] for r in line_dedup.merge_templates(line_dedup.line_masks(keyed, everything)).collect()}
-    name = {x: line_dedup._h(b" ".join(line_dedup.masked(x.encode()))) for x in lines}
-    return {x: found.get(name[x], name[x]) for x in lines}
-
-
-def _brute_templates(lines):
-    """By comparing all pairs of lines: equal but for one window, and what such pairs lead to."""
-    tokens = [tuple(line_dedup.masked(x.encode())) for x in lines]
-    root = list(range(len(lines)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, x in enumerate(tokens):
-        for j, y in enumerate(tokens[:i]):
-            fields = line_dedup.windows(len(x)) if len(x) == len(y) and x[: line_dedup.DEPTH] == y[: line_dedup.DEPTH] else []
-            if x == y or any(x[:a] + x[b:] == y[:a] + y[b:] for a, b in fields):
-                root[find(i)] = find(j)
-    return [find(i) for i in range(len(lines))]
+def _brute_drops(rows):
+    """The rule by plain loops, for texts that are no copies: (doc, line number) of what goes."""
+    places, values = defaultdict(set), defaultdict(set)
+    lines = [(i, n, tuple(x.encode().split())) for i, t in rows for n, x in enumerate(t.split("\n")) if x.split()]
+    of = {}
+    for i, n, x in lines:
+        of[i, n] = [("line", x), *(("mask", m) for m, strong in line_dedup.masks(list(x)) if strong)]
+        for name in of[i, n]:
+            places[name].add(i)
+            values[name].add(x)
+    often = {}
+    for name, at in places.items():
+        if name[0] == "mask":
+            often[name] = len(at) >= 10 and len(values[name]) >= 10
+        else:
+            often[name] = len(at) >= (2 if len(name[1]) >= 8 else 10)
+    return {(i, n) for i, n, _ in lines for name in of[i, n] if often[name] and i != min(places[name])}
+
+
+def test_templates_against_a_plain_rule(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        own = [words(60_000 + 10 * i + j, 14) for j in range(4)]
+        own.append(f"this page was last looked at by {WORDS[i % 23]} of the committee for plain records and it stays")
+        own.append(f"{'copy' if i % 3 else 'print'} number {i} of {i * 7}")
+        own.append(f"the town of {words(70_000 + i, 1)} lies by the river" if i % 2 else words(80_000 + i, 12))
+        base = words(300 + i % 7, 13).split()
+        for at in r.integers(0, 13, 2):
+            base[at] = WORDS[r.integers(0, 23)]
+        rows.append((i, "\n".join([*own, " ".join(base)])))
+    got = {x["doc_id"]: x["text"].split("\n") for x in line_dedup.drop_recurring(docs(spark, rows)).collect()}
+    gone = _brute_drops(rows)
+    assert got == {i: [x for n, x in enumerate(t.split("\n")) if (i, n) not in gone] or [""] for i, t in rows}
+    assert sum("committee" in " ".join(v) for v in got.values()) == 1 and sum("number" in " ".join(v) for v in got.values()) == 1 + 1
+
+
+def test_prose_that_looks_alike_stays(spark):
+    """Sentences with the same beginning, or that share all but a word in a few texts, are no boilerplate."""
+    towns = "Berlin Paris Rome Oslo Vienna Madrid Lisbon Athens".split()
+    rows = [(i, f"{words(100 + i, 20)}\nIn the summer of 1999 he moved to {t}\n{words(200 + i, 25)}") for i, t in enumerate(towns)]
+    rows += [(20 + i, f"The king of the land {words(400 + i, 9)}\n{words(300 + i, 25)}") for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(docs(spark, rows)).collect()}
+    assert got == dict(rows)
 
 
-@pytest.mark.parametrize("many", [4, 1024, 1025, 3000])
+@pytest.mark.parametrize("many", [10, 1024, 3000])
 def test_templates_do_not_depend_on_the_size_of_a_leaf(spark, many):
-    lines = [f"the mayor of town {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efgh'[i // 1000]} spoke at noon" for i in range(many)]
-    assert len(set(_templates(spark, lines).values())) == 1
-
-
-def test_templates_against_all_pairs(spark):
-    r = np.random.default_rng(11)
-    lines = []
-    for k in range(40):
-        base = words(300 + k % 7, 3 + k % 11).split()
-        for _ in range(4):
-            x = base[:]
-            for at in r.integers(0, len(x), r.integers(0, 3)):
-                x[at] = WORDS[r.integers(0, 4)] + ["", "7"][r.integers(0, 2)]
-            lines.append(" ".join(x))
-    lines = list(dict.fromkeys(lines))
-    got, want = _templates(spark, lines), _brute_templates(lines)
-    groups = lambda names: sorted(sorted(x for x, n in zip(lines, names, strict=True) if n == m) for m in set(names))
-    assert groups([got[x] for x in lines]) == groups(want)
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f"{words(10_000 + i, 40)}\nthe mayor of our town {name(i)} spoke at noon about the weather") for i in range(many)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(docs(spark, rows)).collect()}
+    assert [i for i in range(many) if "mayor" in got[i]] == [0]
+
+
+def test_copies_against_all_pairs(spark):
+    """Groups of copies with lines of their own, some lines of which other texts hold too: found pairs are right, and few are missed."""
+    r, rows = np.random.default_rng(21), []
+    common = [words(95_000 + j, 12) for j in range(30)]
+    for g in range(40):
+        base = [words(96_000 + 40 * g + j, 10) for j in range(20)]
+        for c in range(2 + g % 4):
+            x = list(base)
+            for at in r.integers(0, 20, r.integers(0, 3)):
+                x[at] = words(99_000 + 100 * g + 10 * c + int(at), 10)
+            rows.append((len(rows), [*x, *(common[j] for j in r.integers(0, 30, r.integers(0, 2)))]))
+    table = docs(spark, [(i, "\n".join(x)) for i, x in rows])
+    keyed = table.select("text", "doc_id", F.col("doc_id").alias("k"))
+    lines = line_dedup.line_hashes(keyed).withColumnRenamed("line", "template")
+    ends = line_dedup.ends_of(lines)
+    held = lines.join(ends.select("template"), "template").groupBy("template", "k").agg(F.sum("n_tokens").alias("tokens"), F.first("size").alias("size"))
+    got = {x["k"]: x["root"] for x in line_dedup.copies(held, ends).collect()}
+    counts = {i: Counter({w: len(w.split()) * n for w, n in Counter(x).items()}) for i, x in rows}
+    alike = lambda a, b: (both := (counts[a] & counts[b]).total()) >= 0.8 * (counts[a].total() + counts[b].total() - both)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if alike(a, b)]
+    found = sum(a in got and got[a] == got.get(b) for a, b in pairs)
+    print("copies: pairs found", found, "of", len(pairs))
+    assert found >= 0.98 * len(pairs)
 
 
 def test_many_dropped_lines_in_one_text(spark):
