@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio_spark.operators import logs as L
@@ -12,6 +12,7 @@ from folio_spark.plans.registry import query
 from folio_spark.session import scratch, table
 from folio_spark.sources import readers as R
 from folio_spark.streaming import streams as X
+from folio_spark.streaming import sync as Y
 
 _EV = "e AS (SELECT event_id AS id, ts AS at, event_type AS tool, CASE WHEN event_type = 'error' THEN 'x' END AS error, CAST(json_extract(props, '$.k') AS INTEGER) AS k, value AS duration_ms FROM events)"
 
@@ -91,6 +92,26 @@ def x2_next_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.next_window(states, 7)
 
 
+@query("""WITH o AS (SELECT 's' || (o_custkey % 10) AS source, o_orderkey, o_orderkey % 30 AS law_id, CASE WHEN o_orderstatus = 'P' THEN 'x' ELSE 'y' END AS content, o_orderpriority AS meta, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS rn FROM orders),
+ p AS (SELECT *, (rn - 1) // 10 + 1 AS page, lag((content, meta)) OVER (PARTITION BY source, law_id ORDER BY rn) AS was FROM o),
+ c AS (SELECT *, CASE WHEN was IS NULL OR content <> was[1] THEN 'load' WHEN meta <> was[2] THEN 'refresh' ELSE 'skip' END AS change FROM p),
+ f AS (SELECT source, page, count(*) AS n, count(*) FILTER (WHERE change = 'load') AS l, count(*) FILTER (WHERE change = 'skip') AS s, count(*) FILTER (WHERE change = 'refresh') AS r FROM c GROUP BY 1, 2),
+ g AS (SELECT *, page - coalesce(max(CASE WHEN l > 0 THEN page END) OVER (PARTITION BY source ORDER BY page), 0) AS stable FROM f),
+ e AS (SELECT source, min(page) AS stop FROM g WHERE page > 5 AND l = 0 AND stable >= 2 GROUP BY 1),
+ t AS (SELECT g.*, stop FROM g LEFT JOIN e USING (source) WHERE page > 5 AND page <= coalesce(stop, page))
+ SELECT source, CAST(6 AS BIGINT) AS start_page, max(page) + 1 AS next_page, count(*) AS pages_synced, CAST(sum(n) AS BIGINT) AS rows_seen, CAST(sum(l) AS BIGINT) AS laws_loaded, CAST(sum(s) AS BIGINT) AS laws_skipped,
+  CAST(sum(r) AS BIGINT) AS metadata_refreshed, arg_max(stable, page) AS stable_pages_seen, (SELECT max(page) FROM f WHERE f.source = t.source AND f.l > 0 AND f.page <= max(t.page)) AS last_changed_page, CASE WHEN any_value(stop) IS NULL THEN 'no_rows' ELSE 'stable_pages' END AS stop_reason FROM t GROUP BY source""")
+def x3_sync_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as list pages of ten sources: five pages each, then on from there until two pages in a row bring nothing new."""
+    o = table(spark, sf_dir, "orders").withColumn("source", F.concat(F.lit("s"), F.col("o_custkey") % 10))
+    n = F.row_number().over(Window.partitionBy("source").orderBy("o_orderkey"))
+    pages = o.select("source", n.alias("n"), (F.col("o_orderkey") % 30).alias("law_id"), F.when(F.col("o_orderstatus") == "P", "x").otherwise("y").alias("content_hash"), F.col("o_orderpriority").alias("metadata_hash"))
+    pages = pages.select("source", (F.floor((F.col("n") - 1) / 10) + 1).alias("page"), F.col("n").alias("position"), "law_id", "content_hash", "metadata_hash")
+    store = scratch(spark, "sync")
+    Y.sync(pages, store, Y.Rules(max_pages=5))
+    return Y.sync(pages, store, Y.Rules(stable_after=2))
+
+
 @query("SELECT DISTINCT user_id % 100 AS request FROM events")
 def x5_stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence lines made of the events, a hundred different ones and broken ones between; each is kept once."""

@@ -58,7 +58,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def finish(spark: SparkSession, part: str, path: str) -> bool:
     """Move a complete folder to its lasting place, unless another job did so first; a mark says that it is whole."""
     fs, at = _path(spark, path)
-    if fs.exists(at) or not fs.rename(_path(spark, part)[1], at):
+    if fs.exists(at):
+        return fs.exists(_path(spark, f"{path}/done")[1])
+    fs.mkdirs(at.getParent())
+    if not fs.rename(_path(spark, part)[1], at):
         return fs.exists(_path(spark, f"{path}/done")[1])
     return fs.createNewFile(_path(spark, f"{path}/done")[1])
 
