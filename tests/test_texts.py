@@ -1,6 +1,9 @@
 """Segmentation, cleaning, citations, names, pages, readers on small Chinese cases."""
 
 import json
+import random
+
+import numpy as np
 
 from folio_spark.operators import citations as C
 from folio_spark.operators import names as N
@@ -80,7 +83,6 @@ def test_quotes_after_citations(spark):
 
 def test_trace_against_all_pairs(spark):
     """Every pair compared by hand, as the rules are worded."""
-    import random
     import re
     from difflib import SequenceMatcher
 
@@ -120,6 +122,35 @@ def test_trace_against_all_pairs(spark):
     assert got == want
 
 
+def test_bounds_are_never_exceeded():
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcde 第条款") for _ in range(r.randrange(0, 40))) for _ in range(120)]
+    texts += [t[: len(t) // 2] + r.choice("xyz") + t[len(t) // 2 :] for t in texts[:60]] + [t[3:-3] for t in texts[:30]]
+    signs, pairs = C._counts(texts)
+    sizes = np.array([len(t) for t in texts])
+    for i, x in enumerate(texts):
+        most = C._most(len(x), sizes, np.minimum(signs, signs[i]).sum(1), np.minimum(pairs, pairs[i]).sum(1))
+        assert all(C._alike(x, y) <= m + 1e-9 or x == y for y, m in zip(texts, most, strict=True))
+
+
+def test_trace_of_a_large_request_in_blocks(spark, monkeypatch):
+    """Blocks of any size give the same targets, and a request of many articles is many tasks."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    before = [line(12) for _ in range(300)]
+    after = [t if i % 3 else " ".join([*t.split()[2:], "new", "end"]) for i, t in enumerate(before) if i % 10 != 7]
+    after = after[50:] + [line(12) for _ in range(20)] + after[:50]
+    shape = "request_id long, number string, position int, text string, part string"
+    rows = lambda texts: spark.createDataFrame([(1, str(i), i, t, None) for i, t in enumerate(texts)], shape)
+    a, b = rows(before), rows(after)
+    result = lambda: {tuple(x) for x in C.trace(a.select("request_id").distinct(), a, b).collect()}
+    want = result()
+    monkeypatch.setattr(C, "SOURCES", 16)
+    monkeypatch.setattr(C, "TARGETS", 32)
+    assert result() == want and len(want) == 300
+
+
 def test_trace_by_items(spark):
     shape = "request_id int, number string, position int, text string, part string"
     a = spark.createDataFrame([(1, "1", 1, "总述：\n（一）甲乙丙丁戊己；\n（二）子丑寅卯辰巳。", None)], shape)
