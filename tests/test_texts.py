@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from folio_spark.functions import markup as M
 from folio_spark.operators import citations as C
 from folio_spark.operators import names as N
 from folio_spark.operators import pages as P
@@ -201,6 +202,32 @@ def test_pages(spark):
     assert {(r["href"], r["anchor"]) for r in P.explode_links(pages).collect()} == {("http://h.cn/a?b", "甲"), ("http://h.cn/d/c.html#x", "乙")}
 
 
+def test_page_scanner():
+    """Nesting, unclosed scripts and comments, all entities, quotes in tags, links that go unclosed."""
+    text = lambda h: M.scan(h).text
+    assert text("<p>a<p>b&nbsp;&hellip;&#x4e2d;&#65;&notit;&amp;lt;") == "a\nb …中A¬it;&lt;"
+    assert text("a<script>if (x < y) '</p>'</script>b<!-- c -- > --><style>d</style>e") == "abe"
+    assert text("a<script>b</p>c") == "a" and text("a<!-- b <p>c") == "a" and text("a<STYLE>b</sTyLe >c") == "ac"
+    assert text('a<img alt="1 > 0">b<a title=\'x > y\' href=z>c</a>d') == "abcd" and text("a<b title=\"x>y") == "ay"
+    assert text("1 < 2 and <3") == "1 < 2 and <3" and text("a<p") == "a" and text("\u3000 a \u3000b\r\nc") == "a b c"
+    nested = "<div id=x><article>a<article><p>b</article><p>c</article>d</div>"
+    assert M.scan(nested).block == "a\nb\nc"
+    assert M.scan("<article>no</article><div class='w gb_x'><div id='gb_content'>a<div>b</div><div><div>c</div>d</div>").block == "a\nb\nc\nd"
+    assert M.scan("<main>a<article>b</article>c</main>").block == "b" and M.scan("<p>a").block is None
+    links = M.scan("<a href='/x?a=1&amp;b=2'>one <b>two</b><a href=y>three<p>four</a><a name=z>five</a><a href=''>six").links
+    assert links == [("/x?a=1&b=2", "one two"), ("y", "three four"), ("", "six")]
+    assert M.scan("<html><head><title> a\n<b>b</b> &mdash; c</title><meta x></head><body>d").title == "a b — c"
+    deep = "<div>" * 20000 + "x" + "</div>" * 20000
+    assert text(deep) == "x" and text("<article>" + deep) == "x"
+
+
+def test_main_content_stops(spark):
+    cases = ["<article><p>一<p>二<p>【责任编辑：甲】<p>三</article>", "<div id=fontzoom><p>条文<p>最高检负责人答记者问<p>问：</div>", "<p>一<p>相关新闻<p>二", "", None]
+    pages = spark.createDataFrame([(i, h) for i, h in enumerate(cases)], "page_id int, html string")
+    assert [r["text"] for r in P.main_content(pages).orderBy("page_id").collect()] == ["一\n二", "条文", "一", "", ""]
+    assert [r["text"] for r in P.pages_to_text(pages).orderBy("page_id").collect()][3:] == ["", ""]
+
+
 def test_read_corpus(spark, tmp_path):
     doc = {"id": "l1", "title": "T", "effective_at": "2020-02-30", "released_at": "2020-02-03", "articles": [{"number": "第一条", "text": "甲"}, {"number": "14-1", "text": "乙"}], "categories": [{"id": "c", "name": "n"}], "category_ids": ["c", "c"]}
     (tmp_path / "l1.json").write_text(json.dumps(doc, ensure_ascii=False))
