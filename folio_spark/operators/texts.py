@@ -224,52 +224,6 @@ def outline(articles: DataFrame, part: str | None = None, preview: int = 60, wit
     return rows.select(*cols, *(["text"] if with_text else [])).sortWithinPartitions("law_id", "position")
 
 
-def own_docnum(docs: DataFrame) -> DataFrame:
-    """doc_id, docnum: a document's own number, from the lines before its first article.
-
-    Numbers in book marks, or after words that refer to other documents, are not its own.
-    """
-    lines = clean_lines(lines_of(docs))
-    first = F.min(F.when(F.col("line").rlike(ARTICLE), F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    head = lines.withColumn("__f", first).where("__f is null or line_no < __f")
-    outside = F.regexp_replace("line", "《[^》]*》（[^）]*）|《[^》]*》|(?:根据|依据|按照|修改|废止)[^，。；]*", "")
-    found = head.select("doc_id", "line_no", F.regexp_extract(outside, docnum.INLINE, 1).alias("n")).where("n <> ''")
-    return found.groupBy("doc_id").agg(docnum.docnum_key(F.min_by("n", "line_no")).alias("docnum"))
-
-
-def split_amendments(docs: DataFrame) -> DataFrame:
-    """doc_id, is_decision, amended_number, decision_text, reissued_text, is_batch of amending decisions."""
-    mark = "(?s)^(.*?)(?:\n\\s*(?:附[:：]?|本决定[^\n]*重新公布[。]?)\\s*\n)(.*)$"
-    titles = F.regexp_extract_all("title", F.lit("《([^》]+)》"), 1)
-    amends = F.col("title").rlike("关于(?:修改|修正|修订)")
-    return docs.select(
-        "doc_id", amends.alias("is_decision"),
-        F.when(amends, F.nullif(docnum.docnum_key(F.regexp_extract("text", docnum.INLINE, 1)), F.lit(""))).alias("amended_number"),
-        F.when(amends & F.col("text").rlike(mark), F.trim(F.regexp_extract("text", mark, 1))).otherwise(F.col("text")).alias("decision_text"),
-        F.when(amends, F.nullif(F.trim(F.regexp_extract("text", mark, 2)), F.lit(""))).alias("reissued_text"),
-        (amends & ((F.size(titles) > 1) | F.col("title").rlike("等[\\x{4E00}-\\x{9FFF}]*(?:件|部)"))).alias("is_batch"),
-    )
-
-
-def infer_metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, issuer, level, docnum, released_at, effective_at, from title first, then text."""
-    day = r"(\d{4})年(\d{1,2})月(\d{1,2})日"
-    date = lambda pattern: F.try_to_date(
-        F.concat_ws("-", *[F.lpad(F.regexp_extract("text", pattern, i), 4 if i == 1 else 2, "0") for i in (1, 2, 3)]), "yyyy-MM-dd"
-    )
-    both = F.concat_ws("\n", "title", "text")
-    issuers = ("全国人民代表大会常务委员会", "全国人民代表大会", "国务院", "最高人民法院", "最高人民检察院", "中国证券监督管理委员会", "公安部")
-    issuer = F.coalesce(*[F.when(F.col("title").contains(i), i) for i in issuers], *[F.when(F.col("text").contains(i), i) for i in issuers])
-    level = (
-        F.when(F.col("title").rlike("(?:解释|批复)(?:（.*）)?$"), "judicial_interpretation").when(F.col("title").rlike("条例$"), "admin_regulation")
-        .when(F.col("title").rlike("(?:办法|规定|规则)$"), "department_rule").when(F.col("title").rlike("法$"), "law").otherwise("other")
-    )
-    return docs.select(
-        "doc_id", issuer.alias("issuer"), level.alias("level"), F.nullif(docnum.docnum_key(F.regexp_extract(both, docnum.INLINE, 1)), F.lit("")).alias("docnum"),
-        F.coalesce(date(day + r"[^\n，。；]{0,20}(?:通过|公布|发布|印发)"), date(day)).alias("released_at"), date(f"自{day}起(?:施行|实施|生效)").alias("effective_at"),
-    )
-
-
 #: Hosts of official sources and how their pages name a document.
 SOURCES = (
     ("flk.npc.gov.cn", "flk_npc", r"[?&]id=([0-9A-Fa-f%]+)"), ("www.court.gov.cn", "court_main", r"/([a-z]+/xiangqing/\d+)\.html"),

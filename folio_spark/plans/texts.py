@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio_spark.operators import pages as P
+from folio_spark.operators import metadata as Y
 from folio_spark.operators import texts as X
 from folio_spark.plans import bindings as B
 from folio_spark.plans.registry import query
@@ -121,7 +122,7 @@ def p6_own_docnum(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     own = F.when(k % 3 > 0, F.concat(F.lit("法释〔2020〕 "), k, F.lit("号\n")))
     text = F.concat(F.lit("《旧规定》（法释〔2001〕9号）的说明\n"), F.coalesce(own, F.lit("")), F.lit("根据法发〔2010〕3号，制定本规定。\n第一条 依照法释〔1999〕8号办理。"))
-    return X.own_docnum(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
+    return Y.own_docnum(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
 
 
 @query("""SELECT c_custkey AS doc_id, c_custkey % 2 = 0 AS is_decision, CASE WHEN c_custkey % 2 = 0 THEN '法释〔2020〕' || c_custkey || '号' END AS amended_number, CASE WHEN c_custkey % 2 = 0 THEN '第一条 ' || c_name END AS reissued_text, c_custkey % 6 = 0 AS is_batch FROM customer""")
@@ -129,7 +130,7 @@ def p19_split_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     title = F.when(k % 6 == 0, "关于修改《甲规定》等七件规定的决定").when(k % 2 == 0, "关于修改《甲规定》的决定").otherwise("甲规定")
     text = F.concat(F.lit("现决定：法释〔2020〕 "), k, F.lit("号作如下修改。\n附：\n第一条 "), "c_name")
-    found = X.split_amendments(table(spark, sf_dir, "customer").select(k.alias("doc_id"), title.alias("title"), text.alias("text")))
+    found = Y.split_amendments(table(spark, sf_dir, "customer").select(k.alias("doc_id"), title.alias("title"), text.alias("text")))
     return found.select("doc_id", "is_decision", "amended_number", "reissued_text", "is_batch")
 
 
@@ -140,7 +141,7 @@ def p22_infer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
     title = F.when(k % 2 == 0, "最高人民法院关于甲法的解释（一）").otherwise("国务院公路条例")
     text = F.concat(F.lit("（"), day(d), F.lit("审判委员会会议通过，法释〔2021〕"), k, F.lit("号）\n自"), day(F.date_add(d, 30)), F.lit("起施行。"))
-    return X.infer_metadata(table(spark, sf_dir, "orders").select(k.alias("doc_id"), title.alias("title"), text.alias("text")))
+    return Y.infer_metadata(table(spark, sf_dir, "orders").select(k.alias("doc_id"), title.alias("title"), text.alias("text")))
 
 
 @query("""WITH l AS (SELECT s_suppkey AS law_id, '法释〔2020〕' || (s_suppkey % 30) || '号' AS docnum, CASE WHEN s_suppkey % 2 = 0 THEN 'gov_xzfgk' ELSE 'nfra_gov_cn' END AS source, CAST(s_suppkey AS VARCHAR) AS source_id FROM supplier WHERE s_suppkey % 7 > 0)
