@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import docnum
 from folio_spark.functions.numerals import explode_number_spec
 from folio_spark.operators.names import rarest_gram
+from folio_spark.session import spooled
 
 
 def lookup_articles(requests: DataFrame, resolved: DataFrame, articles: DataFrame) -> DataFrame:
@@ -20,6 +23,77 @@ def lookup_articles(requests: DataFrame, resolved: DataFrame, articles: DataFram
     return rows.select("request_id", "mention", "number", "ordinal", "law_id", F.col("text").isNotNull().alias("found"), error.alias("error"), "text")
 
 
+def batch_sections(requests: DataFrame) -> DataFrame:
+    """request_id, place, name, spec (and as_of_text) of requests (request_id, batch, maybe as_of_text): `law1:1,3-5;law2:9`.
+
+    Sections are in order; blank ones, and those without a name before the colon, are none. Without a colon all is the name.
+    """
+    has = "as_of_text" in requests.columns
+    chunks = F.transform(F.split(F.coalesce("batch", F.lit("")), "[;；]+"), lambda c: F.split(F.trim(c), "[:：]", 2))
+    named = F.filter(chunks, lambda c: F.trim(c[0]) != "")
+    rows = requests.select("request_id", *["as_of_text"] * has, F.posexplode(named).alias("place", "c"))
+    spec = F.when(F.size("c") > 1, F.trim(F.get("c", F.lit(1)))).otherwise("")
+    return rows.select("request_id", "place", F.trim(F.col("c")[0]).alias("name"), spec.alias("spec"), (F.col("as_of_text") if has else F.lit(None).cast("string")).alias("as_of_text"))
+
+
+@dataclass(frozen=True)
+class Answers:
+    """items: request_id, place, number, ordinal, found, text; sections: what each asked law gave; report: a row a request."""
+
+    items: DataFrame
+    sections: DataFrame
+    report: DataFrame
+
+
+def answer_batches(requests: DataFrame, resolved: DataFrame, articles: DataFrame, versions: DataFrame, private: DataFrame, clauses: DataFrame) -> Answers:
+    """J3 as a whole: batches of laws and numbers, with an answer or a code for every section.
+
+    requests: batch_sections'; resolved: mention, law_id; articles: law_id, version_id (null: as it stands now), number, text;
+    versions: law_id, version_id, start; private: mention, source_id; clauses: source_id, number, text. Codes, the first that
+    holds: invalid_as_of, missing_numbers, empty_numbers, law_not_found (where no private rule set has the name either, which
+    is asked only without a date), version_not_found_as_of. A section is ok if it has no code and no number is missing.
+    """
+    s = batch_sections(requests)
+    day = F.when(F.col("as_of_text").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("as_of_text", "yyyy-MM-dd"))
+    asked = F.coalesce("as_of_text", F.lit("")) != ""
+    s = s.withColumn("day", day).withColumn("dated", asked)
+    key = ["request_id", "place"]
+    numbers = explode_number_spec(s.select(*key, "spec")).drop("spec")
+    law = resolved.select(F.col("mention").alias("name"), "law_id").dropDuplicates(["name"])
+    own = private.select(F.col("mention").alias("name"), "source_id").dropDuplicates(["name"])
+    s = s.join(law, "name", "left").join(own, "name", "left").withColumn("source_id", F.when(F.col("law_id").isNull() & ~F.col("dated"), F.col("source_id")))
+    # the version in force on the day: the last that began by then
+    begun = s.where("day is not null and law_id is not null").select(*key, "law_id", "day").join(versions, "law_id").where("start <= day")
+    picked = begun.groupBy(*key).agg(F.max_by("version_id", F.struct("start", "version_id")).alias("version_id"))
+    s = s.join(picked, key, "left")
+    counted = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("asked"))
+    s = s.join(counted, key, "left")
+    error = (
+        F.when(F.col("dated") & F.col("day").isNull(), "invalid_as_of").when(F.col("spec") == "", "missing_numbers").when(F.col("asked").isNull(), "empty_numbers")
+        .when(F.col("law_id").isNull() & F.col("source_id").isNull(), "law_not_found").when(F.col("dated") & F.col("version_id").isNull(), "version_not_found_as_of")
+    )
+    s = spooled(s.withColumn("error", error), "sections")
+    good = s.where("error is null").select(*key, "law_id", "source_id", "version_id", "dated").join(numbers, key)
+    public = good.where("law_id is not null").join(
+        articles.select(F.col("law_id").alias("__l"), F.col("version_id").alias("__v"), F.col("number").alias("__n"), "text"),
+        (F.col("law_id") == F.col("__l")) & (F.col("number") == F.col("__n")) & F.when(F.col("dated"), F.col("version_id")).eqNullSafe(F.col("__v")), "left",
+    )
+    inner = good.where("law_id is null").join(clauses.select("source_id", "number", "text"), ["source_id", "number"], "left")
+    columns = [*key, "number", "ordinal", "text"]
+    items = spooled(public.select(*columns).unionByName(inner.select(*columns)).withColumn("found", F.col("text").isNotNull()), "items")
+    per = items.groupBy(*key).agg(F.count(F.lit(1)).alias("item_count"), F.count_if("found").alias("found_count"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    s = s.join(per, key, "left").withColumns({"item_count": zero("item_count"), "found_count": zero("found_count")}).withColumn("missing_count", F.col("item_count") - F.col("found_count"))
+    kind = F.when(F.col("error").isNull(), F.when(F.col("law_id").isNotNull(), "law_articles").otherwise("norm_clauses"))
+    sections = s.select(*key, "name", "spec", kind.alias("kind"), "law_id", "source_id", "version_id", "item_count", "found_count", "missing_count", "error", (F.col("error").isNull() & (F.col("missing_count") == 0)).alias("ok"))
+    failed, missing = F.count("error"), F.sum("missing_count")
+    report = sections.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("law_count"), F.sum("item_count").alias("item_count"), F.sum("found_count").alias("found_count"), missing.alias("missing_count"),
+        failed.alias("failed_section_count"), (failed + missing).alias("error_count"), F.every("ok").alias("ok"),
+    )
+    return Answers(items, sections, report)
+
+
 def diagnose(misses: DataFrame, laws: DataFrame, versions: DataFrame) -> DataFrame:
     """miss_id, reason, earliest of articles that were not found.
 

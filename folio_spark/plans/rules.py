@@ -23,6 +23,33 @@ def j3_lookup_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lookup_articles(requests, resolved, a).select("request_id", "number", "law_id", "found", "error")
 
 
+@query("""WITH c AS (SELECT c_custkey AS request_id, c_custkey AS k FROM customer), v AS (SELECT o_custkey AS law_id, o_orderkey AS version_id, CAST(o_orderdate AS DATE) AS d FROM orders),
+ s AS (SELECT request_id, 0 AS place, 'law ' || k AS name, '1,2,99' AS spec, k AS key, k, true AS is_law FROM c UNION ALL SELECT request_id, 1, 'set ' || k % 5, '1-3', k % 5, k, false FROM c UNION ALL SELECT request_id, 2, 'law ' || k, '', k, k, true FROM c UNION ALL SELECT request_id, 3, 'nothing', '4', -1, k, false FROM c),
+ p AS (SELECT s.*, CASE WHEN is_law AND k % 10 <> 3 THEN key END AS law_id, CASE WHEN name LIKE 'set%' AND k % 4 <> 1 AND key < 4 THEN 's' || key END AS source_id,
+  (SELECT arg_max(version_id, (d, version_id)) FROM v WHERE v.law_id = s.key AND s.is_law AND s.k % 4 = 1 AND s.k % 10 <> 3 AND d <= DATE '1994-01-01') AS version_id FROM s),
+ e AS (SELECT *, CASE WHEN k % 4 = 2 THEN 'invalid_as_of' WHEN spec = '' THEN 'missing_numbers' WHEN law_id IS NULL AND source_id IS NULL THEN 'law_not_found' WHEN k % 4 = 1 AND version_id IS NULL THEN 'version_not_found_as_of' END AS error FROM p),
+ n AS (SELECT *, CASE WHEN error IS NOT NULL THEN 0 ELSE 3 END AS item_count, CASE WHEN error IS NOT NULL THEN 0 WHEN source_id IS NOT NULL THEN 2 WHEN k % 4 = 1 THEN 1 + CAST(version_id % 2 AS INTEGER) ELSE 2 END AS found_count FROM e)
+ SELECT request_id, CAST(place AS INTEGER) AS place, name, error, CAST(item_count AS BIGINT) AS item_count, CAST(found_count AS BIGINT) AS found_count, CAST(item_count - found_count AS BIGINT) AS missing_count, error IS NULL AND item_count = found_count AS ok FROM n""")
+def j3_batch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of four sections for each customer: a law, a private rule set, one without numbers, one that nobody knows."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    batch = F.concat(F.lit("law "), k, F.lit(":1,2,99；set "), k % 5, F.lit("：1-3; law "), k, F.lit(";nothing:4;  ;"))
+    day = F.when(k % 4 == 1, "1994-01-01").when(k % 4 == 2, "1994-13-01").when(k % 4 == 3, "")
+    requests = c.select(k.alias("request_id"), batch.alias("batch"), day.alias("as_of_text"))
+    resolved = c.where(k % 10 != 3).select(F.concat(F.lit("law "), k).alias("mention"), k.alias("law_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("law_id"), F.col("o_orderkey").alias("version_id"), F.to_date("o_orderdate").alias("start"))
+    # every law has 1 and 2 now; its versions have 1, and 2 where their number is odd
+    now = resolved.select("law_id", F.lit(None).cast("long").alias("version_id"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("number"))
+    then = o.select("law_id", "version_id", F.explode(F.when(F.col("version_id") % 2 == 1, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.lit("1")))).alias("number"))
+    articles = now.unionByName(then).withColumn("text", F.lit("text"))
+    sets = spark.range(4)
+    private = sets.select(F.concat(F.lit("set "), "id").alias("mention"), F.concat(F.lit("s"), "id").alias("source_id"))
+    clauses = private.select("source_id", F.explode(F.array(F.lit("1"), F.lit("3"))).alias("number")).withColumn("text", F.lit("clause"))
+    found = L.answer_batches(requests, resolved, articles, o, private, clauses)
+    return found.sections.select("request_id", "place", "name", "error", "item_count", "found_count", "missing_count", "ok")
+
+
 _VER = "v AS (SELECT CAST(o_custkey AS VARCHAR) AS work_key, o_orderkey AS law_id, CAST(o_orderdate AS DATE) AS start, CASE WHEN o_orderkey % 11 = 0 THEN 'seed' ELSE 'current' END AS status, o_orderkey % 4 AS article_count FROM orders)"
 
 

@@ -179,3 +179,24 @@ def test_ingest_repeats_and_refreshes(spark, tmp_path):
 
 def test_registry_names_and_sql():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 120
+
+
+def test_batches_of_lookups(spark):
+    requests = [(1, "甲法：1,第三条;乙制度:2-3；丙法", None), (2, "甲法:1;丁法:9", "2020-05-01"), (3, "甲法:1", "2020-5-1"), (4, "甲法:，；：5; 甲法:2", ""), (5, None, None), (6, "乙制度:2", "2020-05-01"), (7, "甲法:1", "2001-01-01")]
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape)
+    found = L.answer_batches(
+        frame(requests, "request_id int, batch string, as_of_text string"), frame([("甲法", 10)], "mention string, law_id int"),
+        frame([(10, None, "1", "今一"), (10, None, "3", "今三"), (10, 7, "1", "旧一"), (10, 8, "1", "新一")], "law_id int, version_id int, number string, text string"),
+        frame([(10, 7, "2010-01-01"), (10, 8, "2021-01-01")], "law_id int, version_id int, start string").withColumn("start", F.to_date("start")),
+        frame([("乙制度", "s")], "mention string, source_id string"), frame([("s", "2", "条")], "source_id string, number string, text string"),
+    )
+    sections = {(r["request_id"], r["place"]): (r["name"], r["kind"], r["error"], r["found_count"], r["missing_count"], r["ok"]) for r in found.sections.collect()}
+    assert sections == {
+        (1, 0): ("甲法", "law_articles", None, 2, 0, True), (1, 1): ("乙制度", "norm_clauses", None, 1, 1, False), (1, 2): ("丙法", None, "missing_numbers", 0, 0, False),
+        (2, 0): ("甲法", "law_articles", None, 1, 0, True), (2, 1): ("丁法", None, "law_not_found", 0, 0, False), (3, 0): ("甲法", None, "invalid_as_of", 0, 0, False),
+        (4, 0): ("甲法", None, "empty_numbers", 0, 0, False), (4, 1): ("甲法", "law_articles", None, 0, 1, False),
+        (6, 0): ("乙制度", None, "law_not_found", 0, 0, False), (7, 0): ("甲法", None, "version_not_found_as_of", 0, 0, False),
+    }
+    assert {(r["request_id"], r["number"], r["text"]) for r in found.items.collect()} == {(1, "1", "今一"), (1, "3", "今三"), (1, "2", "条"), (1, "3", None), (2, "1", "旧一"), (4, "2", None)}
+    report = {r["request_id"]: (r["law_count"], r["item_count"], r["error_count"], r["ok"]) for r in found.report.collect()}
+    assert report[1] == (3, 4, 2, False) and report[3] == (1, 0, 1, False) and 5 not in report
