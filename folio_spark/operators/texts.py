@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folio_spark.functions import docnum
 from folio_spark.functions.numerals import NUMERALS, article_key
+from folio_spark.operators.outline import outline_items
+from folio_spark.session import spooled
 
 #: The forms of headings, items and contents lines.
 N = f"[{NUMERALS}0-9]"
@@ -83,11 +85,12 @@ def _shaped(lines: DataFrame, number: Column, body: Column, doc: str) -> DataFra
 
 
 def segment(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Doc, position, number, number_display, text, part, shape of the articles that docs (doc, text) consist of.
+    """Doc, position, number, number_display, text, part, shape, title, issue of the articles that docs (doc, text) consist of.
 
     Shapes are tried in this order and the first that fits a document is taken: articles (`第N条`, or decimal numbers
-    where there is none); items `1.` that rise strictly, two or more; sections of an outline `（一）`, two or more; the
-    whole text as one `正文`. A heading that goes on as a reference, or repeats the number before it, starts nothing.
+    where there is none); items `1.` that rise strictly, two or more; an outline of `一、` and `（一）` (outline.py, whose
+    items keep their marks in `title`, and whose broken numbers are an `issue`); the whole text as one `正文`. A heading
+    that goes on as a reference, or repeats the number before it, starts nothing.
     """
     raw = clean_lines(lines_of(docs, doc).withColumn("line", F.regexp_replace(F.trim("line"), "^#+", "")))
     has = Window.partitionBy(doc)
@@ -103,27 +106,29 @@ def segment(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("__i", F.when(F.col("line_no") >= F.col("__i0"), F.col("__i")))
     top = F.max("__i").over(Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__falls", F.col("__i") <= F.coalesce(top, F.lit(0)))
-    mark = rf"^（({N}{{1,3}})）(.*)$"
-    outline = F.when(F.col("line").rlike(mark) & ~F.regexp_extract("line", mark, 2).rlike("^[款项目段]"), F.regexp_extract("line", mark, 1))
-    rows = rows.withColumn("__o", outline)
+    marked = F.col("line").rlike(rf"^(?:（{N}{{1,3}}）(?![款项目段])|{N}{{1,3}}、)")
     shape = (
         F.when(F.count("__h").over(has) > 0, "articles")
         .when((F.count("__i").over(has) > 1) & (F.max(F.col("__falls").cast("int")).over(has) == 0), "items")
-        .when(F.count("__o").over(has) > 1, "outline")
+        .when(F.max(marked.cast("int")).over(has) == 1, "outline")
         .otherwise("body")
     )
     rows = rows.withColumn("shape", shape).drop("__before", "__i0", "__falls")
+    outlines = spooled(outline_items(docs.join(rows.where("shape = 'outline'").select(doc).distinct(), doc, "left_semi"), doc), "outlines")
+    # what has marks but is no outline is a body
+    rows = rows.join(outlines.select(doc).distinct(), doc, "left_anti").withColumn("shape", F.when(F.col("shape") == "outline", "body").otherwise(F.col("shape")))
     first = F.col("line_no") == F.min("line_no").over(has)
     rows = rows.withColumn("__first", first)
     per = {
         "articles": (F.col("__h"), F.coalesce(F.nullif(F.regexp_extract("line", ARTICLE, 2), F.lit("")), F.regexp_extract("line", DECIMAL, 2), F.lit(""))),
         "items": (F.when(F.col("__i").isNotNull(), F.concat(F.lit("第"), "__i", F.lit("项"))), F.regexp_extract("line", ITEM, 2)),
-        "outline": (F.when(F.col("__o").isNotNull(), F.concat(F.lit("（"), "__o", F.lit("）"))), F.regexp_extract("line", mark, 2)),
         "body": (F.when(F.col("__first"), F.lit("正文")), F.col("line")),
     }
     pick = lambda i: F.coalesce(*[F.when(F.col("shape") == k, v[i]) for k, v in per.items()])
     found = _shaped(rows, pick(0), F.trim(pick(1)), doc)
-    return found.withColumn("number", F.when(F.col("shape") == "outline", F.col("position").cast("string")).otherwise(F.col("number")))
+    none = F.lit(None).cast("string")
+    found = found.withColumns({"title": none, "issue": none, "position": F.col("position").cast("int")})
+    return found.unionByName(outlines.withColumn("shape", F.lit("outline")))
 
 
 def _lagged(c: str, doc: str) -> Column:

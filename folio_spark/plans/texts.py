@@ -45,6 +45,27 @@ def w9_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("number").try_cast("long").alias("position"), "number", "text", "part")
 
 
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, {_TRIM} AS line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n FROM l WHERE {_TRIM} <> ''),
+ m AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS last, doc_id % 7 = 3 AS broken FROM s WHERE n < 90)
+ SELECT doc_id, CAST(n + 1 AS INTEGER) AS position, CAST(n + 1 AS VARCHAR) AS number, '第' || (n % 9 + 1) || '部分' AS mark, line AS text, '节' || (n // 9 + 1) AS part, CAST(NULL AS VARCHAR) AS issue FROM m WHERE last > 0 AND NOT (broken AND last >= 4)
+ UNION ALL SELECT DISTINCT doc_id, 1, NULL, NULL, NULL, NULL, 'sequence_broken' FROM m WHERE broken AND last >= 4""")
+def w9_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines made of the documents' first ninety lines: nine items a section; every seventh document repeats a number."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("doc_id").orderBy("line_no")
+    lines = X.lines_of(_docs(spark, sf_dir)).withColumn("line", X.clean(F.col("line"))).where("line <> ''").withColumn("n", F.row_number().over(by) - 1).where("n < 90")
+    signs = F.array(*[F.lit(c) for c in "一二三四五六七八九十"])
+    at = lambda k: F.element_at(signs, k.cast("int"))
+    number = F.when((F.col("doc_id") % 7 == 3) & (F.col("n") == 4), at(F.lit(2))).otherwise(at(F.col("n") % 9 + 1))
+    section = F.when(F.col("n") % 9 == 0, F.concat(at(F.floor(F.col("n") / 9) + 1), F.lit("、节"), F.floor(F.col("n") / 9) + 1, F.lit("\n"))).otherwise("")
+    made = lines.withColumn("x", F.concat(section, F.lit("（"), number, F.lit("）"), "line"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "x"))), lambda r: r["x"]), "\n")
+    found = X.segment(made.groupBy("doc_id").agg(text.alias("text"))).where("shape = 'outline'")
+    mark = F.concat(F.lit("第"), F.array_position(signs, F.substring("title", 2, 1)), F.lit("部分"))
+    return found.select("doc_id", "position", "number", mark.alias("mark"), "text", F.regexp_extract("part", "、(.*)$", 1).alias("part"), F.substring_index("issue", ":", 1).alias("issue")).withColumn("part", F.nullif("part", F.lit("")))
+
+
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1")
 def w9_titled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = X.lines_of(_docs(spark, sf_dir)).where("trim(line) <> ''").withColumn("n", F.row_number().over(X.Window.partitionBy("doc_id").orderBy("line_no")))

@@ -8,6 +8,7 @@ import numpy as np
 from folio_spark.functions import markup as M
 from folio_spark.operators import citations as C
 from folio_spark.operators import names as N
+from folio_spark.operators import outline as O
 from folio_spark.operators import pages as P
 from folio_spark.operators import texts as X
 from folio_spark.sources import readers as R
@@ -38,6 +39,32 @@ def test_rejoin(spark):
     assert X.rejoin_lines(lines).first()["text"] == "第一条 当事人应当遵守。\n第二条 另"
 
 
+def test_outlines():
+    """Forms, lead-ins, sections without items, breaks: what each line becomes."""
+    rows = lambda t: [(n, title, text, part) for _, n, _, title, text, part in O.outline(t)[0]]
+    nested = "通知\n一、总则\n导语\n（一）甲\n续\n（二）项规定\n（二）乙\n二、只有段落\n段一\n段二\n三、本规定自公布之日起施行。\n四、末节\n（一）丙\n1．子项\n（二）丁\n（三）戊"
+    assert rows(nested) == [
+        ("序言", None, "通知", None), ("1", "（一）", "导语\n甲\n续\n（二）项规定", "一、总则"), ("2", "（二）", "乙", "一、总则"), ("3", None, "段一\n段二", "二、只有段落"),
+        ("4", "三、", "本规定自公布之日起施行。", None), ("5", "（一）", "丙\n1．子项", "四、末节"), ("6", "（二）", "丁", "四、末节"), ("7", "（三）", "戊", "四、末节"),
+    ]
+    flat = "一、电信诈骗数额较大的，依法处理。\n（一）其一\n二、从重处罚：\n其他"
+    assert rows(flat) == [("1", "一、", "电信诈骗数额较大的，依法处理。\n（一）其一", None), ("2", "二、", "从重处罚：\n其他", None)]
+    assert rows("前\n一、甲\n文一\n二、空\n三、乙\n文三\n五、跳号") == [("序言", None, "前", None), ("1", "一、甲", "文一", "一、甲"), ("2", "三、乙", "文三\n五、跳号", "三、乙")]
+    chapters = "第一章 总\n第一节 小\n（一）甲\n第二章 分\n（一）乙\n附则\n（一）丙"
+    assert [r[3] for r in rows(chapters)] == ["第一章 总 第一节 小", "第二章 分", "附则"]
+    assert O.outline("一、甲\n（二）乙\n（三）丙")[1].startswith("sequence_broken") and O.outline("一、甲\n（一）乙\n（一）丙")[1].startswith("sequence_broken")
+    assert O.outline("一、甲。\n三、乙。")[1].startswith("sequence_broken") and O.outline("一、总\n（一）\n（二）乙")[1] == "empty_text: 1"
+    assert O.outline("（一）只有一项") == ([], None) == O.outline("") == O.outline("没有标记")
+    assert [O.ordinal(x) for x in ("一", "十", "十二", "二十", "一百", "两", "〇", "12", "一二")] == [1, 10, 12, 20, 100, 2, 0, 12, None]
+
+
+def test_segments_of_outlines(spark):
+    assert segment(spark, "意见\n一、总则\n（一）甲\n（二）乙")[1:] == [("1", "甲", "一、总则", "outline"), ("2", "乙", "一、总则", "outline")]
+    assert segment(spark, "说明：（一）无\n一、只有一节\n文") == [("正文", "说明：（一）无\n一、只有一节\n文", None, "body")]
+    broken = X.segment(spark.createDataFrame([(1, "一、甲\n（一）乙\n（三）丙"), (2, None), (3, "")], "doc_id int, text string")).collect()
+    assert [(r["doc_id"], r["shape"], r["issue"][:15], r["text"]) for r in broken] == [(1, "outline", "sequence_broken", None)]
+
+
 def test_citations(spark):
     text = "依据《民法典》第一百四十三条规定：“具备下列条件的民事法律行为有效”。又见《法学评论》第3条、《合同法》第2020条、见民§577条。\n参《公司法》第3至5条。"
     rows = C.extract_citations(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("start", "number").collect()
