@@ -26,7 +26,8 @@ def map_codes(df: DataFrame, col: str, mapping: dict, out: str, default: str) ->
     """Df with `out`, the mapped code or a default, by a join with the small table of codes."""
     kind = "int" if all(isinstance(k, int) for k in mapping) else "string"
     dim = df.sparkSession.createDataFrame(list(mapping.items()), f"__k {kind}, __v string")
-    return df.join(F.broadcast(dim), df[col] == dim["__k"], "left").withColumn(out, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
+    dim = F.broadcast(dim) if len(mapping) <= 100_000 else dim
+    return df.join(dim, df[col] == dim["__k"], "left").withColumn(out, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
 
 
 def with_coverage(laws: DataFrame) -> DataFrame:

@@ -142,9 +142,10 @@ def x6_valid_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.valid_reviews(marks, current)
 
 
-def _written(spark: SparkSession, df: DataFrame, label: str, files: int = 32) -> str:
-    """Rows as JSON files in the shared folder, each an array of objects over several lines, as the readers take them."""
+def _written(spark: SparkSession, df: DataFrame, label: str, rows: int = 1000) -> str:
+    """Rows as JSON files in the shared folder, each an array of about so many objects, one a line, as the readers take them."""
     at = scratch(spark, label)
+    files = max(32, -(-df.count() // rows))
     one = F.to_json(F.struct(*df.columns))
     arrays = df.select(one.alias("o")).withColumn("file", F.pmod(F.xxhash64("o"), F.lit(files))).groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("o"), ",\n"), F.lit("\n]")).alias("value"))
     arrays.write.partitionBy("file").text(at)
