@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from folio_spark.operators.versions import diff_documents
 from folio_spark.sources.readers import EVIDENCE
+from folio_spark.session import spooled
 from folio_spark.sources.store import plan_refresh
 
 
@@ -28,25 +29,48 @@ def latest(spark: SparkSession, target: str, key: str = "law_id") -> DataFrame:
     return last.select(key, "x.*")
 
 
+#: Parts that the state of an ingest is kept in; a batch reads and writes those that its rows fall into.
+PARTS = 64
+HASHES = ("content_hash", "metadata_hash", "text_hash")
+
+
+def _state(spark: SparkSession, path: str, parts: list[int], number: int, shape: str) -> DataFrame:
+    """The state of some parts as it was before a batch: of each part the last file that an earlier batch wrote."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for part in parts:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
+        fs = folder.getFileSystem(hadoop)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        before = [n for n in (int(x.removeprefix("batch=")) for x in names if x.startswith("batch=")) if n < number]
+        if before:
+            found.append(f"{path}/part={part}/batch={max(before)}")
+    return spark.read.schema(shape).parquet(*found) if found else spark.createDataFrame([], shape)
+
+
 def stream_ingest(source: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Each batch is compared with the state; what is new or changed is written under the batch's number.
 
     source: law_id, content_hash, metadata_hash, text_hash, any others. A batch that is run again after a failure
-    overwrites its own rows, and a batch never reads its own, so the result is the same.
+    overwrites its own rows, and a batch never reads its own, so the result is the same. The state, a row of hashes a law,
+    is kept beside the target in PARTS parts by law, and a batch reads and writes only the parts of its laws.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["law_id", "content_hash", "metadata_hash", "text_hash"])
+        fresh = batch.dropDuplicates(["law_id", *HASHES])
         fresh = fresh.groupBy("law_id").agg(F.max_by(F.struct(*[c for c in fresh.columns if c != "law_id"]), "seq").alias("x")).select("law_id", "x.*")
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            before = spark.read.parquet(target).where(F.col("batch_id") < number)
-            state = before.groupBy("law_id").agg(F.max_by(F.struct("content_hash", "metadata_hash", "text_hash"), "batch_id").alias("x")).select("law_id", "x.*")
-        else:
-            state = fresh.select("law_id", "content_hash", "metadata_hash", "text_hash").limit(0)
-        action = plan_refresh(state, fresh).where("action <> 'keep'")
-        fresh.join(action, "law_id").write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+        fresh = spooled(fresh.withColumn("__part", F.pmod(F.xxhash64("law_id"), F.lit(PARTS)).cast("int")), "ingest-batch")
+        parts = [r["__part"] for r in fresh.select("__part").distinct().collect()]  # PARTS at most
+        shape = f"law_id {fresh.schema['law_id'].dataType.simpleString()}, " + ", ".join(f"{c} string" for c in HASHES)
+        state = _state(spark, f"{target}-state", parts, number, shape)
+        plain = fresh.drop("__part")
+        action = spooled(plan_refresh(state, plain).where("action <> 'keep'"), "ingest-action")
+        plain.join(action, "law_id").write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+        new = fresh.select("law_id", *HASHES).unionByName(state.join(fresh.select("law_id"), "law_id", "left_anti"))
+        new = new.withColumns({"part": F.pmod(F.xxhash64("law_id"), F.lit(PARTS)).cast("int"), "batch": F.lit(number)})
+        out = new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("part", "batch").parquet(f"{target}-state")
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
