@@ -58,6 +58,8 @@ _HINT = {w: k for k, words in HINTS.items() for w in words.split()}
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main|hidden|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: A heading that says how many follow it.
+_COUNTED = re.compile(r"^\W*\d+ \w+\W*$|^\w+ \(\d+\)$")
 
 
 @lru_cache(64)
@@ -199,8 +201,25 @@ def _size(words: int) -> str:
 
 
 def features(nodes: list[Node], shown: list[str]) -> list[list[str]]:
-    """Feature names of each node: its hints, how much text it has, how much of that is links."""
+    """Feature names of each node: its hints, how much text it has, how much of that is links, and where it stands:
+    inside an article, behind a heading that announces a count, among siblings that are built like itself."""
     n = len(nodes)
+    inside, alike, counted = [False] * n, [0] * n, [False] * n
+    children: dict[int, list[int]] = {}
+    for i, node in enumerate(nodes[1:], 1):
+        inside[i] = inside[node.parent] or node.tag == "article"
+        children.setdefault(node.parent, []).append(i)
+    for i in range(1, n):
+        counted[i] = counted[nodes[i].parent]
+        own = children.get(i, ())
+        if own and nodes[i].tag not in ("#", "body", "html") and not counted[i]:
+            first = own[0]
+            head = children.get(first, ()) if nodes[first].tag[:1] == "h" and nodes[first].tag[1:].isdigit() else ()
+            counted[i] = any(_COUNTED.search(shown[k]) for k in head)
+    for own in children.values():
+        blocks = [i for i in own if any(nodes[k].tag in ("p", "div", "blockquote") for k in children.get(i, ()))]
+        for i in blocks:
+            alike[i] = len([k for k in blocks if nodes[k].tag == nodes[i].tag and nodes[k].attributes == nodes[i].attributes])
     words, signs, links = [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
         if shown[i]:
@@ -216,7 +235,11 @@ def features(nodes: list[Node], shown: list[str]) -> list[list[str]]:
         linked = links[i] * 2 > signs[i]
         own.append(("run:" if node.tag == "#" else "all:") + _size(words[i]))
         if linked:
-            own.append("linked")
+            own.append("linked in article" if inside[i] else "linked")
+        if counted[i]:
+            own.append("counted")
+        if alike[i] > 1 and nodes[i].tag in ("li", "div", "article", "section", "dd"):
+            own.append("alike:" + nodes[i].tag)
         if node.tag == "#":
             own.append("in:" + nodes[node.parent].tag)
             if shown[i][-1:] in ".!?…:;»”\"":
@@ -358,6 +381,8 @@ _FORM = "<form data-main=0><label>Your name</label><input><p>Fill in this form t
 _AD = "<div class={0} data-main=0><p>Buy two lamps now and get one free, this week only, in every shop near you.</p></div>"
 _TALK = "<{0} class={1} data-main=0><h3>Comments</h3><div><p>I was there and it was nothing like that, the whole debate took ten minutes.</p></div><div><p>Thanks for this report, very clear and useful to me.</p></div></{0}>"
 _TABLE = "<table><tr><th>Year</th><th>Votes</th></tr><tr><td>2001</td><td>17 of 23</td></tr></table>"
+_SAYS = "<{0} id={1} data-main=0><h2>{2}</h2><ol><li><p>I was there and it was nothing like that, the whole debate took ten minutes.</p></li><li><p>Thanks for this report, very clear and useful to me.</p><p>Keep going.</p></li></ol></{0}>"
+_MORE = "<figure><img src=/x.jpg><figcaption>The town hall on the day of the vote</figcaption></figure><ul><li><a href=/p>The plan as it was first read</a></li><li><a href=/q>What the mayor said</a></li></ul><dl><dt>Hall</dt><dd>where the members meet</dd></dl>"
 _LIST = "<ul><li>the first change, on the hall</li><li>the second change, on the road and its lamps</li></ul>"
 
 
@@ -384,6 +409,8 @@ def layouts() -> list[list[str]]:
             f"<body><nav>{_LINKS}</nav><main data-main=1>{inner}<aside data-main=0><p>Sign up for our letter and never miss a word of this story.</p></aside>{_S}<form data-main=0><p>Search</p></form></main>{foot}</body>",
             f"<body><header>{_LINKS}</header><div class=promo data-main=0>{_Q}</div><div class=story data-main=1>{inner}</div><div class=newsletter data-main=0>{_FORM}</div>{_AD.format('advert')}{foot}</body>",
             f"<body><div class=wrapper><div class=entry-content data-main=1><header data-main=1><h1>A plan</h1></header>{inner}<footer data-main=0>Filed under <a href=/x>plans</a></footer></div></div><div class=popup data-main=0><p>Join now and read as much as you like for a month.</p></div></body>",
+            f"<body><nav>{_LINKS}</nav><article data-main=1>{inner}{_MORE}{_Q}{_S}</article>{_SAYS.format('section', 'x', '2 thoughts')}{foot}</body>",
+            f"<body><header>{_LINKS}</header><main><div data-main=1>{inner}</div>{_SAYS.format('div', 'y', 'Voices (2)')}</main>{side.format('aside', 'z')}{foot}</body>",
             f"<body><article data-main=1>{inner}</article></body>",
             f"<body data-main=1>{inner}</body>",
             f"<body><div data-main=1>{inner}</div>{foot}</body>",
