@@ -50,6 +50,15 @@ def drop_spools(spark: SparkSession) -> None:
         fs.delete(status.getPath(), True)
 
 
+def drop_spool(df: DataFrame) -> None:
+    """Delete what spool() wrote for df, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if f"/spool-{spark.sparkContext.applicationId}-" in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.llm.common import by_group, spool
-from folio_spark.llm.graph import components
+from folio_spark.llm.common import by_group, drop_spool, spool
+from folio_spark.llm.graph import components, components_of_numbers
 
 #: Fingerprints in one tree, before its shard is cut again.
 MAX_SHARD = 1024
@@ -249,8 +249,8 @@ def _sharded(keyed: DataFrame) -> DataFrame:
     return keyed.join(counts, "key")
 
 
-def candidates(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
-    """Links (u, v) between nodes (node, high, low, mins) that lead to every node that may be similar."""
+def candidates(nodes: DataFrame, radius: int, max_shard: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (u, v) between nodes (node, high, low, mins) that lead to every node that may be similar, and the spools that they read."""
     keyed = nodes.select("node", F.posexplode("mins").alias("at", "m")).select("node", "at", F.xxhash64("at", "m").alias("key"))
     first = spool(_sharded(keyed), "shards")
     # nodes whose min-hashes i and j both have large shards meet again by the two together
@@ -273,7 +273,7 @@ def candidates(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
     links = by_group(small.join(nodes.select("node", "high", "low"), "node"), "key", tree, "u long, v long")
     large = second.where(F.col("n") > max_shard).select("key", "node")
     least = large.groupBy("key").agg(F.min("node").alias("v"))
-    return links.union(large.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v"))
+    return links.union(large.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v")), [first, second]
 
 
 class _Sets:
@@ -373,10 +373,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS, max_s
     marked = spool(sketches(docs, words), "sketches")
     nodes = marked.groupBy("name").agg(*[F.first(c).alias(c) for c in ("bytes", "high", "low", "mins")], F.min("doc_id").alias("least"))
     nodes = spool(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    maybe = components(candidates(nodes, radius, max_shard))
+    links, shards = candidates(nodes, radius, max_shard)
+    maybe = components_of_numbers(links)
+    for df in shards:
+        drop_spool(df)
     maybe = spool(nodes.select("node", "name", "bytes", "high", "low").join(maybe, "node"), "maybe")
     sizes = maybe.groupBy("root").agg((_chunks(F.count(F.lit(1)), F.sum("bytes")) > 1).alias("large"))
-    maybe = spool(maybe.join(sizes, "root").drop("bytes"), "maybe")
+    whole = spool(maybe.join(sizes, "root").drop("bytes"), "maybe")
+    drop_spool(maybe)
+    maybe = whole
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     texts = texts.withColumn("name", F.unhex(F.md5("text"))).join(maybe.select("name"), "name", "left_semi").dropDuplicates(["name"])
     held = spool(maybe.join(texts, "name").select("root", "node", "high", "low", "text", "large"), "texts")
@@ -385,9 +390,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS, max_s
     large = held.where("large").drop("large")
     if large.limit(1).count():
         near = spool(_pivot_links(large, words, radius), "near")
-        known = components(near).select("node", F.col("root").alias("part"))
+        known = components_of_numbers(near).select("node", F.col("root").alias("part"))
         links = links.union(near).union(_block_links(large, known, words, radius))
-    roots = components(links)
+    roots = components_of_numbers(links)
+    drop_spool(held)
     named = nodes.select("node", "name", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = named.select("name", "root").join(names, "root").select("name", "component_id")

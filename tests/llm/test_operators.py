@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folio_spark.llm import ann, codes, html_main, langid, line_dedup, media, merkle, mixing, packing, pieces, sharding, simhash, toxicity
+from folio_spark.llm import ann, codes, graph, html_main, langid, line_dedup, media, merkle, mixing, packing, pieces, sharding, simhash, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon phi chi psi omega".split()
 TEXT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -207,6 +207,17 @@ def test_near_duplicates_by_exact_similarity(spark):
         assert (found[i + 1] == i) == (len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])) and found[i] == i
 
 
+def test_small_graphs_are_joined_up_like_large_ones(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in r.integers(-300, 300, (250, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, None), (5, 5)]
+    links = spark.createDataFrame(edges, "u long, v long")
+    small = {tuple(x) for x in graph.components_of_numbers(links).collect()}
+    monkeypatch.setattr(graph, "FEW", 10)
+    assert small == {tuple(x) for x in graph.components_of_numbers(links).collect()} == {tuple(x) for x in graph.components(links).collect()}
+    monkeypatch.undo()
+    assert graph.components_of_numbers(links.limit(0)).count() == 0
+
+
 def test_near_duplicates_are_of_sets(spark, monkeypatch):
     """Repeated passages, short texts, unequal lengths, a large group of near copies: always the components of all pairs."""
     r, rows = np.random.default_rng(8), []
