@@ -18,3 +18,12 @@ def test_records_are_not_sent_whole_to_resolve_names(spark, tmp_path):
     found = N.resolve(mentions, laws, N.build_name_index(laws))
     assert {r["mention_id"]: (r["law_id"], r["tier"]) for r in found.collect()} == {1: (4, 6), 2: (4, 6), 3: (4, 3), 4: (4, 6)}
     assert "SortMergeJoin [law_id" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_keep_the_references_that_the_sql_keeps(spark, tmp_path):
+    titles = ["a &amp; b", "k = &quot;x", "so&amp", "&amp;quot; y", "&AMP; &lt;"]
+    rows = [(i, "http://a/", f"<html><head><title>{t}</title></head><body><p>k = &quot;x &amp</p></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.queries()["s10_pages_to_text"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [r["title"] for r in got][:4] == ["a & b", "k = &quot;x", "so&amp", "&quot; y"]
+    assert {r["text"] for r in got} == {'k = "x &'}
