@@ -42,7 +42,8 @@ def rejoin_lines(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
 
     A line goes on the one before unless it starts a structure or that one ends a sentence or clause.
     """
-    starts = rf"^(?:第{N}+(?:编|章|节|条|分编)|附则|{N}{{1,3}}、|[（(]{N}{{1,3}}[）)]|\d{{1,3}}[.．])"
+    address = r"\d{1,3}(?:[.．]\d{1,3}){2}(?![\d.．]|\s*[\x{4E00}-\x{9FFF}])"  # after a first number: a network address, no item
+    starts = rf"^(?:第{N}+(?:编|章|节|条|分编)|附则|{N}{{1,3}}、|[（(]{N}{{1,3}}[）)]|\d{{1,3}}[.．](?!{address}))"
     refers = rf"^第?{N}+(?:款|项|段)"
     rows = lines.withColumn("line", clean(F.col("line"))).where((F.col("line") != "") & ~F.col("line").rlike(r"^\d{1,4}$"))
     by = Window.partitionBy(doc).orderBy("line_no")

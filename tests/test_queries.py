@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from folio_spark.operators import names as N
+from folio_spark.operators import texts as X
 from folio_spark.plans import registry
 
 
@@ -42,3 +43,9 @@ def test_rules_of_a_plan_to_delete_are_those_below_100(spark, tmp_path):
     spark.createDataFrame([(2,)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {tuple(r) for r in registry.queries()["s13_plan_delete"](spark, str(tmp_path)).collect()}
     assert got == {(2, "", 1), (99, "rules,packs", 0), (100, "", 0), (102, "packs", 0)}
+
+
+def test_network_addresses_start_no_item(spark):
+    lines = ["甲", "28.68.191.238 Den", "1.2.3.4 总则", "2. 丙", "3.1 丁", "10.20.30.40", "1.2.3.4.5 戊"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string")
+    assert X.rejoin_lines(rows).first()["text"] == "甲28.68.191.238 Den\n1.2.3.4 总则\n2. 丙\n3.1 丁10.20.30.40\n1.2.3.4.5 戊"
