@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from folio_spark.operators import lookup as L
 from folio_spark.operators import names as N
 from folio_spark.operators import texts as X
 from folio_spark.plans import registry
@@ -76,3 +77,15 @@ def test_equal_listings_are_compared_once(spark):
     rows, most = most_rows(spark, N.choose_candidates(names, listings))
     assert {tuple(r) for r in rows} == {(i, 49, 1, "chosen") for i in range(100)} | {(100, None, 2, "ambiguous"), (101, 202, 0, "chosen"), (102, None, None, "none")}
     assert most < 2000
+
+
+def test_rules_are_paired_by_distinct_topics_and_not_sent_whole(spark, tmp_path):
+    day = datetime.date(2020, 1, 1)
+    spark.createDataFrame([(i, "公司登记" if i % 2 else "登记", "all", None, None) for i in range(60)], "rule_id long, topic string, domain string, effective_from date, effective_to date").write.parquet(f"{tmp_path}/r")
+    requests = spark.createDataFrame([(1, "公司登记", "x", day), (2, "登记", "x", day), (3, "无", "x", day)], "request_id long, topic string, domain string, as_of date")
+    found = L.applicable(requests, spark.read.parquet(f"{tmp_path}/r"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["request_id"], []).append((r["place"], r["rule_id"]))
+    assert [x for _, x in sorted(got[1])] == list(range(1, 60, 2)) and [x for _, x in sorted(got[2])] == [*range(0, 60, 2), *range(1, 60, 2)] and 3 not in got
+    assert "SortMergeJoin [l#" in found._jdf.queryExecution().executedPlan().toString()
