@@ -215,11 +215,13 @@ def align_reissues(docs: DataFrame, laws: DataFrame) -> DataFrame:
     """doc_id, law_id, work_key, same_day of re-issued texts with the record whose number and a name they share.
 
     docs: doc_id, docnum, names (array), effective_at; laws: law_id, work_key, document_number, names, effective_at.
+    Of the records with one number and name only the latest can be a text's record, so texts meet that one alone.
     """
-    spelled = docnum.docnum_variants(docs, "docnum")
-    l = laws.select("law_id", "work_key", docnum.docnum_key(F.col("document_number")).alias("variant"), F.col("names").alias("l_names"), F.col("effective_at").alias("l_at"))  # noqa: E741
-    hits = spelled.join(l, "variant").where(F.arrays_overlap("names", "l_names"))
-    best = hits.groupBy("doc_id", "effective_at").agg(F.max_by(F.struct("law_id", "work_key"), F.struct("l_at", "law_id")).alias("x"))
+    at = F.struct("l_at", "law_id", "work_key")
+    spelled = docnum.docnum_variants(docs, "docnum").withColumn("name", F.explode(F.array_distinct("names")))
+    l = laws.select("law_id", "work_key", docnum.docnum_key(F.col("document_number")).alias("variant"), F.explode(F.array_distinct("names")).alias("name"), F.col("effective_at").alias("l_at"))  # noqa: E741
+    latest = l.groupBy("variant", "name").agg(F.max(at).alias("y"))
+    best = spelled.hint("merge").join(latest, ["variant", "name"]).groupBy("doc_id", "effective_at").agg(F.max("y").alias("x"))
     starts = laws.select(F.col("work_key").alias("wk"), F.col("effective_at").alias("at")).distinct().withColumn("same_day", F.lit(True))
-    j = best.select("doc_id", "effective_at", "x.*")
+    j = best.select("doc_id", "effective_at", "x.law_id", "x.work_key")
     return j.join(starts, (j["work_key"] == starts["wk"]) & (j["effective_at"] == starts["at"]), "left").select("doc_id", "law_id", "work_key", F.coalesce("same_day", F.lit(False)).alias("same_day"))

@@ -97,3 +97,14 @@ def test_equal_mentions_are_scored_once(spark):
     rows, most = most_rows(spark, N.name_candidates(mentions, laws))
     assert len(rows) == 500 and {r["place"] for r in rows} == {1, 2, 3, 4, 5} and len({r["title"] for r in rows}) == 5
     assert most < 2000
+
+
+def test_reissues_do_not_meet_all_records_of_their_number(spark):
+    day = lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(i)
+    laws = [(i, f"w{i}", "No. 1", ["x", None] if i % 2 else ["y", "x"], day(i)) for i in range(200)] + [(500, "v", "No. 1", ["z"], None), (501, "v", "No. 2", ["x"], day(900))]
+    docs = [(i, "No. 1", ["y"] if i else ["x", "x"], day(198)) for i in range(200)] + [(300, "No. 1", ["z"], day(1)), (301, "No. 1", ["q"], day(1)), (302, "No. 1", None, day(1))]
+    laws = spark.createDataFrame(laws, "law_id long, work_key string, document_number string, names array<string>, effective_at date")
+    docs = spark.createDataFrame(docs, "doc_id long, docnum string, names array<string>, effective_at date")
+    rows, most = most_rows(spark, L.align_reissues(docs, laws))
+    assert {tuple(r) for r in rows} == {(0, 199, "w199", False), (300, 500, "v", False)} | {(i, 198, "w198", True) for i in range(1, 200)}
+    assert most < 5000
