@@ -131,9 +131,11 @@ def conflicts(drafts: DataFrame, current: DataFrame) -> DataFrame:
 
     drafts: draft_id, law_id, base_fingerprint, name; current: law_id, fingerprint, name.
     """
-    c = current.select("law_id", F.col("fingerprint").alias("now"))
+    c = current.select("law_id", F.col("fingerprint").alias("now")).hint("merge")
     stale = drafts.join(c, "law_id", "left").where(~F.col("now").eqNullSafe(F.col("base_fingerprint"))).select("draft_id", F.lit("base_changed").alias("code"))
-    taken = drafts.join(current.select(F.col("law_id").alias("other"), "name"), "name").where("other <> law_id").select("draft_id", F.lit("name_taken").alias("code")).distinct()
+    # one row per name: another record has it if its first or its last one is another
+    names = current.groupBy("name").agg(F.min("law_id").alias("first"), F.max("law_id").alias("last"))
+    taken = drafts.hint("merge").join(names, "name").where("first <> law_id or last <> law_id").select("draft_id", F.lit("name_taken").alias("code")).distinct()
     return stale.unionByName(taken)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folio_spark.operators import lookup as L
 from folio_spark.operators import names as N
+from folio_spark.operators import quality as Q
 from folio_spark.operators import texts as X
 from folio_spark.plans import registry
 
@@ -108,3 +109,11 @@ def test_reissues_do_not_meet_all_records_of_their_number(spark):
     rows, most = most_rows(spark, L.align_reissues(docs, laws))
     assert {tuple(r) for r in rows} == {(0, 199, "w199", False), (300, 500, "v", False)} | {(i, 198, "w198", True) for i in range(1, 200)}
     assert most < 5000
+
+
+def test_drafts_do_not_meet_all_records_of_their_name(spark):
+    current = spark.createDataFrame([(i, "f", "a") for i in range(200)] + [(200, "f", "b")], "law_id long, fingerprint string, name string")
+    drafts = spark.createDataFrame([(i, i, "f", "a") for i in range(200)] + [(200, 200, "old", "b"), (201, 0, "f", "b"), (202, None, "f", "b")], "draft_id long, law_id long, base_fingerprint string, name string")
+    rows, most = most_rows(spark, Q.conflicts(drafts, current))
+    assert {tuple(r) for r in rows} == {(i, "name_taken") for i in range(200)} | {(200, "base_changed"), (201, "name_taken"), (202, "base_changed")}
+    assert most < 1000
