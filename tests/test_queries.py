@@ -2,8 +2,10 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from folio_spark.functions import similarity
 from folio_spark.operators import lookup as L
 from folio_spark.operators import names as N
 from folio_spark.operators import quality as Q
@@ -117,3 +119,10 @@ def test_drafts_do_not_meet_all_records_of_their_name(spark):
     rows, most = most_rows(spark, Q.conflicts(drafts, current))
     assert {tuple(r) for r in rows} == {(i, "name_taken") for i in range(200)} | {(200, "base_changed"), (201, "name_taken"), (202, "base_changed")}
     assert most < 1000
+
+
+def test_equal_quotes_of_a_batch_are_compared_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(similarity, "_best", lambda q, t: asked.append((q, t)) or 0.5)
+    got = similarity.best_window_ratio.func(pd.Series(["a", None, "a", "b", None]), pd.Series(["x", None, "x", "x", None]))
+    assert list(got) == [0.5] * 5 and len(asked) == 3
