@@ -10,7 +10,7 @@ probability of each in every language. Where that table is small (MAX_CELLS numb
 64-bit hashes, which are one to one, and read it by the hash's leading bits; a larger one is joined with the documents'
 4-grams instead, with the same results. The language is the one with the lowest cross-entropy per character. Rejected are
 texts without a letter, and texts whose cross-entropy lies too far above that of documents of the predicted language, by
-limits that are calibrated on at most CALIBRATION learning documents of each (those with the least digests of their ids).
+limits that are medians over all learning documents of each.
 
 Defined cases: null text, and text without a letter, is `und` with score 0 and rejected; equal cross-entropies go to
 the smaller language name; without any row to learn from everything is `und`; texts longer than PIECE characters are
@@ -27,16 +27,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.llm.common import digest, spool
+from folio_spark.llm.common import spool
+from folio_spark.operators.logs import selected
 
 ORDER, INDEX_BITS = 4, 22
 #: Numbers in a table of log probabilities that is given to every task: 32 MB, and 64 MB of hashes at most.
 MAX_CELLS = 1 << 23
-#: Learning documents of each language that the limits of rejection are taken from.
-CALIBRATION = 500
 #: Standard deviations above a language's usual cross-entropy at which a text is rejected.
 FAR = 8.0
 #: And so many nats a character besides: text that switches between learned languages, or has names and numbers, stays.
@@ -254,25 +253,27 @@ def fit(learn: DataFrame) -> Model:
     if not model.langs:
         # texts without a single character teach nothing either
         return model
-    sample = learn.select("doc_id", "lang", digest(F.col("doc_id")).alias("__d")).withColumn("__salt", F.substring("__d", 32, 1))
-    for by in (["lang", "__salt"], ["lang"]):  # the first of each sixteenth, then of these, so that no language is one task's work
-        first = Window.partitionBy(*by).orderBy("__d", "doc_id")
-        sample = sample.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= CALIBRATION)
-    sample = sample.select("doc_id").distinct()
-    sample = learn.join(F.broadcast(sample), "doc_id", "left_semi") if len(model.langs) <= 1000 else learn.join(sample, "doc_id", "left_semi")
-    scored = predict(spool(sample.select("doc_id", "text", "lang"), "calibration"), model, ["lang"]).where("lang = lang_pred")
-    found = scored.select("lang", "entropy", "n_signs").toPandas()  # CALIBRATION rows a language at most
-    for j, lang in enumerate(model.langs):
-        own = found[(found["lang"] == lang) & (found["n_signs"] > 0)]
-        if len(own):
-            usual = own["entropy"].median()
-            off = (own["entropy"] - usual).abs()
-            model.limits[j] = usual, 1.4826 * off.median(), 1.4826 * (off * np.sqrt(own["n_signs"])).median()
-        else:
-            model.limits[j] = math.inf, 0, 0
+    scored = predict(learn.select("doc_id", "text", "lang"), model, ["lang"]).where("lang = lang_pred and n_signs > 0")
+    scored = spool(scored.select(F.col("lang").alias("by"), "entropy", "n_signs"), "calibration")
+    usual = medians(scored.select("by", F.col("entropy").alias("value")))
+    model.limits[:, 0] = [usual.get(lang, math.inf) for lang in model.langs]
+    if usual:
+        known = learn.sparkSession.createDataFrame(list(usual.items()), "by string, usual double")
+        off = F.abs(F.col("entropy") - F.col("usual"))
+        both = F.array(F.struct(F.concat(F.lit("off "), "by").alias("by"), off.alias("value")), F.struct(F.concat(F.lit("each "), "by").alias("by"), (off * F.sqrt("n_signs")).alias("value")))
+        spread = medians(scored.join(F.broadcast(known), "by").select(F.inline(both)))
+        for i, name in enumerate(("off", "each"), 1):
+            model.limits[:, i] = [1.4826 * spread.get(f"{name} {lang}", 0) for lang in model.langs]
     return model
 
 
+def medians(values: DataFrame) -> dict[str, float]:
+    """The exact median of each group of values (by, value), of which no task holds a whole one."""
+    n = F.col("n")
+    wanted = values.groupBy("by").agg(F.count("value").alias("n")).select("by", F.explode(F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)))).alias("k"))
+    return {r["by"]: r["median"] for r in selected(values, wanted).groupBy("by").agg(F.avg("value").alias("median")).collect()}
+
+
 class HashArray:
     """Log probabilities by key: sorted 64-bit hashes (an odd factor, so no two keys have the same) and values beside them."""
 
