@@ -281,3 +281,21 @@ def test_contract_of_nested_fields(spark):
         "b": {"incomplete_category", "unknown_parent_category", "unknown_category", "missing_relation_type", "missing_relation_target", "invalid_relation_date", "missing_article_number", "missing_article_text", "invalid_article_position"},
         "c": {"no_articles"},
     }
+
+
+def test_every_number_of_a_sentence_is_an_edge_and_leads_are_looked_up_once(spark, monkeypatch):
+    texts = ["依照公司法第3条、证券法第五条之一办理。见\n第9条", "公司法第3条", "本公司法　第3条，保险法第2条；公司法。第7条", "《公司法》第8条", "依照" + "长" * 90 + "公司法第6条", "没有", None]
+    articles = spark.createDataFrame([(f"h{i}", "1", t) for i, t in enumerate(texts)], "law_id string, number string, text string")
+    names = spark.createDataFrame([("公司法", 1), ("证券法", 2), ("本公司法", 3), ("法", 4)], "name string, law_id long")
+    want = {("h0", 1, "3"), ("h0", 2, "5-1"), ("h1", 1, "3"), ("h3", 1, "8"), ("h4", 1, "6")}
+    for most in (C.MOST_FORMS, 0):
+        monkeypatch.setattr(C, "MOST_FORMS", most)
+        found = C.citation_edges(articles, names).collect()
+        assert {(r["host_law_id"], r["law_id"], r["number"]) for r in found} == want and len(found) == len(want)
+
+
+def test_texts_of_citations_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"依据《民法典》第{i}条规定：“甲乙丙丁戊己庚辛”") for i in range(1, 50)], "doc_id int, text string")
+    found = C.extract_citations(docs)
+    assert sorted((r["doc_id"], r["number"], r["quoted_text"]) for r in found.collect()) == [(i, str(i), "甲乙丙丁戊己庚辛") for i in range(1, 50)]
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
