@@ -299,3 +299,16 @@ def test_texts_of_citations_are_not_shuffled(spark):
     found = C.extract_citations(docs)
     assert sorted((r["doc_id"], r["number"], r["quoted_text"]) for r in found.collect()) == [(i, str(i), "甲乙丙丁戊己庚辛") for i in range(1, 50)]
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_requests_are_handed_over_together(spark, monkeypatch):
+    r = random.Random(8)
+    line = lambda: "".join(r.choice("abcdef") for _ in range(30))
+    before = [(k, str(i), i, line(), None) for k in range(60) for i in range(1, 6)]
+    after = [(k, str(int(n) % 5 + 1), i, t[4:] + "xy" if i % 2 else t, p) for k, n, i, t, p in before if (k + i) % 7]
+    shape = "request_id long, number string, position int, text string, part string"
+    a, b = spark.createDataFrame(before, shape), spark.createDataFrame(after, shape)
+    result = lambda: sorted(map(tuple, C.trace(a.select("request_id").distinct(), a, b).collect()))
+    together = result()
+    monkeypatch.setattr(C, "HANDED", 1)
+    assert result() == together and len(together) == 300 and {x[3] for x in together} >= {"renumbered", "amended"}
