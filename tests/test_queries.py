@@ -1,6 +1,7 @@
 """Registered queries on rows that larger tables have, and the shape of their joins."""
 
 import datetime
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from folio_spark.functions import similarity
 from folio_spark.operators import lookup as L
 from folio_spark.operators import names as N
 from folio_spark.operators import quality as Q
+from folio_spark.operators import retrieval as R
 from folio_spark.operators import texts as X
 from folio_spark.plans import registry
 
@@ -126,3 +128,22 @@ def test_equal_quotes_of_a_batch_are_compared_once(monkeypatch):
     monkeypatch.setattr(similarity, "_best", lambda q, t: asked.append((q, t)) or 0.5)
     got = similarity.best_window_ratio.func(pd.Series(["a", None, "a", "b", None]), pd.Series(["x", None, "x", "x", None]))
     assert list(got) == [0.5] * 5 and len(asked) == 3
+
+
+def test_queries_meet_the_articles_of_their_rarest_token(spark):
+    articles = spark.createDataFrame([(i, "", f"all rare{i % 40}") for i in range(400)], "article_id long, title string, text string")
+    queries = spark.createDataFrame([(k, f"all rare{k}") for k in range(40)], "query_id long, query string")
+    rows, most = most_rows(spark, R.bm25(queries, R.build_postings(articles), 400))
+    assert {(r["query_id"], r["article_id"]) for r in rows} == {(i % 40, i) for i in range(400)} and most <= 1000
+
+
+def test_pools_of_any_token_lose_nothing(spark):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(9)]
+    texts = [" ".join(r.choices(words, [2**-i for i in range(9)], k=r.randrange(1, 7))) for _ in range(300)]
+    postings = R.build_postings(spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "article_id long, title string, text string"))
+    queries = spark.createDataFrame([(k, " ".join(r.sample(words, 3)) + " nowhere") for k in range(12)], "query_id long, query string")
+    got, want = R._best_any(queries, postings, 300, "text", 20, None).collect(), {}
+    for x in sorted(R.bm25(queries, postings, 300, require_all=False, only="text").collect(), key=lambda x: (-round(x["score"], 6), x["article_id"])):
+        want.setdefault(x["query_id"], []).append(x["article_id"])
+    assert {(x["query_id"], x["article_id"]) for x in got} == {(q, a) for q, ids in want.items() for a in ids[:20]}
