@@ -147,3 +147,15 @@ def test_pools_of_any_token_lose_nothing(spark):
     for x in sorted(R.bm25(queries, postings, 300, require_all=False, only="text").collect(), key=lambda x: (-round(x["score"], 6), x["article_id"])):
         want.setdefault(x["query_id"], []).append(x["article_id"])
     assert {(x["query_id"], x["article_id"]) for x in got} == {(q, a) for q, ids in want.items() for a in ids[:20]}
+
+
+def test_a_search_stores_no_row_for_every_character(spark, tmp_path):
+    laws = spark.createDataFrame([(1, "alpha ab", "law", "x", "w1", datetime.date(2020, 1, 1), "current"), (2, "beta", "law", "x", "w2", datetime.date(2020, 1, 1), "current")], "law_id long, title string, level string, issuing_body string, work_key string, start date, derived_status string")
+    laws = laws.withColumn("short_title", F.lit(None).cast("string"))
+    articles = spark.createDataFrame([(10, 1, "1", "p", "one two", "alpha ab"), (20, 2, "1", "p", "one", "beta")], "article_id long, law_id long, number string, part string, text string, title string")
+    corpus = R.Corpus(articles, laws, laws.select(F.col("title").alias("name"), "law_id"))
+    index = R.store_corpus(corpus, f"{tmp_path}/kinds")
+    assert sorted(x.name for x in (tmp_path / "kinds").iterdir()) == ["kind=article", "kind=law"]
+    queries = spark.createDataFrame([(1, "ab", None), (2, "alpha ab", None), (3, "one", ["beta"]), (4, "one", ["gone"])], "query_id long, query string, in_laws array<string>")
+    got = {(r["query_id"], r["kind"], r["ref"]) for r in R.search(queries, corpus, index, R.Options(limit=10)).collect()}
+    assert got == {(1, "article", "10"), (1, "law", "1"), (2, "article", "10"), (2, "law", "1"), (3, "article", "20")}
