@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.functions.markup import page
+from folio_spark.functions.markup import links, page
 
 #: Lines that end a text: press questions and answers, and what belongs to a page's frame.
 STOPS = "^(?:记者|问[:：]|答[:：]|责任编辑|[\\[【]责任编辑|编辑[:：]|分享到|打印|关闭窗口|相关链接|相关新闻|扫一扫|主办单位|版权所有|©)|答记者问"
@@ -27,8 +27,7 @@ def explode_links(pages: DataFrame) -> DataFrame:
 
     A link ends with its end tag or where the next one starts. Addresses are resolved against the page's own.
     """
-    seen = pages.select("page_id", "url", page(F.col("html")).alias("s"))
-    rows = seen.select("page_id", "url", F.posexplode("s.links").alias("p", "x")).select("page_id", "url", "p", F.trim("x.href").alias("h"), F.col("x.anchor").alias("anchor")).where("h <> ''")
+    rows = links(pages).select("page_id", "url", "p", F.trim("href").alias("h"), "anchor").where("h <> ''")
     base = F.regexp_replace("url", r"[?#].*$", "")
     root = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1)
     folder = F.regexp_extract(base, r"^([a-zA-Z]+://[^/]+(?:/.*)?)/[^/]*$", 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folio_spark.functions import similarity
 from folio_spark.operators import lookup as L
 from folio_spark.operators import names as N
+from folio_spark.operators import pages as P
 from folio_spark.operators import quality as Q
 from folio_spark.operators import retrieval as R
 from folio_spark.operators import texts as X
@@ -191,3 +192,11 @@ def test_a_reference_that_one_record_confirms(spark):
     refs = spark.createDataFrame([(10, "a"), (99, "a"), (7, "x")], "ref_id long, name string")
     got = {r["batch_id"]: (r["canonical_id"], r["outcome"]) for r in N.match_entities(batch, laws, refs).collect()}
     assert got == {1: ("10", "reference"), 2: ("10", "reference"), 3: ("20", "record"), 4: (None, "ambiguous"), 5: (None, "new")}
+
+
+def test_links_are_read_a_few_pages_at_a_time(spark):
+    rows = [(i, f"http://h{i}/x", "".join(f'<p>t<a href="/{i}/{k}">a{k}</a></p>' for k in range(i % 3)) if i % 7 else None) for i in range(150)]
+    found = P.explode_links(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    got = {(r["page_id"], r["target"], r["anchor"], r["place"]) for r in found.collect()}
+    assert got == {(i, f"http://h{i}/{i}/{k}", f"a{k}", k) for i in range(150) if i % 7 for k in range(i % 3)}
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
