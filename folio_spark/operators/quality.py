@@ -87,7 +87,9 @@ def violations(docs: DataFrame) -> DataFrame:
 def article_violations(articles: DataFrame) -> DataFrame:
     """V2: law_id, code: empty texts, repeated numbers or positions, positions not 1..N, displays that disagree."""
     display = F.col("number_display").isNotNull() & ~F.col("number").isin(*SYMBOLIC)
-    keyed = articles.withColumn("__k", F.when(display, article_key(F.col("number_display"))))
+    # a number as it is usually displayed is its own key, without the patterns of all other forms
+    usual = F.col("number").rlike("^[1-9][0-9]{0,17}$") & (F.col("number_display") == F.concat(F.lit("第"), "number", F.lit("条")))
+    keyed = articles.withColumn("__k", F.when(usual, F.col("number")).when(display, article_key(F.col("number_display"))))
     per = keyed.groupBy("law_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("number").alias("numbers"), F.count_distinct("position").alias("positions"), F.min("position").alias("low"), F.max("position").alias("high"),
         F.max((F.coalesce(F.trim("text"), F.lit("")) == "").cast("int")).alias("blank"), F.max(((F.col("__k") != "") & (F.col("__k") != F.col("number"))).cast("int")).alias("differs"),

@@ -207,3 +207,11 @@ def test_equal_lists_of_numbers_are_read_once(spark):
     rows, most = most_rows(spark, numerals.explode_number_spec(df).groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("ordinal")))
     want = {("1", 100, 0), ("3", 100, 1_000_000), ("4", 100, 1_000_001), ("5", 100, 1_000_002), ("9", 100, 2_000_000)}
     assert {tuple(r) for r in rows} == want and most <= 500
+
+
+def test_usual_displays_need_no_patterns(spark):
+    rows = [(1, 1, "12", "t", "第12条"), (2, 1, "12", "t", "第十二条"), (3, 1, "12", "t", "第13条"), (4, 1, "012", "t", "第012条"), (5, 1, "12", "t", None), (6, 1, "正文", "t", "第1条")]
+    articles = spark.createDataFrame(rows, "law_id long, position int, number string, text string, number_display string")
+    found = Q.article_violations(articles)
+    assert sorted(map(tuple, found.collect())) == [(3, "display_disagrees"), (4, "display_disagrees")]
+    assert "^[1-9][0-9]{0,17}$" in found._jdf.queryExecution().optimizedPlan().toString()
