@@ -135,11 +135,11 @@ def j15_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM i LEFT JOIN part ON p_partkey = item_id + 30) SELECT pack_id, item_id, code FROM a WHERE code IS NOT NULL UNION ALL SELECT s_suppkey, NULL, 'dependency_pack_missing' FROM supplier WHERE s_suppkey + 50 > 99""")
 def j19_validate_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, none = table(spark, sf_dir, "part"), F.lit(None).cast("string")
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("pack_id"), F.col("l_partkey").alias("item_id"), (F.col("l_partkey") + 30).alias("law_id"), F.col("l_linenumber").cast("string").alias("article_number")).distinct()
-    items = items.select("*", F.lit("article").alias("item_type"), none.alias("norm_source_id"), none.alias("clause_number"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("pack_id"), F.col("l_partkey").alias("item_id"), F.col("l_linenumber").alias("n")).distinct()
+    items = lines.select("pack_id", "item_id", (F.col("item_id") + 30).alias("law_id"), F.col("n").cast("string").alias("article_number"), F.lit("article").alias("item_type"), none.alias("norm_source_id"), none.alias("clause_number"))
     laws = p.select(F.col("p_partkey").alias("law_id"), F.when(F.col("p_size") % 10 == 0, "seed").otherwise("current").alias("status"), (F.col("p_size") % 8).alias("article_count"))
     articles = laws.where("article_count > 0").select("law_id", F.explode(F.sequence(F.lit(1), "article_count")).alias("n")).select("law_id", F.col("n").cast("string").alias("number"))
-    packs = items.select("pack_id").distinct()
+    packs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("pack_id")).distinct()
     deps = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pack_id"), F.lit("pack").alias("kind"), (F.col("s_suppkey") + 50).alias("ref"))
     empty = laws.limit(0).select(F.col("law_id").cast("string").alias("source_id"), F.lit("").alias("number"))
     return L.validate_packs(items, deps, laws, articles, empty, empty, packs)
