@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio_spark.llm.common import partitions, spool
+from folio_spark.llm.common import drop_spool, partitions, spool
 
 ORDER, INDEX_BITS = 4, 22
 #: Numbers in a table of log probabilities that is given to every task: 32 MB, and 64 MB of hashes at most.
@@ -196,6 +196,8 @@ class Model:
             unseen = F.zip_with(F.coalesce("rest", nothing), "lower", lambda w, p: F.coalesce(w, F.lit(1.0)) * p)
             values = F.zip_with(F.coalesce("chance", nothing), unseen, lambda p, q: F.coalesce(p, q))
             below = own.select(F.col("key").alias("shorter"), values.alias("lower"))
+            if order < ORDER:  # one short plan an order: the driver plans and holds few joins at a time
+                below = spool(below, "lower")
         return below.select(F.col("shorter").alias("key"), F.transform("lower", lambda p: F.log(p).cast("float")).alias("logs"))
 
 
@@ -222,7 +224,7 @@ def train(grams: DataFrame) -> Model:
         F.sum("n").alias("total"), (F.first("discount") * F.count(F.lit(1)) / F.sum("n")).alias("rest")
     )
     contexts = spool(contexts, "contexts")
-    chances, below = None, None
+    chances, below, held = None, None, []
     for order in range(1, ORDER + 1):
         part = table.where(F.col("order") == order).withColumn("context", _context(F.col("key")))
         part = part.join(contexts.where(F.col("order") == order).drop("order"), ["no", "context"])
@@ -230,9 +232,10 @@ def train(grams: DataFrame) -> Model:
         if below is not None:
             part, lower = part.withColumn("shorter", _last(F.col("key"), order - 1)).join(below, ["no", "shorter"]), F.col("lower")
         own = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
-        part = part.select("no", "key", (own + F.col("rest") * lower).alias("value"))
+        # one short plan an order, since each needs all below it: in one plan their joins grow with the square of the orders
+        part = spool(part.select(F.lit(order).alias("order"), "no", "key", (own + F.col("rest") * lower).alias("value")), "chance")
+        held.append(part)
         below = part.select("no", F.col("key").alias("shorter"), F.col("value").alias("lower"))
-        part = part.select(F.lit(order).alias("order"), "no", "key", "value")
         chances = part if chances is None else chances.union(part)
 
     def wide(rows: DataFrame) -> DataFrame:
@@ -242,7 +245,10 @@ def train(grams: DataFrame) -> Model:
         return pivoted.select("order", "key", F.array(*[F.col(str(c)) for c in columns]).alias("values"))
 
     rests = contexts.select("order", "no", F.col("context").alias("key"), F.col("rest").alias("value"))
-    return Model(langs, symbols, spool(wide(chances), "chances"), spool(wide(rests), "rests"))
+    model = Model(langs, symbols, spool(wide(chances), "chances"), spool(wide(rests), "rests"))
+    for part in held:
+        drop_spool(part)
+    return model
 
 
 def fit(learn: DataFrame) -> Model:

@@ -402,6 +402,19 @@ def test_more_than_64_languages_and_tables_of_any_size(spark):
         assert key(a) == key(b) and a["lang_pred"] == b["lang_pred"] and a["rejected"] == b["rejected"] and a["entropy"] == pytest.approx(b["entropy"], abs=1e-4)
 
 
+def test_language_plans_are_short(spark, monkeypatch):
+    """No plan has all orders' joins in it: the driver plans, and broadcasts for, all joins of a plan at once."""
+    joins, inner = [], langid.spool
+
+    def spool(df, label):
+        joins.append(len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString())))
+        return inner(df, label)
+
+    monkeypatch.setattr(langid, "spool", spool)
+    langid.fit(spark.createDataFrame([(i, spell("ab"[i % 2] * 2, i), "ab"[i % 2] * 2) for i in range(8)], "doc_id long, text string, lang string"))
+    assert 0 < max(joins) <= 3
+
+
 def test_letters_beyond_the_basic_plane(spark):
     model = langid.fit(spark.createDataFrame([(1, "abc def", "aa")], "doc_id long, text string, lang string"))
     asked = [(1, "\U0001f600\U0001f600 123"), (2, "\U00020000 1"), (3, "\U0001d7d8")]
