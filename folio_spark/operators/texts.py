@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import docnum
-from folio_spark.functions.numerals import NUMERALS, article_key
+from folio_spark.functions.numerals import NUMERALS, article_key, staged_article_key
 from folio_spark.operators.outline import outline_items
 from folio_spark.session import spooled
 
@@ -65,10 +65,8 @@ def _shaped(lines: DataFrame, number: Column, body: Column, doc: str) -> DataFra
     rows = lines.withColumn("__n", number).withColumn("__b", body).withColumn("__level", F.when(F.col("__n").isNull(), level))
     rows = rows.withColumn("g", _running(F.sum(F.col("__n").isNotNull().cast("int")), doc))
     # a heading is a part's name only if another article follows, else its line is text
-    after = Window.partitionBy(doc).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("__later", F.max(F.col("__n").isNotNull().cast("int")).over(after))
-    heading = F.col("__level").isNotNull() & (F.coalesce("__later", F.lit(0)) == 1)
-    rows = rows.withColumn("__heading", heading)
+    rows = rows.withColumn("__last", F.max(F.when(F.col("__n").isNotNull(), F.col("line_no"))).over(Window.partitionBy(doc)))
+    rows = rows.withColumn("__heading", F.col("__level").isNotNull() & F.coalesce(F.col("line_no") < F.col("__last"), F.lit(False)))
     for k in range(5):  # the last heading of each level; it counts while no higher one has come after it
         at = F.when(F.col("__heading") & (F.col("__level") == k), F.struct("line_no", "line"))
         rows = rows.withColumn(f"__l{k}", _running(F.last(at, ignorenulls=True), doc))
@@ -82,7 +80,7 @@ def _shaped(lines: DataFrame, number: Column, body: Column, doc: str) -> DataFra
         F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("line_no", piece.alias("x")))), lambda r: r["x"]), lambda x: x.isNotNull() & (x != "")), "\n").alias("text"),
         F.min_by("__part", "line_no").alias("part"),
     )
-    return made.where("text <> ''").withColumn("number", article_key(F.col("number_display"))).withColumn("part", F.nullif("part", F.lit("")))
+    return staged_article_key(made.where("text <> ''"), "number_display", "number").withColumn("part", F.nullif("part", F.lit("")))
 
 
 def segment(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -93,11 +91,12 @@ def segment(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     items keep their marks in `title`, and whose broken numbers are an `issue`); the whole text as one `正文`. A heading
     that goes on as a reference, or repeats the number before it, starts nothing.
     """
+    docs = spooled(docs.select(doc, "text"), "texts")  # made once: lines and outlines both read them
     raw = clean_lines(lines_of(docs, doc).withColumn("line", F.regexp_replace(F.trim("line"), "^#+", "")))
     has = Window.partitionBy(doc)
-    head = F.regexp_extract("line", ARTICLE, 1)
     body = F.trim(F.regexp_extract("line", ARTICLE, 2))
-    is_article = (head != "") & ~body.rlike(REFERENCE)
+    raw = raw.withColumn("__head", F.regexp_extract("line", ARTICLE, 1)).withColumn("__article", (F.col("__head") != "") & ~body.rlike(REFERENCE))
+    head, is_article = F.col("__head"), F.col("__article")
     seen = _running(F.max(is_article.cast("int")), doc)
     is_decimal = F.col("line").rlike(DECIMAL) & (seen == 0)
     rows = raw.withColumn("__h", F.when(is_article, head).when(is_decimal, F.regexp_extract("line", DECIMAL, 1)))
@@ -114,7 +113,7 @@ def segment(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
         .when(F.max(marked.cast("int")).over(has) == 1, "outline")
         .otherwise("body")
     )
-    rows = rows.withColumn("shape", shape).drop("__before", "__i0", "__falls")
+    rows = spooled(rows.withColumn("shape", shape).select(doc, "line_no", "line", "__h", "__i", "shape"), "lines")
     outlines = spooled(outline_items(docs.join(rows.where("shape = 'outline'").select(doc).distinct(), doc, "left_semi"), doc), "outlines")
     # what has marks but is no outline is a body
     rows = rows.join(outlines.select(doc).distinct(), doc, "left_anti").withColumn("shape", F.when(F.col("shape") == "outline", "body").otherwise(F.col("shape")))

@@ -4,8 +4,10 @@ import json
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folio_spark.functions import markup as M
+from folio_spark.functions.numerals import article_key, staged_article_key
 from folio_spark.operators import citations as C
 from folio_spark.operators import names as N
 from folio_spark.operators import outline as O
@@ -312,3 +314,23 @@ def test_small_requests_are_handed_over_together(spark, monkeypatch):
     together = result()
     monkeypatch.setattr(C, "HANDED", 1)
     assert result() == together and len(together) == 300 and {x[3] for x in together} >= {"renumbered", "amended"}
+
+
+def test_texts_are_made_once(spark):
+    """Lines and outlines are cut from the same texts; whatever makes these runs once a document."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return ["第一条 甲", "一、总\n（一）甲\n（二）乙", "正文"][i % 3]
+
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), text("id").alias("text"))
+    assert X.segment(docs).count() == 16 and made.value == 12
+
+
+def test_staged_article_keys(spark):
+    raws = ["第一条", "第十条之二", "第 1,2 条", "12-3", "第12—3条", "1.2.3", "第一条第二款", "正文", "序言", "", None, "零", "第二〇三条", "两千条", "第99999999999条", "一万零三", "第三项", "x", "第1条之一第2项"]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    got = staged_article_key(rows, "raw", "key").select("i", "key").orderBy("i").collect()
+    assert got == rows.select("i", article_key(F.col("raw")).alias("key")).orderBy("i").collect()
