@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from folio_spark.functions import numerals, similarity
+from folio_spark.operators import citations as C
 from folio_spark.operators import lookup as L
 from folio_spark.operators import names as N
 from folio_spark.operators import pages as P
@@ -108,6 +109,21 @@ def test_rules_are_paired_by_distinct_topics_and_not_sent_whole(spark, tmp_path)
     assert "SortMergeJoin [l#" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_articles_that_cite_a_target_are_found_without_a_shuffle_of_all(spark):
+    hosts = range(1000, 1100)
+    edges = [(h, n, 7, "3") for h in hosts for n in ("1", "1", "2")] + [(1000, "1", 7, "4"), (1000, "1", 8, "4"), (7, "1", 7, "3")]
+    edges = spark.createDataFrame(edges, "host_law_id long, host_number string, law_id long, number string")
+    shape = "target_id long, law_id long, number string"
+    one = spark.createDataFrame([(t, 7, "3") for t in range(100)] * 2, shape)
+    found = C.cited_by(edges, one)
+    assert sorted(map(tuple, found.collect())) == sorted((t, h, n) for t in range(100) for h in hosts for n in "12")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    more = spark.createDataFrame([(200, 7, "3"), (200, 7, "4"), (200, 8, "4"), (201, 8, "4")], shape)
+    several = C.cited_by(edges, one.union(more), include_self=True).where("target_id >= 200")
+    assert sorted(map(tuple, several.collect())) == sorted([(200, h, n) for h in hosts for n in "12"] + [(200, 7, "1"), (201, 1000, "1")])
+
+
 def test_equal_mentions_are_scored_once(spark):
     laws = spark.createDataFrame([(i, f"公司登记条例{i}") for i in range(40)], "law_id long, title string")
     mentions = spark.createDataFrame([(i, "公司登记条列") for i in range(100)] + [(100, None)], "mention_id long, mention string")
