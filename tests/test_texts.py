@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folio_spark.functions import markup as M
-from folio_spark.functions.numerals import article_key, staged_article_key
+from folio_spark.functions.numerals import article_key, key_of, staged_article_key
 from folio_spark.operators import citations as C
 from folio_spark.operators import names as N
 from folio_spark.operators import outline as O
@@ -303,6 +303,21 @@ def test_texts_of_citations_are_not_shuffled(spark):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_are_read_once_for_citations_and_their_numbers(spark):
+    docs = spark.createDataFrame([(1, "e\u0301民§5，九民§九民§3；《公司法》\x85第\u2003２条，《公司法》第9999999999-10000000000条，《法》第两百〇三条之〇")], "doc_id int, text string")
+    found = C.extract_citations(docs)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["law_input"], r["number"], r["raw"]) for r in found.orderBy("start", "number").collect()]
+    assert got == [("九民纪要", "9", "九民§九"), ("公司法", "", "《公司法》\x85第\u2003２条"), ("公司法", "10000000000", "《公司法》第9999999999-10000000000条"), ("公司法", "9999999999", "《公司法》第9999999999-10000000000条"), ("法", "", "《法》第两百〇三条之〇")]
+
+
+def test_keys_of_references_are_those_of_columns(spark):
+    r = random.Random(12)
+    forms = {"".join(r.choice("第条之项款目-－.零一三十百千万〇两029３ \u3000") for _ in range(r.randrange(0, 8))) for _ in range(4000)} | {"正文", "序言", "第1.2.3条", "第十条第三款", "0", "第〇条"}
+    rows = spark.createDataFrame([(f,) for f in forms], "f string").select("f", article_key(F.col("f")).alias("k")).collect()
+    assert {r["f"]: r["k"] for r in rows} == {f: key_of(f) for f in forms}
+
+
 def test_small_requests_are_handed_over_together(spark, monkeypatch):
     r = random.Random(8)
     line = lambda: "".join(r.choice("abcdef") for _ in range(30))
