@@ -318,6 +318,18 @@ def test_keys_of_references_are_those_of_columns(spark):
     assert {r["f"]: r["k"] for r in rows} == {f: key_of(f) for f in forms}
 
 
+def test_few_laws_are_audited_where_the_citations_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"《{'甲乙'[i % 2]}法》第{i % 4 + 1}条规定：“一二三四五六七八{'九' * (i % 3)}”") for i in range(60)], "doc_id int, text string")
+    laws = spark.createDataFrame([(1, "甲法", "current", None)], "law_id long, law_input string, status string, repealed_at date")
+    articles = spark.createDataFrame([(1, "1", "一二三四，五六七八。"), (1, "4", "无")], "law_id long, number string, text string")
+    want = {i: (None, False, "law_not_found") if i % 2 else (1, False, "article_not_found") if i % 4 else (1, True, None if i % 3 == 0 else "quote_wording_drift") for i in range(60)}
+    for signs in (C.MOST_SIGNS, 3):
+        monkeypatch.setattr(C, "MOST_SIGNS", signs)
+        found = C.audit_citations(C.extract_citations(docs), laws.select("law_input", "law_id"), laws, articles)
+        assert {r["doc_id"]: (r["law_id"], r["found"], r["code"]) for r in found.collect()} == want
+        assert ("Exchange hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()) == (signs == 3)
+
+
 def test_small_requests_are_handed_over_together(spark, monkeypatch):
     r = random.Random(8)
     line = lambda: "".join(r.choice("abcdef") for _ in range(30))
