@@ -4,9 +4,11 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folio_spark.functions import markup as M
+from folio_spark.functions import similarity
 from folio_spark.functions.numerals import article_key, key_of, staged_article_key
 from folio_spark.operators import citations as C
 from folio_spark.operators import names as N
@@ -330,6 +332,16 @@ def test_few_laws_are_audited_where_the_citations_are(spark, monkeypatch):
         assert ("Exchange hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()) == (signs == 3)
 
 
+def test_equal_short_quotes_of_many_batches_are_compared_once(spark):
+    similarity._remembered.cache_clear()
+    rows = [("一二三四五六", "一二三四五七", 2 * 5 / 12), (None, "一", None), ("一" * 600, "一" * 599 + "二", 2 * 599 / 1200)] * 3
+    for a, b, want in rows:
+        got = similarity.best_window_ratio.func(pd.Series([a]), pd.Series([b])).tolist()[0]
+        assert got == want or want is None and got != got
+    seen = similarity._remembered.cache_info()
+    assert seen.misses == 2 and seen.hits == 4
+
+
 def test_small_requests_are_handed_over_together(spark, monkeypatch):
     r = random.Random(8)
     line = lambda: "".join(r.choice("abcdef") for _ in range(30))
