@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from folio_spark.functions import cited
 from folio_spark.functions import markup as M
 from folio_spark.functions import similarity
 from folio_spark.functions.numerals import article_key, key_of, staged_article_key
@@ -320,6 +321,15 @@ def test_keys_of_references_are_those_of_columns(spark):
     assert {r["f"]: r["k"] for r in rows} == {f: key_of(f) for f in forms}
 
 
+def test_leads_of_citations_without_marks_are_looked_up_where_they_are(spark):
+    assert cited.leads("第3条公司法第4条，依\u3000公司法第五条之一。见；第9条", 5) == [("4", "公司法"), ("5-1", "依\u3000公司法")]
+    articles = spark.createDataFrame([(f"h{i % 50}", "1", f"依公司法第{i % 7 + 1}条") for i in range(100)], "law_id string, number string, text string")
+    names = spark.createDataFrame([("公司法", 1)], "name string, law_id long")
+    found = C.citation_edges(articles, names)
+    assert sorted((r["host_law_id"], r["number"]) for r in found.collect()) == sorted({(f"h{i % 50}", str(i % 7 + 1)) for i in range(100)})
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_few_laws_are_audited_where_the_citations_are(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"《{'甲乙'[i % 2]}法》第{i % 4 + 1}条规定：“一二三四五六七八{'九' * (i % 3)}”") for i in range(60)], "doc_id int, text string")
     laws = spark.createDataFrame([(1, "甲法", "current", None)], "law_id long, law_input string, status string, repealed_at date")
