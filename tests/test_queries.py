@@ -124,6 +124,30 @@ def test_articles_that_cite_a_target_are_found_without_a_shuffle_of_all(spark):
     assert sorted(map(tuple, several.collect())) == sorted([(200, h, n) for h in hosts for n in "12"] + [(200, 7, "1"), (201, 1000, "1")])
 
 
+def test_requests_of_one_topic_share_a_list_of_rules(spark, monkeypatch):
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i)
+    rules = [(i, "公司登记" if i % 2 else "登记", ("all", "x", "y")[i % 3], day(i) if i % 5 else None, day(i + 20) if i % 4 else None) for i in range(60)] + [(0, "登记", "all", None, day(3))]
+    requests = [(i, "登记", ("x", None)[i % 2], day(i) if i < 50 else None) for i in range(52)] + [(100, "登记", "y", day(9)), (100, "公司登记", "y", day(9))]
+
+    def place(own):
+        hits = {(t != q, -(f.toordinal() if f else 0), i) for q, d, at in own for i, t, of, f, to in rules if q in t and (d is None or of in ("all", d)) and (f is None or at and f <= at) and (to is None or at and to >= at)}
+        return [i for *_, i in sorted(hits)]
+
+    asked = {}
+    for i, *what in requests:
+        asked.setdefault(i, []).append(what)
+    want = sorted((i, rule, n + 1) for i, own in asked.items() if i < 100 for n, rule in enumerate(place(own)))
+    shape = "rule_id long, topic string, domain string, effective_from date, effective_to date"
+    for most in (L.LISTED, 7):
+        monkeypatch.setattr(L, "LISTED", most)
+        found = L.applicable(spark.createDataFrame(requests, "request_id long, topic string, domain string, as_of date"), spark.createDataFrame(rules, shape))
+        got = sorted(map(tuple, found.collect()))
+        assert [x for x in got if x[0] < 100] == want
+        assert len({x[2] for x in got if x[0] == 100}) == len([x for x in got if x[0] == 100]) > 0
+    alone = L.applicable(spark.createDataFrame(requests[:-2], "request_id long, topic string, domain string, as_of date"), spark.createDataFrame(rules, shape).limit(7))
+    assert "Window" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_equal_mentions_are_scored_once(spark):
     laws = spark.createDataFrame([(i, f"公司登记条例{i}") for i in range(40)], "law_id long, title string")
     mentions = spark.createDataFrame([(i, "公司登记条列") for i in range(100)] + [(100, None)], "mention_id long, mention string")
